@@ -1,0 +1,277 @@
+"""Personal information in free text: anchors by Aho-Corasick, then local parsers that expand and validate a span.
+
+One pass of the automaton over the lower-cased text finds at-signs (also spelt out), identifier, street and box cues,
+given names, titles and surname endings. Each hit hands its place to the parser of its kind, which reads outwards from
+it and decides on the span. Numbers in telephone shape are their own anchors. Parsers read the text around their
+anchor only, so the cost of a text is linear in its length.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+
+KINDS = ("email", "phone", "id_number", "address", "name")
+
+# ---- fixed values: cues and shapes ----------------------------------------------------------------------------------
+AT_SIGNS = ("@", "＠", "%40", "(at)", "[at]", "{at}", "<at>", " at ")
+ID_CUES = (
+    "ssn", "social security", "social insurance", "national insurance", "ni number", "nino", "steuer-id", "steuerid", "steueridentifikationsnummer", "steuernummer",
+    "sozialversicherungsnummer", "dni", "nie", "nif", "passport", "reisepass", "passeport", "pasaporte", "id card", "identity card", "personalausweis",
+    "ausweis", "carte d'identité", "cédula", "tax id", "tax number", "taxpayer", "tin", "national id", "numéro de sécurité sociale", "número de identidad", "cpf", "bsn", "pesel",
+)
+STREET_CUES = (
+    "street", "avenue", "lane", "road", "drive", "close", "court", "square", "terrace", "boulevard", "crescent", "grove", " way", " hill", " place", " st", " rd", " ave", " ln", " dr", " blvd",
+    "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ring", "ufer", "rue ", "chemin ", "impasse ", "quai ", "place ", "allée ",
+    "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "via ", "box", "postfach", "apartado", "boîte postale", "casilla", "b.p.",
+)
+TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "monsieur", "madame", "don", "doña")
+SURNAME_ENDINGS = ("strom", "ström", "lund", "wick", "shaw", "quist", "etti", "mont", "sson", "zine", "dale", "berg", "vic", "oux", "val", "ski", "ret")
+ORDINARY_WORDS = frozenset(
+    "secret interval retrieval removal approval arrival carnival festival interpret regret magazine service civic iceberg cabaret turret ferret egret survival revival rival oval naval "
+    "interprets brouze signal val ret mont berg dale wick lund ski vic shaw upheaval withdrawal disapproval medieval beret claret discret concret fret minaret".split()
+)
+PAIR_CUES = ("pair with", "pairing with", "ask", "thanks to", "met", "spoke with", "cc", "hi", "hello", "dear", "according to", "written by", "opened by", "reported by")
+# Given names that are ordinary words too: alone they are no name unless a cue of a person precedes.
+WORDLIKE = frozenset("mark rose will grace hope joy may april june frank art bill jack rob sue pat dawn faith ivy lily ruby pearl amber iris summer autumn max ray dean chase guy".split())
+
+_LETTER = r"[^\W\d_]"
+_WORD = rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:-{_LETTER}+)*"
+_LOCAL = re.compile(r"[A-Za-z0-9._%+'-]+$")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_DOT = r"(?:\.|[ ]*(?:\(dot\)|\[dot\]|\{dot\}|\(punkt\)|\[punkt\])[ ]*|[ ]+dot[ ]+)"
+_SPELT_HOST = re.compile(rf"[ ]*[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}\b", re.I)
+_PHONE = re.compile(r"(?<![\w./:@#=+-])(?:\+|\(\+)?[\d(](?:[ ./() -]{0,2}\d){6,16}(?![\w@])|(?<=[=:;,(\"'>])(?:\+)?[\d(](?:[ ./() -]{0,2}\d){6,16}(?![\w@])")
+_PHONE_CUE = re.compile(r"(?i)(?:tel|telephone|telefon|teléfono|téléphone|phone|mobile|handy|cell|fax|call|ring|sms|text|whatsapp|llámame|rufnummer)[\w'\"]{0,3}\W{0,6}(?:\w{1,4}\W{1,2}){0,3}$")
+_NANP = re.compile(r"(?:\(\d{3}\) ?|\d{3}[.\- ])\d{3}[.\-]\d{4}$")
+_TRUNK = re.compile(r"0\d{2,4}[ /-]\d{3,}(?:[ /-]?\d+)*$")
+_SSN = re.compile(r"\d{3}-\d{2}-\d{4}$")
+_ID_VALUE = re.compile(r"(?:[\s:#=.'\"(\[]|\bno\b|\bnr\b|\bn[º°]|\bnumber\b|\bnumero\b|\bnúmero\b|\bnuméro\b|\bis\b|\bist\b|\bes\b|\best\b)*([A-Za-z]{0,3}[ -]?\d[\dA-Za-z]*(?:[ -]\d[\dA-Za-z]*)*(?:[ -][A-Za-z](?![A-Za-z]))?|[A-Z][A-Z0-9]{5,})", re.I)
+_NUM = r"\d{1,5} ?[a-zA-Z]?(?:[-/]\d{1,4})?"
+_EN_STREET = re.compile(rf"(?i)\b{_NUM},? +(?:(?:north|south|east|west|n|s|e|w)\.? +)?{_LETTER}[\w'’-]*(?: {_LETTER}[\w'’-]*)?? +(?:street|avenue|lane|road|drive|close|court|square|terrace|boulevard|crescent|grove|way|hill|place|st|rd|ave|ln|dr|blvd)\b\.?")
+_DE_STREET = re.compile(rf"(?i){_LETTER}[\w-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ring|ufer) +{_NUM}(?!\w)|{_LETTER}+ (?:straße|strasse|str\.|weg|gasse|platz|allee) +{_NUM}(?!\w)")
+_FR_STREET = re.compile(rf"(?i)\b\d{{1,5}}(?: ?(?:bis|ter))?,? +(?:rue|avenue|boulevard|place|impasse|allée|chemin|quai|cours) +(?:(?:de la|de l'|du|des|de|d') *)?{_LETTER}[\w'’-]+")
+_ES_STREET = re.compile(rf"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|via) *(?:de (?:la |los |las )?)?{_LETTER}[\w'’-]+(?: {_LETTER}[\w'’-]+)?,? +(?:n[º°.] ?)?\d{{1,5}}(?!\w)")
+_BOX = re.compile(r"(?i)(?:\bp\.? ?o\.? ?box|\bpostfach|\bapartado(?: de correos| postal)?|\bbo[iî]te postale|\bcasilla(?: postal)?|\bb\.p\.)[ #:.]*\d[\d ]{0,6}\d?|\bpost box \d+")
+_STREETS = (_EN_STREET, _DE_STREET, _FR_STREET, _ES_STREET, _BOX)
+# What precedes an at-sign in a shell, a remote or a connection string.
+_NO_MAIL_BEFORE = re.compile(r"(?:\b(?:ssh|scp|rsync|sftp|mosh|ssh-copy-id)\b[^\n|;&]*|://[^\s@]*|\bgit|://\S*)$")
+
+
+class Finder:
+    """Holds the automaton; made once in each worker. given_names: names known to the hub, any case."""
+
+    def __init__(self, given_names: tuple[str, ...] = ()):
+        self.given = frozenset(g.lower() for g in given_names if g)
+        words: dict[str, set[str]] = {}
+        for kind, cues in (("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", tuple(self.given)), ("ending", SURNAME_ENDINGS), ("title", tuple(f"{t}{e}" for t in TITLES for e in (" ", ". ")))):
+            for cue in cues:
+                words.setdefault(cue.lower(), set()).add(kind)
+        self.auto = ahocorasick.Automaton()
+        for cue, kinds in words.items():
+            self.auto.add_word(cue, (len(cue), tuple(sorted(kinds))))
+        self.auto.make_automaton()
+
+    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+        """Disjoint (start, end, kind), in order. Empty for null and empty texts."""
+        if not text:
+            return []
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower()[0] for c in text)
+        found: list[tuple[int, int, str]] = []
+        names: list[tuple[str, int, int]] = []
+        for last, (size, kinds) in self.auto.iter(low):
+            start, end = last - size + 1, last + 1
+            for kind in kinds:
+                if kind == "at":
+                    if hit := self._email(text, start, end):
+                        found.append((*hit, "email"))
+                elif kind == "id":
+                    if hit := self._identity(text, low, start, end):
+                        found.append((*hit, "id_number"))
+                elif kind == "street":
+                    # A cue that opens an address starts a word, one that closes it ends a word.
+                    if (low[end - 1] == " " or end == len(low) or not low[end].isalpha()) and (low[end - 1] != " " and low[start:end] != "box" or not start or not low[start - 1].isalpha()):
+                        found.extend((m.start(), m.end(), "address") for m in self._addresses(text, max(0, start - 60), min(len(text), end + 60)))
+                else:
+                    names.append((kind, start, end))
+        for m in _PHONE.finditer(text):
+            if kind := self._number(text, *m.span()):
+                found.append((*m.span(), kind))
+        taken = sorted((s, e) for s, e, k in found)
+        for kind, start, end in names:
+            if hit := self._name(text, low, kind, start, end):
+                if not any(s < hit[1] and hit[0] < e for s, e in taken):
+                    found.append((*hit, "name"))
+        return _disjoint(found)
+
+    # ---- local parsers --------------------------------------------------------------------------------------------
+    @staticmethod
+    def _email(text: str, start: int, end: int) -> tuple[int, int] | None:
+        left = text[max(0, start - 80) : start]
+        sign = text[start:end].lower()
+        spelt = sign not in ("@", "＠", "%40")
+        if left[-1:] == " " and sign in ("@", "＠") and text[end : end + 1] == " ":  # spaced out
+            spelt, end = True, end + 1
+            if not _HOST.match(text, end, min(len(text), end + 120)):
+                return None
+        cut = left.rstrip(" ") if spelt else left
+        m = _LOCAL.search(cut)
+        if not m or not re.search(r"[A-Za-z0-9]", m[0]):
+            return None
+        local = m[0].lstrip("'.-%")
+        if sign == " at ":
+            h = re.match(rf"[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+\b", text[end : end + 120], re.I)
+        elif spelt:
+            h = _SPELT_HOST.match(text, end, min(len(text), end + 120))
+        else:
+            h = _HOST.match(text, end, min(len(text), end + 120))
+        if not h or not local:
+            return None
+        stop = h.end() if sign != " at " else end + h.end()
+        begin = start - (len(left) - len(cut)) - len(local)
+        before = text[max(0, begin - 120) : begin].rsplit("\n", 1)[-1]
+        after = text[stop : stop + 2]
+        if not spelt:
+            if re.search(r"://\S*$", before) and not re.search(r"mailto:(?://)?$", before):  # userinfo of an address
+                return None
+            if re.search(r"(?:^|[\s\"'`(|;&$])(?:ssh|scp|rsync|sftp|mosh|sshpass|ssh-copy-id)\s[^\n|;&]*$", before):
+                return None
+            if before[-1:] == ":" and not re.search(r"(?i)\w:$", before):
+                return None
+            if re.match(r":[~/\w]", after) and (local.lower() in ("git", "hg", "svn") or re.match(r":[\w~./-]+", text[stop:]) and "/" in text[stop : stop + 60].split()[0]):
+                return None
+            if local.lower() == "git":
+                return None
+            if re.match(r":[~/].{0,40}[#$]", text[stop : stop + 48]):
+                return None
+            if text[stop : stop + 1] == "@":
+                return None
+        return begin, stop
+
+    @staticmethod
+    def _identity(text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        if start and low[start - 1].isalnum() or end < len(low) and low[end].isalpha():
+            return None
+        m = re.compile(r"[ -]?(?:security|insurance)?").match(low, end) and _ID_VALUE.match(text, end, min(len(text), end + 60))
+        if not m:
+            return None
+        value = m[1]
+        solid = re.sub(r"[^A-Za-z0-9]", "", value)
+        if len(solid) < 7 or len(solid) > 22 or not any(c.isdigit() for c in solid):
+            return None
+        if solid.isalpha() or (solid.islower() and not solid.isdigit() and len(solid) > 12):
+            return None
+        return m.start(1), m.end(1)
+
+    @staticmethod
+    def _number(text: str, start: int, end: int) -> str | None:
+        """phone, id_number or None for a run of digits and separators."""
+        raw = text[start:end]
+        digits = sum(c.isdigit() for c in raw)
+        if _SSN.match(raw):
+            return "id_number"
+        if raw.count("(") != raw.count(")") or not 7 <= digits <= 16:
+            return None
+        if raw.lstrip("(").startswith("+"):
+            return "phone" if digits >= 8 else None
+        if _NANP.match(raw):
+            return "phone"
+        if raw.startswith("00") and raw[2:3] not in ("", "0") and digits >= 10 and re.search(r"[ (/-]", raw):
+            return "phone"
+        if _TRUNK.match(raw) and 9 <= digits <= 12:
+            return "phone"
+        if digits >= 7 and _PHONE_CUE.search(text[max(0, start - 40) : start]) and not re.match(r"\d{4}-\d\d-\d\d", raw) and not re.match(r"\d+\.\d+\.\d+\.\d+", raw):
+            return "phone"
+        return None
+
+    @staticmethod
+    def _addresses(text: str, lo: int, hi: int) -> Iterator[re.Match]:
+        for pattern in _STREETS:
+            for m in pattern.finditer(text, lo, hi):
+                yield m
+
+    def _name(self, text: str, low: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
+        size = len(text)
+        if kind == "ending":
+            if end < size and (text[end].isalpha() or text[end] in "_@/" or text[end] == "." and text[end + 1 : end + 2].isalnum()):
+                return None
+            begin = start
+            while begin and text[begin - 1].isalpha():
+                begin -= 1
+            word = text[begin:end]
+            if len(word) < 6 or word.lower() in ORDINARY_WORDS or begin and text[begin - 1] in "_@/.+%\\" or begin and text[begin - 1] in "_@/+%\\" or begin and text[begin - 1] == "." or begin and text[begin - 1].isdigit():
+                return None
+            if begin and text[begin - 1] == "-" and not re.search(rf"{_LETTER}-$", text[max(0, begin - 2) : begin]):
+                return None
+            left = re.search(rf"(?:((?:{_LETTER}\.|{_WORD})\.?)[  ]+)?((?:{_LETTER}\.[  ]?)*)((?:{_LETTER}+-)*)$", text[max(0, begin - 60) : begin])
+            before = (left[1] or "") if left else ""
+            initials, joined = (left[2], left[3]) if left else ("", "")
+            plain = before.rstrip(".").lower()
+            person = plain in self.given or plain in TITLES or bool(initials.strip())
+            if word[0].isupper():
+                pass
+            elif not (person or before and before[0].islower() and self._cued(low, begin - len(left[0]))):
+                return None
+            at = begin - len(joined) - len(initials)
+            if before and plain not in _SENTENCE_WORDS and (plain in self.given or plain in TITLES or before[0].isupper() and word[0].isupper() or word[0].islower()):
+                at = begin - (len(left[0]))
+            stop = end
+            if m := re.match(rf",[ ](?:{_LETTER}\.[ ]?)?({_WORD})", text[end : end + 40]):
+                if m[1].lower() in self.given or m[1][0].isupper() and not before:
+                    stop = end + m.end()
+            return at, stop
+        if kind == "given":
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.+-%\\") or end < size and (text[end].isalnum() or text[end] in "_@/" or text[end] == "." and text[end + 1 : end + 2].isalnum() or text[end] == "-" and text[end + 1 : end + 2].isalnum()):
+                return None
+            word = text[start:end]
+            if word[0].islower():
+                return None
+            cued = self._cued(low, start)
+            if low[start:end] in WORDLIKE:
+                nxt = re.match(rf"[ ]+({_WORD})", text[end : end + 30])
+                return (start, end) if cued and not (nxt and nxt[1][0].isupper()) and not (nxt and nxt[1] in ("and", "period", "the")) else None
+            return start, end
+        # A title: the capitalised word that follows is a name.
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-") or not text[start].isupper():
+            return None
+        m = re.match(rf"(?:{_LETTER}\.[ ]?)?([A-ZÀ-Þ]{_LETTER}+(?:-{_LETTER}+)?)", text[end : end + 40])
+        if not m or low[start:end].strip(" .") in ("don", "miss", "sr"):
+            return None
+        return (start, end + m.end()) if m[1].lower().endswith(SURNAME_ENDINGS) or m[1].lower() in self.given else None
+
+    @staticmethod
+    def _cued(low: str, at: int) -> bool:
+        """Whether a phrase that introduces a person ends here."""
+        return bool(_PERSON_CUE.search(low[max(0, at - 30) : at].rstrip() + " "))
+
+
+_PERSON_CUE = re.compile(
+    r"(?:\b(?:pair(?:ing)? with|spoke with|thanks to|according to|written by|opened by|reported by|reviewed by|approved by|signed by|i met|met|and|ask|cc|hi|hello|dear|that|from|by|"
+    r"bitte bei|noch auf|lo mandó|lo revisa|contact est|demande à|the call|contact|author|owner|attn|mit|von|avec|de|con)\b[:=,]?\s*)$"
+)
+_SENTENCE_WORDS = frozenset("that the a an and or but with by from to of in on at for if when ask thanks spoke met call dear cc best regards regards hello hi adresse wohnhaft vive".split())
+
+
+def _disjoint(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Longer spans win over those they overlap; touching spans of one kind stay apart."""
+    rank = {k: i for i, k in enumerate(KINDS)}
+    kept: list[tuple[int, int, str]] = []
+    for s, e, k in sorted(set(found), key=lambda x: (-(x[1] - x[0]), rank[x[2]], x[0])):
+        if all(e <= a or b <= s for a, b, _ in kept):
+            kept.append((s, e, k))
+    return sorted(kept)
+
+
+def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
+    """The text with each span replaced by a placeholder of its kind, the rest unchanged."""
+    if text is None or not spans:
+        return text
+    out, at = [], 0
+    for s, e, k in spans:
+        out += [text[at:s], f"[{k.upper()}]"]
+        at = e
+    return "".join([*out, text[at:]])
