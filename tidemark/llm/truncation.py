@@ -6,7 +6,7 @@
    sequence was followed by a terminator and how often by more words, keyed by the sentence's opening and last two words
    and backing off to fewer. A text whose tail goes on elsewhere but never ends there, or whose last word is only the
    beginning of words seen there, is cut.
-3. What even the baseline cannot say is cut only if it fills the length at which texts of its source pile up.
+3. What even the baseline cannot say is cut only if it has one of the lengths at which texts of its source pile up.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidemark.session import table
 CUT_MARKS = re.compile(r"\s*(?:\[(?:truncated|cut|snip|clipped|\.\.\.|…)\]|\((?:truncated|cut|snip|clipped)\)|<(?:truncated|snip)>|\[\d+ (?:more )?(?:chars|characters|bytes)[^\]]*\])\s*$", re.I)
 DOTS = re.compile(r"\s*(?:…|\.{3,})\s*$")
 OPTIONS = (
-    "output-format output no-cache exclude include recursive verbose quiet dry-run force all-targets release features config configuration help version format filter limit message "
+    "output-format output no-cache exclude include recursive verbose quiet dry-run force all-targets release target-version features config configuration help version format filter limit message "
     "no-verify no-edit interactive delete archive progress header request data-raw data-binary data output-dir target target-dir directory file follow lines since until oneline graph stat "
     "ignore-case line-number count max-count context before-context after-context jobs parallel timeout retry retries password-stdin username namespace all-namespaces selector watch tail "
     "maxfail exitfirst durations capture extend-select select ignore fix unsafe-fixes show-fixes statistics no-fix preview show-source show-settings isolated build no-build detach remove-orphans volumes"
@@ -124,20 +124,21 @@ def shape(token: str) -> str:
 
 def _sentences(text: str, command: bool) -> Iterator[tuple[list[str], bool]]:
     """(words, whether a terminator follows) of each sentence, or of each part of a command line."""
-    at = 0
+    at, piped = 0, []
     for m in (_SEGMENT if command else _END).finditer(text):
         if m.start() > at:
-            yield text[at : m.start()].split(), True
+            yield piped + text[at : m.start()].split(), True
         at = m.end()
+        piped = ["|"] if command and m[0].strip() == "|" else []  # what reads a pipe needs no file
     if at < len(text):
-        yield text[at:].split(), False
+        yield piped + text[at:].split(), False
 
 
 def _keys(words: list[str], i: int) -> tuple[str, str, str, str]:
     """Opening, the word before, the word at i, and its last run of letters."""
     last = shape(words[i])
     prev = shape(words[i - 1]) if i else "^"
-    opening = " ".join(shape(w) for w in words[: min(2, i + 1)])
+    opening = " ".join(shape(w) for w in words[: min(2 + (words[0] == "|"), i + 1)])
     runs = re.findall(r"[^\W\d_]+", words[i])
     return opening, prev, last, (runs[-1].lower() if runs and words[i][-1].isalpha() else "")
 
@@ -194,7 +195,7 @@ def _counts(texts: DataFrame, command: bool) -> DataFrame:
                     n = len(shapes)
                     opening = ""
                     for i, last in enumerate(shapes):
-                        if i < 2:
+                        if i < 2 + (words[0] == "|"):
                             opening = " ".join(shapes[: i + 1])
                         if i + 1 == n and not terminated and not command:
                             break
@@ -249,19 +250,19 @@ def judge(texts: DataFrame, command: bool) -> DataFrame:
         *(of(lv, c).alias(n) for lv, c, n in (("3", "ends", "e3"), ("3", "goes_on", "c3"), ("2", "ends", "e2"), ("2", "goes_on", "c2"), ("1", "ends", "e1"), ("1", "goes_on", "c1"), ("b", "goes_on", "b2"), ("p", "goes_on", "p1"), ("q", "goes_on", "q1")))
     )
     tail = F.expr("""
-        case when __command and b2 >= 5 and e2 * 20 < b2 then 'cut' when __command and e3 > 0 and e3 * 50 >= c3 then 'whole' when not __command and e3 > 0 and e3 * 100 >= c3 then 'whole' when c3 >= 3 then 'cut'
+        case when __command and (b2 >= 5 and e2 * 20 < b2 or last rlike '^(/|--.*=$)' and piece <> '' and p1 = 0 and q1 >= 3) then 'cut' when __command and e3 > 0 and e3 * 10 < c3 and e3 * 50 >= c3 then 'weak' when __command and e3 > 0 and e3 * 50 >= c3 then 'whole' when not __command and e3 > 0 and e3 * 100 >= c3 then 'whole' when c3 >= 3 then 'cut'
              when e2 > 0 and e2 * 50 >= c2 then 'whole' when c2 >= 3 then 'cut'
              when e3 + e2 = 0 and b2 >= 2 then 'cut'
              when e1 = 0 and c1 = 0 and piece <> '' and p1 = 0 and q1 >= 3 then 'cut'
              when e1 > 0 then 'whole' when c1 >= 20 then 'cut' else 'ask' end""".replace("__command", str(command).lower()))
     known = known.select("opening", "prev", "last", "piece", tail.alias("tail"))
     judged = read.join(known, ["opening", "prev", "last", "piece"], "left").withColumn("verdict", F.when(F.col("verdict") == "ask", F.coalesce("tail", F.lit("ask"))).otherwise(F.col("verdict")))
-    # Where the lengths of a source pile up, beyond half of its longest text.
-    piles = read.groupBy("source", F.col("chars").alias("cap")).agg(F.count("*").alias("n"))
-    top = Window.partitionBy("source")
-    piles = piles.withColumn("longest", F.max("cap").over(top)).where("cap * 2 > longest").withColumn("r", F.row_number().over(top.orderBy(F.desc("n"), F.desc("cap")))).where("r = 1 and n >= 5").select("source", "cap")
-    full = F.col("verdict").eqNullSafe("ask") & F.coalesce(F.col("chars") >= F.col("cap"), F.lit(False))
-    return judged.join(piles, "source", "left").select("field_name", "rec_id", "item_no", "source", (full | (F.col("verdict") == "cut")).alias("cut"))
+    # Lengths at which the texts of a source pile up: far more than of the lengths around.
+    around = Window.partitionBy("source").orderBy("chars").rangeBetween(-10, 10)
+    piles = read.where("chars >= 100").groupBy("source", "chars").agg(F.count("*").alias("n")).withColumn("near", F.sum("n").over(around) - F.col("n")).where("n >= 5 and n * 4 >= near + 20").select("source", "chars", F.lit(True).alias("full"))
+    full = F.coalesce("full", F.lit(False))
+    cut = (F.col("verdict") == "cut") | full & F.col("verdict").isin("ask", "weak")
+    return judged.join(piles, ["source", "chars"], "left").select("field_name", "rec_id", "item_no", "source", cut.alias("cut"))
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
