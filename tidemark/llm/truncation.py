@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tidemark.llm.arrow import explode_texts
-from tidemark.session import table
+from tidemark.session import ensure_checkpoint_dir, table
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 CUT_MARKS = re.compile(r"\s*(?:\[(?:truncated|cut|snip|clipped|\.\.\.|…)\]|\((?:truncated|cut|snip|clipped)\)|<(?:truncated|snip)>|\[\d+ (?:more )?(?:chars|characters|bytes)[^\]]*\])\s*$", re.I)
@@ -171,73 +172,80 @@ def analyse(text: str | None, command: bool) -> tuple[str, str, str, str, str, i
     return "ask", *_keys(words, len(words) - 1), *sizes
 
 
-def _counts(texts: DataFrame, command: bool) -> DataFrame:
-    """level, key1, key2, ends, goes_on: counted in each task before anything is shuffled."""
-    schema = "level string, k1 string, k2 string, k3 string, ends bigint, goes_on bigint"
+_READ = (
+    "field_name string, rec_id string, item_no bigint, source string, verdict string, opening string, prev string, last string, piece string, chars int, bytes int, "
+    "level string, k1 string, k2 string, k3 string, ends bigint, goes_on bigint"
+)
+
+
+def _count(text: str, command: bool, ends: Counter, goes: Counter) -> None:
+    """Adds the word sequences of a text, each with what followed it."""
+    for words, terminated in _sentences(text, command):
+        shapes = [shape(w) for w in words]
+        n = len(shapes)
+        opening = ""
+        for i, last in enumerate(shapes):
+            if i < 2 + (words[0] == "|"):
+                opening = " ".join(shapes[: i + 1])
+            final = i + 1 == n
+            if final and not terminated and not command:
+                break
+            prev = shapes[i - 1] if i else "^"
+            into = ends if final else goes
+            into["3", opening, prev, last] += 1
+            into["2", "", prev, last] += 1
+            into["1", "", "", last] += 1
+            if (terminated or not final) and words[i][-1].isalpha():
+                into["p", "", "", re.findall(r"[^\W\d_]+", words[i])[-1].lower()] += 1
+
+
+def _read(texts: DataFrame, command: bool) -> DataFrame:
+    """One pass over the texts: a row for each that is not blank, and the task's counts of word sequences."""
+    fields = StructType.fromDDL(_READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(fields)
         ends: Counter = Counter()
         goes: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            keys = list(ends | goes)
-            cols = [*([k[i] for k in keys] for i in range(4)), [ends[k] for k in keys], [goes[k] for k in keys]]
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        def counted() -> pa.RecordBatch:
+            rows = [(None,) * 11 + (*k, ends[k], goes[k]) for k in ends | goes]
             ends.clear()
             goes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 4 else pa.int64()) for i, c in enumerate(cols)], names=["level", "k1", "k2", "k3", "ends", "goes_on"])
+            return out(rows)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text is None:
-                    continue
-                for words, terminated in _sentences(text, command):
-                    shapes = [shape(w) for w in words]
-                    n = len(shapes)
-                    opening = ""
-                    for i, last in enumerate(shapes):
-                        if i < 2 + (words[0] == "|"):
-                            opening = " ".join(shapes[: i + 1])
-                        if i + 1 == n and not terminated and not command:
-                            break
-                        prev = shapes[i - 1] if i else "^"
-                        final = i + 1 == n
-                        into = ends if final else goes
-                        into["3", opening, prev, last] += 1
-                        into["2", "", prev, last] += 1
-                        into["1", "", "", last] += 1
-                        if not (final and not terminated) and words[i][-1].isalpha():
-                            into["p", "", "", re.findall(r"[^\W\d_]+", words[i])[-1].lower()] += 1
-            if len(ends) + len(goes) > 200_000:
-                yield flush()
-        yield flush()
-
-    return texts.select("text").mapInArrow(run, schema).groupBy("level", "k1", "k2", "k3").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+            rows = []
+            for field, rec, item, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a := analyse(text, command)) is not None:
+                    rows.append((field, rec, item, source, *a) + (None,) * 6)
+                    _count(text, command, ends, goes)
+            yield out(rows)
+            if len(ends) + len(goes) > 200_000:  # bounds a task's memory; the shuffle adds up what is flushed twice
+                yield counted()
+        yield counted()
+
+    return texts.select("field_name", "rec_id", "item_no", "source", "text").where("text is not null").mapInArrow(run, fields)
 
 
 def judge(texts: DataFrame, command: bool) -> DataFrame:
     """field_name, rec_id, item_no, source, cut: a verdict on every text that is neither null nor blank.
 
     texts: field_name, rec_id, item_no, source, text. Repeated rows each get theirs. Works on whole texts.
+    The texts are read once; what was read is small and goes to the shared checkpoint folder, as it is used three times.
     """
-
-    def make():
-        def rows(field, rec, item, source, text) -> list[tuple]:
-            a = analyse(text, command)
-            return [] if a is None else [(field, rec, item, source, *a)]
-
-        return rows
-
-    read = explode_texts(
-        texts.select("field_name", "rec_id", "item_no", "source", "text").where("text is not null"), make,
-        "field_name string, rec_id string, item_no bigint, source string, verdict string, opening string, prev string, last string, piece string, chars int, bytes int",
-    )
-    counts = _counts(texts, command)
-    # For every (before, beginning of a word): how often the word went on. One row for each proper beginning.
-    begun = counts.where("level = '2' and length(k3) > 1").select("k2", "k3", (F.col("ends") + F.col("goes_on")).alias("n"), F.explode(F.expr("sequence(1, length(k3) - 1)")).alias("i"))
-    begun = begun.groupBy(F.lit("b").alias("level"), F.lit("").alias("k1"), "k2", F.expr("left(k3, i)").alias("k3")).agg(F.lit(0).cast("bigint").alias("ends"), F.sum("n").alias("goes_on"))
-    parts = counts.where("level = 'p' and length(k3) > 1").select("k3", F.col("goes_on").alias("n"), F.explode(F.expr("sequence(1, length(k3) - 1)")).alias("i"))
-    parts = parts.groupBy(F.lit("q").alias("level"), F.lit("").alias("k1"), F.lit("").alias("k2"), F.expr("left(k3, i)").alias("k3")).agg(F.lit(0).cast("bigint").alias("ends"), F.sum("n").alias("goes_on"))
-    stats = counts.unionByName(begun).unionByName(parts)
+    ensure_checkpoint_dir(texts.sparkSession)
+    both = _read(texts, command).checkpoint()
+    read = both.where("level is null").select("field_name", "rec_id", "item_no", "source", "verdict", "opening", "prev", "last", "piece", "chars")
+    counts = both.where("level is not null").groupBy("level", "k1", "k2", "k3").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    # Beside each sequence, the proper beginnings of its last word (level b), and of its last run of letters (level q).
+    begins = F.expr("""filter(array_append(
+        case when level in ('2', 'p') and length(k3) > 1 then transform(sequence(1, length(k3) - 1), i -> named_struct('level', if(level = '2', 'b', 'q'), 'k2', k2, 'k3', left(k3, i), 'ends', 0L, 'goes_on', ends + goes_on))
+             else array() end, named_struct('level', level, 'k2', k2, 'k3', k3, 'ends', ends, 'goes_on', goes_on)), x -> x is not null)""")
+    stats = counts.select("k1", F.explode(begins).alias("x")).groupBy(F.col("x.level").alias("level"), "k1", F.col("x.k2").alias("k2"), F.col("x.k3").alias("k3")).agg(F.sum("x.ends").alias("ends"), F.sum("x.goes_on").alias("goes_on"))
 
     # Only the distinct tails ask the baseline, so a tail that a third of all texts share costs one row.
     tails = read.where("verdict = 'ask'").select("opening", "prev", "last", "piece").distinct()
