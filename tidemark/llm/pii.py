@@ -50,7 +50,7 @@ _TRUNK = re.compile(r"0\d{2,4}[ /-]\d{3,}(?:[ /-]?\d+)*$")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}$")
 _ID_VALUE = re.compile(r"(?:[\s:#=.'\"(\[]|\bno\b|\bnr\b|\bn[º°]|\bnumber\b|\bnumero\b|\bnúmero\b|\bnuméro\b|\bis\b|\bist\b|\bes\b|\best\b)*([A-Za-z]{0,3}[ -]?\d[\dA-Za-z]*(?:[ -]\d[\dA-Za-z]*)*(?:[ -][A-Za-z](?![A-Za-z]))?|[A-Z][A-Z0-9]{5,})", re.I)
 _NUM = r"\d{1,5} ?[a-zA-Z]?(?:[-/]\d{1,4})?"
-_EN_STREET = re.compile(rf"(?i)\b{_NUM},? +(?:(?:north|south|east|west|n|s|e|w)\.? +)?{_LETTER}[\w'’-]*(?: {_LETTER}[\w'’-]*)?? +(?:street|avenue|lane|road|drive|close|court|square|terrace|boulevard|crescent|grove|way|hill|place|st|rd|ave|ln|dr|blvd)\b\.?")
+_EN_STREET = re.compile(rf"(?i)\b{_NUM},? +(?:(?:north|south|east|west|n|s|e|w)\.? +)?{_LETTER}[\w'’-]*(?: {_LETTER}[\w'’-]*)?? +(?:street|avenue|lane|road|drive|close|court|square|terrace|boulevard|crescent|grove|way|hill|place|st|rd|ave|ln|dr|blvd)\b")
 _DE_STREET = re.compile(rf"(?i){_LETTER}[\w-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ring|ufer) +{_NUM}(?!\w)|{_LETTER}+ (?:straße|strasse|str\.|weg|gasse|platz|allee) +{_NUM}(?!\w)")
 _FR_STREET = re.compile(rf"(?i)\b\d{{1,5}}(?: ?(?:bis|ter))?,? +(?:rue|avenue|boulevard|place|impasse|allée|chemin|quai|cours) +(?:(?:de la|de l'|du|des|de|d') *)?{_LETTER}[\w'’-]+")
 _ES_STREET = re.compile(rf"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|via) *(?:de (?:la |los |las )?)?{_LETTER}[\w'’-]+(?: {_LETTER}[\w'’-]+)?,? +(?:n[º°.] ?)?\d{{1,5}}(?!\w)")
