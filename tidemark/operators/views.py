@@ -74,7 +74,7 @@ def transcript(events: DataFrame, most: int = TRANSCRIPT_CHARS) -> DataFrame:
     """session_id, part (head, tail or all), seq, line: a session's lines, the middle left out of long ones.
 
     A third of the characters goes to the head, the rest to the tail; a line that does not fit ends its part. As every
-    line has eight characters at least, only so many lines at either end are ranked, however long a session is.
+    line has five characters at least, only so many lines at either end are ranked, however long a session is.
     """
     body = T.strip(F.col("content"))
     label = F.when(F.col("kind") == "prompt", "USER").when(F.col("kind") == "reply", "ASSISTANT").when(F.col("kind") == "tool_use", "TOOL").otherwise(F.upper("kind"))
@@ -86,7 +86,7 @@ def transcript(events: DataFrame, most: int = TRANSCRIPT_CHARS) -> DataFrame:
 
     def part(name: str, budget: int, order: Column) -> DataFrame:
         by = Window.partitionBy("session_id").orderBy(order)
-        near = long_.withColumn("r", F.row_number().over(by)).where(F.col("r") <= budget // 8 + 1)
+        near = long_.withColumn("r", F.row_number().over(by)).where(F.col("r") <= budget // 5 + 1)
         used = near.withColumn("used", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
         return used.where(F.col("used") <= budget).select("session_id", F.lit(name).alias("part"), "seq", "line")
 
