@@ -20,7 +20,7 @@ RRF_K = 60
 MIN_SCORE = 0.12
 HALF_LIFE_DAYS = 14.0
 LONGEST_PHRASE = 8  # tokens of a query term that are looked up as a phrase
-FEW_PHRASES = 50_000  # up to so many distinct phrases (a few MB) are sent to all tasks; more are joined by shuffle
+FEW_PHRASES = 4_000  # up to so many distinct phrases are literals of the plan; more are joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -91,14 +91,19 @@ def in_scope(chunks: DataFrame, r: Request, links: DataFrame | None = None) -> D
     return chunks.join(keys, "project_key", "left_semi")
 
 
-def _grams(tokens: Column, sizes: list[int]) -> Column:
-    """The runs of each of the sizes in a token array, joined by blanks."""
+def _grams(tokens: Column, phrases: dict[int, list[str]] | None, sizes: list[int]) -> Column:
+    """The runs of each of the sizes in a token array, joined by blanks; with phrases, only those that are among them."""
 
     def of(n: int) -> Column:
+        known = None if phrases is None else phrases[n]
         if n == 1:
-            return tokens
-        starts = F.sequence(F.lit(0), F.size(tokens) - n)
-        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+            return tokens if known is None else F.filter(tokens, lambda t: t.isin(known))
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        if known is not None:  # only where a phrase's first token stands is a run put together
+            first = sorted({p.split(" ", 1)[0] for p in known})
+            starts = F.filter(starts, lambda i: F.get(tokens, i).isin(first))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+        return runs if known is None else F.filter(runs, lambda r: r.isin(known))
 
     runs = [of(n) for n in sizes]
     return runs[0] if len(runs) == 1 else F.concat(*runs)
@@ -122,19 +127,21 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Rounded to nine places, so that equal scores tie whatever the order of adding up.
     """
     wanted = phrases(queries)
-    # Bounded by the queries, not by the corpus: distinct phrases, and the few sizes they have.
     distinct = wanted.select("phrase", "n").distinct()
-    few = distinct.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES
-    sizes = sorted(r[0] for r in distinct.select("n").distinct().collect()) or [1]
+    rows = distinct.limit(FEW_PHRASES + 1).collect()  # bounded by FEW_PHRASES, whatever the corpus
+    few = len(rows) <= FEW_PHRASES
+    sizes = sorted({r.n for r in rows}) if few else sorted(r[0] for r in distinct.select("n").distinct().collect())
+    sizes = sizes or [1]
+    known = {n: sorted(r.phrase for r in rows if r.n == n) for n in sizes} if few else None
     tokens = chunks.select("chunk_id", *(T.index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
-    corpus = tokens.select(F.lit(1).alias("one"), sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("d")).agg(F.count("*").alias("docs"), F.avg("d").alias("avg_d"))
-    hits = tokens.select(
-        "chunk_id", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("d"),
-        F.explode(F.concat(*(_weighted(_grams(F.col(c), sizes), w) for c, w in WEIGHTS.items()))).alias("h"),
-    ).select("chunk_id", "d", "h.phrase", "h.w")
-    small = F.broadcast(distinct.select("phrase")) if few else distinct.select("phrase")
-    hits = hits.join(small, "phrase", "left_semi").groupBy("phrase", "chunk_id", "d").agg(F.sum("w").alias("f"))
-    df = hits.groupBy("phrase").agg(F.count("*").alias("n_docs"))
+    length = sum((F.size(c) for c in WEIGHTS), F.lit(0))
+    corpus = tokens.select(length.alias("d")).agg(F.count("*").alias("docs"), F.avg("d").alias("avg_d"))
+    hits = tokens.select("chunk_id", length.alias("d"), F.explode(F.concat(*(_weighted(_grams(F.col(c), known, sizes), w) for c, w in WEIGHTS.items()))).alias("h")).select("chunk_id", "d", "h.phrase", "h.w")
+    if not few:
+        hits = hits.join(distinct.select("phrase"), "phrase", "left_semi")
+    hits = hits.groupBy("phrase", "chunk_id", "d").agg(F.sum("w").alias("f"))
+    # Counted over f, so that both uses of the hits need the same columns and share one exchange.
+    df = hits.groupBy("phrase").agg(F.count_if(F.col("f") > 0).alias("n_docs"))
     idf = F.log((F.col("docs") - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
     per = wanted.select("query_id", "phrase", "times").join(df, "phrase").join(F.broadcast(corpus), F.lit(True))  # one row
     per = per.select("query_id", "phrase", "times", "avg_d", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))

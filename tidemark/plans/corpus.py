@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import table
+from tidemark.session import spread, table
 
 AS_OF = "2026-12-01 00:00:00"
 
@@ -17,7 +17,7 @@ CHUNKS_SQL = """chunks as (
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     mod = lambda n: F.col("doc_id") % n
     return d.select(
         F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.lit("entry").alias("source_type"), F.concat(F.lit("s"), F.expr("doc_id div 2")).alias("source_ref"), F.coalesce("project_key", F.lit("__global__")).alias("project_key"),

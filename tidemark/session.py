@@ -35,3 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for work that costs far more than a shuffle.
+
+    Only a table of few files is moved; one of many is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
