@@ -3,6 +3,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import postings as P
 from tidemark.operators import search as S
 
 ROW = "chunk_id string, source_type string, source_ref string, project_key string, namespace string, agent_id string, session_id string, kind string, title string, content string, tags string, visibility string, recipient_id string, is_sidechain boolean, ts timestamp"
@@ -78,3 +79,12 @@ def test_request_bounds():
     for bad in ({"limit": 0}, {"limit": 51}, {"scope": "all"}, {"min_score": 2.0}):
         with pytest.raises(ValueError):
             S.Request(**bad)
+
+
+def test_kept_index_gives_the_same_scores_and_reads_few_buckets(spark, tmp_path):
+    chunks, q = table(spark, CORPUS), spark.createDataFrame([(0, "claude-sonnet-4-6 cache"), (1, "sweep"), (2, "no such thing")], "query_id int, query string")
+    P.write(P.build(chunks, 8), str(tmp_path))
+    index = P.load(spark, str(tmp_path), 8)
+    assert sorted(map(tuple, P.bm25(index, q).collect())) == sorted(map(tuple, S.bm25(chunks, q).collect()))
+    plan = P.bm25(index, q.where("query_id = 1"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]

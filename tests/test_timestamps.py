@@ -52,10 +52,10 @@ CASES = [  # value, zone, day order, instant
 def test_formats(spark):
     rows = [(str(i), f"s{i}", c[0], "mine") for i, c in enumerate(CASES)]
     zones = [(f"s{i}", c[1], c[2]) for i, c in enumerate(CASES) if c[1]]
-    out = T.with_instants(spark.createDataFrame(rows, SCHEMA.replace("utc_ms", "note")), "v", "id", spark.createDataFrame(zones, "session_id string, zone_name string, day_order string"))
+    out = T.with_instants(spark.createDataFrame(rows, SCHEMA.replace("utc_ms", "_f")), "v", "id", spark.createDataFrame(zones, "session_id string, zone_name string, day_order string"))
     got = {r.id: r.utc_ms for r in out.collect()}
     assert [(c[0], got[str(i)]) for i, c in enumerate(CASES)] == [(c[0], c[3]) for c in CASES]
-    assert out.columns == ["id", "session_id", "v", "note", "utc_ms"]
+    assert out.columns == ["id", "session_id", "v", "_f", "utc_ms"]
 
 
 def test_repeated_rows_and_empty_tables(spark):

@@ -140,6 +140,11 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     if not few:
         hits = hits.join(distinct.select("phrase"), "phrase", "left_semi")
     hits = hits.groupBy("phrase", "chunk_id", "d").agg(F.sum("w").alias("f"))
+    return scored(hits, wanted, corpus, few)
+
+
+def scored(hits: DataFrame, wanted: DataFrame, corpus: DataFrame, few: bool) -> DataFrame:
+    """query_id, chunk_id, bm25. hits: phrase, chunk_id, d, f; wanted: see phrases; corpus: one row with docs and avg_d."""
     # Counted over f, so that both uses of the hits need the same columns and share one exchange.
     df = hits.groupBy("phrase").agg(F.count_if(F.col("f") > 0).alias("n_docs"))
     idf = F.log((F.col("docs") - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))

@@ -57,7 +57,7 @@ def parse_fields(value: Column) -> Column:
     return F.split(out, r"\|", 12)
 
 
-def with_instants(df: DataFrame, value: str, key: str, sessions: DataFrame, session_key: str | None = "session_id", out: str = "utc_ms") -> DataFrame:
+def with_instants(df: DataFrame, value: str, key: str, sessions: DataFrame, session_key: str = "session_id", out: str = "utc_ms") -> DataFrame:
     """Adds `out`: the instant a timestamp text denotes, in whole milliseconds since 1970 UTC.
 
     df: rows with the text in `value`, a unique `key` and the session in `session_key`. sessions: session_id (unique),
@@ -67,15 +67,17 @@ def with_instants(df: DataFrame, value: str, key: str, sessions: DataFrame, sess
     kept. The session join spreads rows that need no zone over all partitions, so one huge session stays a matter of
     AQE's skew split for the few rows that do.
     """
-    cols = df.columns
-    v = trimmed(F.col(value))
+    # The caller's columns travel as one struct, so none of theirs can meet one of ours.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != out))
+    df = df.select(row.alias("_row"), F.col(value).alias("_value"), F.col(key).cast("string").alias("_key"), F.col(session_key).alias("_session"))
+    v = trimmed(F.col("_value"))
     # Empty fields become null inside one lambda: eleven columns of their own would outgrow a generated method.
-    fields = F.transform(parse_fields(F.col(value)), lambda x: F.nullif(x, F.lit("")))
+    fields = F.transform(parse_fields(F.col("_value")), lambda x: F.nullif(x, F.lit("")))
     one = df.withColumn("_f", fields).withColumn("_num", F.when(v.rlike(EPOCH), v))
     one = one.withColumn("_zero", F.expr(_sql("coalesce(upper(:zone) in ('UTC', 'GMT', 'Z', 'ETC/UTC', 'ETC/GMT'), false) or coalesce(upper(:ab) in ('UTC', 'GMT', 'Z'), false) or coalesce(upper(:off) = 'Z', false)")))
     one = one.withColumn("_need", F.expr(_sql("coalesce(:kind = 'slash' or (:kind is not null and not _zero and :off is null and :zone is null), false)")))
     far = sessions.select(F.col("session_id").alias("_sid"), F.col("zone_name").alias("_dz"), F.col("day_order").alias("_do"))
-    joinable = F.when(F.col("_need"), F.col(session_key)).otherwise(F.concat(F.lit("\u0000"), F.col(key).cast("string")))
+    joinable = F.when(F.col("_need"), F.col("_session")).otherwise(F.concat(F.lit("\u0000"), F.col("_key")))
     two = one.withColumn("_sid", joinable).join(far, "_sid", "left")
     for name, sql in _STEPS:
         two = two.withColumn(name, F.expr(_sql(sql)))
@@ -83,7 +85,7 @@ def with_instants(df: DataFrame, value: str, key: str, sessions: DataFrame, sess
     two = two.withColumn("_tz", F.when(zone.isin([*zone_names(), "UTC"]), zone))
     for name, sql in _STEPS_IN_ZONE:
         two = two.withColumn(name, F.expr(_sql(sql)))
-    return two.withColumn(out, F.expr(_sql(_MILLIS))).select(*cols, out)
+    return two.select("_row.*", F.expr(_sql(_MILLIS)).alias(out))
 
 
 _PLACES = ("kind", "y", "mo", "d", "h", "mi", "s", "fr", "off", "zone", "ab", "half")
