@@ -31,7 +31,8 @@ TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "se
 SURNAME_ENDINGS = ("strom", "ström", "lund", "wick", "shaw", "quist", "etti", "mont", "sson", "zine", "dale", "berg", "vic", "oux", "val", "ski", "ret")
 ORDINARY_WORDS = frozenset(
     "secret interval retrieval removal approval arrival carnival festival interpret regret magazine service civic iceberg cabaret turret ferret egret survival revival rival oval naval "
-    "interprets brouze signal val ret mont berg dale wick lund ski vic shaw upheaval withdrawal disapproval medieval beret claret discret concret fret minaret".split()
+    "interprets brouze signal val ret mont berg dale wick lund ski vic shaw upheaval withdrawal disapproval medieval beret claret discret concret fret minaret garret caret serval narval cheval époux doux jaloux cailloux "
+    "iceberg amont piedmont benzine fanzine webzine pelvic bailiwick candlewick spaghetti confetti libretti mousson boisson poisson nourrisson frisson buisson unisson cuisson moisson chausson caisson rickshaw".split()
 )
 PAIR_CUES = ("pair with", "pairing with", "ask", "thanks to", "met", "spoke with", "cc", "hi", "hello", "dear", "according to", "written by", "opened by", "reported by")
 # Given names that are ordinary words too: alone they are no name unless a cue of a person precedes.
@@ -203,6 +204,8 @@ class Finder:
             while begin and text[begin - 1].isalpha():
                 begin -= 1
             word = text[begin:end]
+            if not (word.islower() or word.isupper() or word[1:].islower()):
+                return None
             if len(word) < 6 or word.lower() in ORDINARY_WORDS or begin and text[begin - 1] in "_@/.+%\\" or begin and text[begin - 1] in "_@/+%\\" or begin and text[begin - 1] == "." or begin and text[begin - 1].isdigit():
                 return None
             if begin and text[begin - 1] == "-" and not re.search(rf"{_LETTER}-$", text[max(0, begin - 2) : begin]):
@@ -214,7 +217,7 @@ class Finder:
             person = plain in self.given or plain in TITLES or bool(initials.strip())
             if word[0].isupper():
                 pass
-            elif not (person or before and before[0].islower() and self._cued(low, begin - len(left[0]))):
+            elif not (person or before and before[0].islower() and (self._cued(low, begin - len(left[0])) or re.search(r"(?:^|[\n.?!:='\"]\s*)$", low[max(0, begin - len(left[0]) - 3) : begin - len(left[0])]))):
                 return None
             at = begin - len(joined) - len(initials)
             if before and plain not in _SENTENCE_WORDS and (plain in self.given or plain in TITLES or before[0].isupper() and word[0].isupper() or word[0].islower()):
