@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ _ACCENTED = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC
 WHITE = " \t\n\r\f\v"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often use refers to it inside lambdas of its own."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
@@ -65,8 +71,7 @@ def match_terms(query: Column, most: int = MAX_TERMS) -> Column:
 
 def term_coverage(terms: Column, text: Column) -> Column:
     """The share of terms that occur in the lower-cased text as substrings; 0 without terms."""
-    hay = F.lower(text)
-    hits = F.size(F.filter(terms, lambda t: F.contains(hay, t)))
+    hits = bind(F.lower(text), lambda hay: F.size(F.filter(terms, lambda t: F.contains(hay, t))))
     return F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(F.lit(0.0))
 
 

@@ -113,9 +113,9 @@ def deliver(batch: DataFrame, send: Callable[[str, list], None], size: int = DEL
 def hash_embedding(text: Column, width: int = 64) -> Column:
     """A vector of hashed tokens of length one, in place of a model: the default embedder."""
     slots = F.transform(T.index_tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float"))
+    counts = T.bind(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    return T.bind(counts, lambda c: T.bind(norm(c), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))))
 
 
 def due(queue: DataFrame, as_of: Column, batch: int = EMBED_BATCH) -> DataFrame:
