@@ -2,6 +2,7 @@
 
 import os
 
+import pandas
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def duck(data):
 
 def canonical(frame):
     def value(v):
-        if v is None or v != v:
+        if v is None or pandas.isna(v):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 

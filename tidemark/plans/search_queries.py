@@ -73,7 +73,7 @@ BM25_SQL = r"""
 
 def search_sql(name: str) -> str:
     query, r, hybrid = SEARCHES[name]
-    queries = C.BATCH_SQL if query is None else f"queries as (select 0 as query_id, {_quoted(query)} as query)"
+    queries = C.BATCH_SQL if query is None else f"queries as (select 0::bigint as query_id, {_quoted(query)} as query)"
     keep = ["visibility in ('shared', 'broadcast')" if r.requester is None else f"(visibility in ('shared', 'broadcast') or agent_id = {_quoted(r.requester)} or recipient_id = {_quoted(r.requester)})"]
     keep += [f"{c} = {_quoted(getattr(r, c))}" for c in ("namespace", "kind") if getattr(r, c)]
     if r.tag:
@@ -89,7 +89,7 @@ def search_sql(name: str) -> str:
         vector = f"""{C.VECTORS_SQL}, {C.QUERY_VECTORS_SQL},
     sims as (select q.query_id, v.chunk_id, round(list_cosine_similarity(q.embedding, v.embedding), 12) as sim from query_vectors q, vectors v),
     near as (select *, row_number() over (partition by query_id order by sim desc, chunk_id) as r from sims qualify r <= {r.candidates}),
-    vec as (select query_id, chunk_id, row_number() over (partition by query_id order by r) - 1 as v_rank, least(1.0, greatest(0.0, sim)) as similarity from near where chunk_id in (select chunk_id from scoped)),"""
+    vec as (select query_id, chunk_id, row_number() over (partition by query_id order by r) - 1 as v_rank, least(1.0, greatest(0.0, sim)) as similarity from near where chunk_id in (select chunk_id from scoped) and query_id in (select query_id from queries)),"""
     else:
         vector = "vec as (select query_id, chunk_id, 0 as v_rank, 0.0 as similarity from keyword where false),"
     return f"""with {queries}, {C.CHUNKS_SQL}, {C.LINKS_SQL}, {TERMS_SQL}, {BM25_SQL},
@@ -167,7 +167,7 @@ ORACLES = {n: search_sql(n) for n in SEARCHES} | {
     "vector_knn_per_project": _knn_sql(3, ", project_key"),
     "query_terms": f"""with queries as (select doc_id as query_id, text as query from documents where text is not null), {TERMS_SQL}
         select query_id as doc_id, (r - 1)::int as ord, term from (select *, row_number() over (partition by query_id order by i) as r from kept) where r <= 16""",
-    "term_coverage": f"""with queries as (select 0 as query_id, {_quoted(QUESTION)} as query), {TERMS_SQL}, {C.CHUNKS_SQL}
+    "term_coverage": f"""with queries as (select 0::bigint as query_id, {_quoted(QUESTION)} as query), {TERMS_SQL}, {C.CHUNKS_SQL}
         select chunk_id, round((select avg(case when contains(lower(title || ' ' || tags || ' ' || content), term) then 1.0 else 0.0 end) from terms), 4) as coverage from chunks""",
     "recency_decay": f"""with {C.CHUNKS_SQL} select chunk_id, round(case when ts is null or ts >= timestamptz '{C.AS_OF}+00' then 1.0 else pow(0.5, epoch(timestamptz '{C.AS_OF}+00' - ts) / 86400 / 14) end, 6) as recency from chunks""",
     "index_vocabulary": r"""with t as (select doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) as token from documents where text is not null)

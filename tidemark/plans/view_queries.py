@@ -34,7 +34,7 @@ def list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_projects_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = D.sessions(spark, sf_dir).groupBy("project_key").agg(F.count("*").alias("session_count"), F.max("last_event_at").alias("last_active"))
     p = table(spark, sf_dir, "projects").join(s, "project_key", "left").orderBy(F.desc_nulls_last("last_active"), "project_key").limit(40)
-    return p.select("project_key", "display_name", F.coalesce("session_count", F.lit(0)).alias("session_count"), us("last_active"))
+    return p.select("project_key", "display_name", F.coalesce("session_count", F.lit(0)).alias("session_count"), F.coalesce(F.unix_micros("last_active"), F.lit(-1)).alias("last_active_us"))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ ORACLES = {
     "list_sessions": f"""{_SUMS}, s as (select * from sess where not is_sidechain and status <> 'closed' order by last_event_at desc nulls last, session_id limit 50)
         select session_id, project_key, status, tool, coalesce(nullif(ai_title, ''), 'Session ' || session_id[1:8]) as title, event_count, epoch_us(last_event_at) as last_event_at_us, tier, summary from s left join best using (session_id)""",
     "list_projects_nulls_last": f"""{_BASE}, a as (select project_key, count(*) as session_count, max(last_event_at) as last_active from sess group by 1)
-        select project_key, display_name, coalesce(session_count, 0) as session_count, epoch_us(last_active) as last_active_us from projects left join a using (project_key) order by last_active desc nulls last, project_key limit 40""",
+        select project_key, display_name, coalesce(session_count, 0) as session_count, coalesce(epoch_us(last_active), -1) as last_active_us from projects left join a using (project_key) order by last_active desc nulls last, project_key limit 40""",
     "status_counts": f"""{_BASE}, {D.ENTRIES_SQL} select 'agents' as name, count(*) as rows from agents union all select 'entries', count(*) from ent union all select 'projects', count(*) from projects union all select 'sessions', count(*) from merged
         union all select 'session_events', count(*) from ev union all select 'chunks', count(*) from documents union all select 'embedded_chunks', count(*) from embeddings""",
     "embedding_coverage": f"with {C.CHUNKS_SQL}, {C.VECTORS_SQL} select c.project_key, count(*) as chunks, count(v.chunk_id) as embedded, round(count(v.chunk_id) / count(*)::double, 4) as coverage from chunks c left join vectors v using (chunk_id) group by 1",
