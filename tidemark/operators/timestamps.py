@@ -76,13 +76,15 @@ def with_instants(df: DataFrame, value: str, key: str, sessions: DataFrame, sess
     one = df.withColumn("_f", fields).withColumn("_num", F.when(v.rlike(EPOCH), v))
     one = one.withColumn("_zero", F.expr(_sql("coalesce(upper(:zone) in ('UTC', 'GMT', 'Z', 'ETC/UTC', 'ETC/GMT'), false) or coalesce(upper(:ab) in ('UTC', 'GMT', 'Z'), false) or coalesce(upper(:off) = 'Z', false)")))
     one = one.withColumn("_need", F.expr(_sql("coalesce(:kind = 'slash' or (:kind is not null and not _zero and :off is null and :zone is null), false)")))
-    far = sessions.select(F.col("session_id").alias("_sid"), F.col("zone_name").alias("_dz"), F.col("day_order").alias("_do"))
+    # The names as one literal split up: a list of them in expressions would be repeated all over the plan.
+    names = df.sparkSession.range(1).select(F.explode(F.split(F.lit(",".join([*zone_names(), "UTC"])), ",")).alias("_ok"))
+    far = sessions.join(F.broadcast(names), F.col("zone_name") == F.col("_ok"), "left").select(F.col("session_id").alias("_sid"), F.col("_ok").alias("_dz"), F.col("day_order").alias("_do"))
     joinable = F.when(F.col("_need"), F.col("_session")).otherwise(F.concat(F.lit("\u0000"), F.col("_key")))
     two = one.withColumn("_sid", joinable).join(far, "_sid", "left")
     for name, sql in _STEPS:
         two = two.withColumn(name, F.expr(_sql(sql)))
-    zone = F.when(F.col("_omin").isNull(), F.coalesce(F.expr(_sql(":zone")), F.when(F.col("_f").isNotNull(), F.col("_dz"))))
-    two = two.withColumn("_tz", F.when(zone.isin([*zone_names(), "UTC"]), zone))
+    two = two.join(F.broadcast(names), F.expr(_sql(":zone")) == F.col("_ok"), "left")
+    two = two.withColumn("_tz", F.expr(_sql("case when _omin is null then if(:zone is null, if(_f is null, null, _dz), _ok) end")))
     for name, sql in _STEPS_IN_ZONE:
         two = two.withColumn(name, F.expr(_sql(sql)))
     return two.select("_row.*", F.expr(_sql(_MILLIS)).alias(out))
