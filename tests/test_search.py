@@ -88,3 +88,14 @@ def test_kept_index_gives_the_same_scores_and_reads_few_buckets(spark, tmp_path)
     assert sorted(map(tuple, P.bm25(index, q).collect())) == sorted(map(tuple, S.bm25(chunks, q).collect()))
     plan = P.bm25(index, q.where("query_id = 1"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_whole_batch_takes_terms_beyond_the_beginning(spark, data):
+    from tidemark.functions import text as T
+    from tidemark.plans import corpus as C
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 100 = 0 and text is not null").collect()}
+    got = {r.query_id: r.query for r in C.whole_batch(spark, data).collect()}
+    assert got == docs
+    late = spark.createDataFrame([(0, "the " * 40 + "cursor")], "query_id int, query string")
+    assert late.select(T.query_terms(F.col("query"))).first()[0] == ["cursor"]
