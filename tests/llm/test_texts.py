@@ -27,6 +27,12 @@ def test_cuts_where_the_text_pauses():
     assert C.pieces(None, 10, 2) == C.pieces(" \n ", 10, 2) == []
 
 
+def test_cuts_before_a_long_word_rather_than_in_it():
+    text = "Intro here. See " + "x" * 40
+    assert [text[a:b] for a, b, _ in C.pieces(text, 35, 0)] == ["Intro here. ", "See ", "x" * 35, "xxxxx"]
+    assert [text[a:b] for a, b, _ in C.pieces(text, 35, 14)][0] == "Intro here. See "
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-1, 7), min_size=1, max_size=80), st.data())
 def test_range_maximum(values, data):

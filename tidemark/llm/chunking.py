@@ -97,6 +97,11 @@ def pieces(text: str | None, size: int | None, overlap: int | None) -> list[tupl
         first = start + max(carried + 1, overlap + 1, size - max(1, size // 2))
         last = start + size
         cut = table_.argmax(min(first, last), last)
+        lowest = start + max(carried, overlap) + 1
+        if values[cut] <= 0 and lowest < first:  # nothing in the last part: a boundary before it
+            earlier = table_.argmax(lowest, min(first, last) - 1)
+            if values[earlier] > 0:
+                cut = earlier
         if values[cut] <= 0 and values[last] >= 0:
             cut = last  # an unbroken stretch: as long as may be
         if values[cut] < 0:
