@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import credentials, pii, redaction_queries
+from tidemark.llm import credentials, keypaths, pii, redaction_queries
 
 NAMES = ("Mark", "Rose", "Will", "Grace", "Zoë", "Anton")
 PII, SECRETS = pii.Finder(NAMES), credentials.Finder()
@@ -46,6 +46,36 @@ def test_secret_values_only(before, secret, after):
     assert out == (before + "[SECRET]" + after if secret else text)
 
 
+@pytest.mark.parametrize("before, secret, after", [
+    ("env:\n- name: DB_PASSWORD\n  value: ", SECRET, "\n- name: MODE\n  value: fast-lane-22"), ("environment:\n  - value: ", SECRET, "\n    name: API_TOKEN\n"), ('[{"name": "API_TOKEN", "value": "', SECRET, '"}, {"name": "MODE", "value": "fast-lane-22"}]'),
+    ("db:\n  password:\n    value: ", SECRET, "\n    size: large-size-22"), ("password:\n  ", SECRET, "\nuser: someone-22"), ("secret: |\n  ", SECRET + "\n  " + SECRET, "\nuser: someone-22"), ("- name: client_secret\n  value: >-\n    ", SECRET, "\n- name: x"),
+    ('{"password": {"value": "', SECRET, '", "rotated": "2024-22-aB"}}'), ("env = [{ name = \"DB_PASSWORD\", value = \"", SECRET, '" }]'), ("{name: API_TOKEN, value: ", SECRET, "}"), ("passwords:\n- ", SECRET, "\nusers:\n- someone-22"),
+    ("[db.password]\nuser = \"someone-22\"\nvalue = \"", SECRET, '"\n[other]\nvalue = "someone-22"'), ("<property><name>db.password</name><value>", SECRET, "</value></property>"), ('<property value="', SECRET, '" name="db.password"/>'), ("<password><value>", SECRET, "</value></password>"),
+    ("use acme_test_", "", ""), ("curl --user app:", SECRET, " x"), ("curl -uapp:", SECRET, " x"),
+])
+def test_key_paths(before, secret, after):
+    assert credentials.redact(before + secret + after, SECRETS.spans(before + secret + after)) == (before + "[SECRET]" + after if secret else before)
+
+
+def test_test_tokens_count_without_other_cues():
+    text = "try acme_test_" + "a1B2" * 5 + " here"
+    assert credentials.redact(text, SECRETS.spans(text)) == "try [SECRET] here"
+
+
+def test_key_paths_have_offsets_and_parents():
+    text = "a:\n  b:\n  - name: X\n    value: 'v w'\n"
+    got = {(p.path, text[p.start : p.end]) for p in keypaths.pairs(text)}
+    assert got == {(("a", "b", "name"), "X"), (("a", "b", "value"), "'v w'"), (("a", "b", "X"), "'v w'")}
+
+
+@pytest.mark.parametrize("text", [
+    "- name: DB_PASSWORD\n  valueFrom:\n    secretKeyRef:\n      name: hub-db-22\n      key: pass-Word-1", '{"name": "API_TOKEN", "value": "${API_TOKEN}"}', "password: |\n  Rotate this one by 2024-05-01, please.\nx: y",
+    "Token:\n  the first word counts", "- name: MODE\n  value: hT7kQ2pWz9LmX4vB", '{"tokens": {"value": 5066123}}',
+])
+def test_key_paths_without_secret(text):
+    assert SECRETS.spans(text) == []
+
+
 @pytest.mark.parametrize("text", [
     'password = os.getenv("DB_PASSWORD")', "API_TOKEN=[REDACTED:credential]", "password: ********", "API_KEY=${API_KEY}", "export K=$(pass show hub/api)", "def check(password: str, secret: bytes | None = None) -> bool: ...", "max_tokens: 5066, token_count=21089",
     "token = next(tokens)", "Set api_key to <your-api-key> in x.", "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\n-----END PUBLIC KEY-----", "git show ffc7c25f65d35ff43f997a7290b5dc2af1f668cc", "mysql -u reader -p hub",
@@ -68,6 +98,9 @@ def test_very_long_texts_stay_linear():
     t = time.time()
     PII.spans("a" * 300_000 + " @ " + "1 " * 100_000)
     SECRETS.spans("token " * 40_000)
+    for odd in ("{", '{"a":', "<a>", "  - ", "a: b" + " " * 99 + "\n", "[a\n", "[a=\n", "{'"):
+        SECRETS.spans("token\n" + odd * (200_000 // len(odd)))
+    SECRETS.spans("token: x" + " " * 200_000 + "y\n")
     assert time.time() - t < 20
 
 

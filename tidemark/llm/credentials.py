@@ -1,8 +1,9 @@
 """Credentials in code, configuration, commands and prose.
 
-An automaton over cue words leaves out the many texts without any. The rest is parsed as what its lines are: assignments
-and mappings of the usual configuration formats become (key path, value, offsets), addresses, headers and command-line
-options the same; a value counts if its key's last part is sensitive and its shape is that of a literal. Tokens of known
+An automaton over cue words leaves out the many texts without any. In the rest, patterns read single assignments,
+addresses, headers and command-line options; keypaths reads configuration formats into (key path, value, offsets), so
+that a name beside the value and the keys above it count too. A value counts if its key's last part is sensitive, or
+the key above a mere "value", and its shape is that of a literal. Tokens of known
 issue and private key blocks count wherever they stand. Spans cover the value only, so that splicing a placeholder in
 leaves quotes, keys and the code around as they were.
 """
@@ -13,10 +14,12 @@ import re
 
 import ahocorasick
 
+from tidemark.llm import keypaths
+
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 CUES = (
     "pass", "pwd", "pw", "kennwort", "contraseña", "clave", "secret", "token", "key", "auth", "bearer", "basic ", "-----begin", "://", "credential", "login",
-    "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "akia", "asia", "aiza", "eyj", "nvapi-", "_live_", " -p", " -a ", " -u ", " -k ", "pin ",
+    "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "akia", "asia", "agpa", "aida", "aiza", "eyj", "nvapi-", "_live_", "_test_", " -p", " -a ", " -u", "--user", " -k ", "pin ",
 )
 KNOWN_TOKENS = (
     r"sk-ant-[A-Za-z0-9_-]{16,}", r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", r"nvapi-[A-Za-z0-9_-]{16,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{20,}", r"glpat-[A-Za-z0-9_-]{16,}",
@@ -62,6 +65,15 @@ _REFERENCE = re.compile(
     re.I,
 )
 
+_SENSITIVE_KEY = re.compile(_KEYED, re.I)
+_KEY_CUES = frozenset(("pass", "pwd", "pw", "kennwort", "contraseña", "secret", "token", "key", "auth", "credential"))
+
+
+def _sensitive(path: tuple[str, ...], named: bool) -> bool:
+    """Whether the key that says what the value is, is a sensitive one."""
+    key = path[-2] if len(path) > 1 and not named and path[-1].lower() in keypaths.VALUES else path[-1]
+    return len(key) <= 200 and _SENSITIVE_KEY.fullmatch(key) is not None
+
 
 class Finder:
     """Finds literal secrets; made once in each worker."""
@@ -110,6 +122,12 @@ class Finder:
                 add(m, strict=pattern is _COMMANDS[-1], bare=True)
         for m in _PROSE.finditer(text):
             add(m, strict=True)
+        if not _KEY_CUES.isdisjoint(cues):
+            for p in keypaths.pairs(text):
+                if _sensitive(p.path, p.named):
+                    quoted = text[p.start] in "\"'"
+                    if quoted or not any(" " in x.strip() or "\t" in x.strip() for x in text[p.start : p.end].splitlines()):
+                        self._value(text, p.start, p.end, found, not quoted, False)
         return _merged(found)
 
     @staticmethod
