@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_model import EVENT, event
@@ -82,3 +83,38 @@ def test_queue(spark):
     assert [r.chunk_id for r in vectors.collect()] == ["ok"]
     left = {r.chunk_id: (r.attempts, r.next_attempt_at) for r in rest.collect()}
     assert left.keys() == {"bad", "wide", "later", "spent"} and left["bad"] == (2, now + dt.timedelta(seconds=60)) and left["wide"][0] == 6 and left["later"][0] == 0
+
+
+def test_one_round_without_a_batch_is_all_rounds(spark):
+    now = dt.datetime(2026, 1, 1)
+    queue = spark.createDataFrame([(f"c{i}", now - dt.timedelta(minutes=i % 3), i % 7, now) for i in range(14)] + [("late", now, 0, now + dt.timedelta(seconds=1))], "chunk_id string, enqueued_at timestamp, attempts int, next_attempt_at timestamp")
+    chunks = queue.select("chunk_id", F.lit("p").alias("project_key"), F.col("chunk_id").alias("content"))
+    embed = lambda c: F.when(c == "c1", F.lit(None)).when(c == "c2", G.hash_embedding(c, 5)).otherwise(G.hash_embedding(c, 4))
+    vectors, rest = G.drain(queue, chunks, embed, F.lit(now), 4, None)
+    kept, left = set(), spark.createDataFrame(queue.collect(), queue.schema)
+    while G.due(left, F.lit(now)).count():
+        v, left = G.drain(left, chunks, embed, F.lit(now), 4, 5)
+        kept |= {r.chunk_id for r in v.collect()}
+        left = spark.createDataFrame(left.collect(), queue.schema)
+    assert {r.chunk_id for r in vectors.collect()} == kept and len(kept) == 10
+    assert sorted(map(tuple, rest.select(queue.columns).collect())) == sorted(map(tuple, left.collect()))
+
+
+def test_drained_vectors_by_brute_force(spark, data):
+    from collections import Counter
+
+    from tidemark.functions import text as T
+    from tidemark.operators import indexing as I
+    from tidemark.plans import source_queries as Q
+    from tidemark.plans import stored as D
+
+    chunks = I.chunk_entries(D.entries(spark, data)).select("chunk_id", T.index_tokens(F.col("content")).alias("t"), (F.coalesce("ts", D.as_of()) <= D.as_of()).alias("due")).collect()
+    words = sorted({w for r in chunks for w in r.t})
+    slot = {r.w: r.h % 64 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {r.chunk_id: r.embedding for r in Q.embedding_drained(spark, data).collect()}
+    assert got.keys() == {r.chunk_id for r in chunks if r.due} and len(got) > 40
+    for r in chunks:
+        if r.due:
+            n = Counter(slot[w] for w in r.t)
+            norm = sum(v * v for v in n.values()) ** 0.5 or 1
+            assert got[r.chunk_id] == pytest.approx([n[i] / norm for i in range(64)], abs=1e-6)

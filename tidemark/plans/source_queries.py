@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import indexing as I
 from tidemark.operators import model as M
 from tidemark.plans import stored as D
 from tidemark.session import table
@@ -56,7 +57,16 @@ def embedding_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("chunk_id", "project_key", F.size("embedding").alias("width"))
 
 
-QUERIES = {f.__name__: f for f in (store_texts, store_tools, store_newest_message, store_history, stream_ingest, embedding_round)}
+def embedding_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the contents of all entries' chunks, after the queue was drained until none was due."""
+    chunks = I.chunk_entries(D.entries(spark, sf_dir))
+    at = F.coalesce("ts", D.as_of())
+    queue = chunks.select("chunk_id", at.alias("enqueued_at"), F.lit(0).alias("attempts"), at.alias("next_attempt_at"))
+    vectors, _ = G.drain(queue, chunks, lambda c: G.hash_embedding(c), D.as_of(), batch=None)
+    return vectors
+
+
+QUERIES = {f.__name__: f for f in (store_texts, store_tools, store_newest_message, store_history, stream_ingest, embedding_round, embedding_drained)}
 _WS = "' \t\n\r\x0b\x0c'"
 _SCRUB = f"trim(array_to_string(list_filter(regexp_split_to_array(coalesce({{0}}, ''), '\r\n|\n|\r'), lambda x: not regexp_matches(x, '{T.CREDENTIAL_LINE}')), chr(10)), {_WS})"
 ORACLES = {

@@ -118,14 +118,16 @@ def hash_embedding(text: Column, width: int = 64) -> Column:
     return T.bind(counts, lambda c: T.bind(norm(c), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))))
 
 
-def due(queue: DataFrame, as_of: Column, batch: int = EMBED_BATCH) -> DataFrame:
-    """The next chunks to embed, first come first served."""
-    return queue.where((F.col("next_attempt_at") <= as_of) & (F.col("attempts") < EMBED_ATTEMPTS)).orderBy("enqueued_at", "chunk_id").limit(batch)
+def due(queue: DataFrame, as_of: Column, batch: int | None = EMBED_BATCH) -> DataFrame:
+    """The next chunks to embed, first come first served; None: all that are due."""
+    ready = queue.where((F.col("next_attempt_at") <= as_of) & (F.col("attempts") < EMBED_ATTEMPTS))
+    return ready if batch is None else ready.orderBy("enqueued_at", "chunk_id").limit(batch)
 
 
-def drain(queue: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], as_of: Column, width: int = 64, batch: int = EMBED_BATCH) -> tuple[DataFrame, DataFrame]:
+def drain(queue: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], as_of: Column, width: int = 64, batch: int | None = EMBED_BATCH) -> tuple[DataFrame, DataFrame]:
     """(vectors, queue) after one round: embedded chunks leave the queue, failed ones wait twice as long each time, and
-    vectors of another width are parked for good. embed: text column -> array column, null where it failed."""
+    vectors of another width are parked for good. embed: text column -> array column, null where it failed. Without a
+    batch the round is all rounds at as_of in one: what failed waits beyond as_of, so nothing comes twice."""
     work = due(queue, as_of, batch).join(chunks.select("chunk_id", "project_key", "content"), "chunk_id").withColumn("embedding", embed(F.col("content")))
     vectors = work.where(F.size("embedding") == width).select("chunk_id", "project_key", "embedding")
     failed = work.where(F.col("embedding").isNull() | (F.size("embedding") != width)).select("chunk_id", F.col("embedding").isNotNull().alias("parked"))
