@@ -66,6 +66,13 @@ def epoch_autoscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.floor(F.unix_millis(T.epoch_autoscale(F.col("timestamp"))) / 1000).cast("bigint").alias("seconds"))
 
 
+def epoch_autoscale_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message; null where the value is neither seconds nor milliseconds after 1970 (0 and less, 1e14 and more)."""
+    t = F.col("timestamp")
+    scaled = F.floor(F.unix_millis(T.epoch_autoscale(F.when((t > 0) & (t < 1e14), t))) / 1000).cast("bigint")
+    return table(spark, sf_dir, "messages").select("id", scaled.alias("seconds"))
+
+
 def collapse_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "session_events").select("event_id", F.posexplode("commands").alias("i", "command")).select("event_id", "i", T.collapse(F.col("command"), 60).alias("command"))
 
@@ -101,7 +108,7 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    token_estimate, truncate_tokens, normalize_tags, redact_extra, redact_counts, redact_events, scrub_lines, project_keys, search_seed, slugs, backoff_schedule, epoch_autoscale, collapse_commands, decision_records, entry_visibility, prompt_noise,
+    token_estimate, truncate_tokens, normalize_tags, redact_extra, redact_counts, redact_events, scrub_lines, project_keys, search_seed, slugs, backoff_schedule, epoch_autoscale, epoch_autoscale_all, collapse_commands, decision_records, entry_visibility, prompt_noise,
     html_escaped, denied_paths, paragraph_chunks,
 )}
 
