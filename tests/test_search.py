@@ -99,3 +99,11 @@ def test_whole_batch_takes_terms_beyond_the_beginning(spark, data):
     assert got == docs
     late = spark.createDataFrame([(0, "the " * 40 + "cursor")], "query_id int, query string")
     assert late.select(T.query_terms(F.col("query"))).first()[0] == ["cursor"]
+
+
+def test_a_long_term_is_met_as_a_whole(spark):
+    path = "/".join(f"part{i}" for i in range(11))
+    rows = [chunk("1", f"see {path}/end"), chunk("2", f"see {path}/other"), chunk("3", "nothing")]
+    q = spark.createDataFrame([(0, f"{path}/end")], "query_id int, query string")
+    assert [r.chunk_id for r in S.bm25(table(spark, rows), q).collect()] == ["1"]
+    assert [r.chunk_id for r in P.bm25(P.build(table(spark, rows)), q).collect()] == ["1"]

@@ -19,7 +19,6 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 MIN_SCORE = 0.12
 HALF_LIFE_DAYS = 14.0
-LONGEST_PHRASE = 8  # tokens of a query term that are looked up as a phrase
 FEW_PHRASES = 4_000  # up to so many distinct phrases are literals of the plan; more are joined by shuffle
 
 
@@ -116,7 +115,7 @@ def _weighted(runs: Column, weight: float) -> Column:
 def phrases(queries: DataFrame) -> DataFrame:
     """query_id, phrase, n: what each query looks up; a term that the index splits is a phrase of its tokens."""
     tokens = lambda t: F.regexp_extract_all(T.fold(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = queries.select("query_id", F.explode(F.array_distinct(T.match_terms(F.col("query")))).alias("term")).select("query_id", "term", F.slice(tokens(F.col("term")), 1, LONGEST_PHRASE).alias("t"))
+    each = queries.select("query_id", F.explode(F.array_distinct(T.match_terms(F.col("query")))).alias("term")).select("query_id", "term", tokens(F.col("term")).alias("t"))
     # Two terms may come down to one phrase; it counts for each of them.
     return each.where("size(t) > 0").groupBy("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("n")).agg(F.count("*").alias("times"))
 
