@@ -34,12 +34,22 @@ ORDINARY_WORDS = frozenset(
     "interprets brouze signal val ret mont berg dale wick lund ski vic shaw upheaval withdrawal disapproval medieval beret claret discret concret fret minaret garret caret serval narval cheval époux doux jaloux cailloux "
     "iceberg amont piedmont benzine fanzine webzine pelvic bailiwick candlewick spaghetti confetti libretti mousson boisson poisson nourrisson frisson buisson unisson cuisson moisson chausson caisson rickshaw".split()
 )
-PAIR_CUES = ("pair with", "pairing with", "ask", "thanks to", "met", "spoke with", "cc", "hi", "hello", "dear", "according to", "written by", "opened by", "reported by")
+# Phrases after which a capitalised word that is not known is a person's name. After "written by" and the like it is a
+# tool's as often; there only known names count.
+PAIR_CUES = ("pair with", "pairing with", "paired with", "spoke with", "speak with", "talked to", "met with", "cc", "hi", "hello", "dear")
+# Capitalised words that follow a title or such a phrase and are no name.
+NO_NAMES = frozenset(
+    "all team teams everyone everybody folks friends colleague colleagues customer customers user users support security operations infra platform infrastructure sir madam president chair director minister committee council "
+    "world github gitlab claude copilot codex chatgpt gpt spark python java rust docker kubernetes linux windows mac postgres sqlite redis kafka slack jira the this that these those there we you they it he she who what "
+    "no not none and or but if then thanks please alle zusammen team kollegen kunden kunde nutzer tous toutes equipo todos monday tuesday wednesday thursday friday saturday sunday "
+    "january february march april may june july august september october november december doktor professor engineering product design legal finance marketing sales management leadership data backend frontend".split()
+)
 # Given names that are ordinary words too: alone they are no name unless a cue of a person precedes.
 WORDLIKE = frozenset("mark rose will grace hope joy may april june frank art bill jack rob sue pat dawn faith ivy lily ruby pearl amber iris summer autumn max ray dean chase guy".split())
 
 _LETTER = r"[^\W\d_]"
 _WORD = rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:-{_LETTER}+)*"
+_CAPITALISED = re.compile(rf"[A-ZÀ-Þ](?:['’][A-ZÀ-Þ])?{_LETTER}+(?:-{_LETTER}+)?(?![\w])")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+'-]+$")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _DOT = r"(?:\.|[ ]*(?:\(dot\)|\[dot\]|\{dot\}|\(punkt\)|\[punkt\])[ ]*|[ ]+dot[ ]+)"
@@ -67,7 +77,7 @@ class Finder:
     def __init__(self, given_names: tuple[str, ...] = ()):
         self.given = frozenset(g.lower() for g in given_names if g)
         words: dict[str, set[str]] = {}
-        for kind, cues in (("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", tuple(self.given)), ("ending", SURNAME_ENDINGS), ("title", tuple(f"{t}{e}" for t in TITLES for e in (" ", ". ")))):
+        for kind, cues in (("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", tuple(self.given)), ("ending", SURNAME_ENDINGS), ("title", tuple(f"{t}{e}" for t in TITLES for e in (" ", ". "))), ("pair", tuple(f"{c} " for c in PAIR_CUES))):
             for cue in cues:
                 words.setdefault(cue.lower(), set()).add(kind)
         self.auto = ahocorasick.Automaton()
@@ -238,13 +248,29 @@ class Finder:
                 nxt = re.match(rf"[ ]+({_WORD})", text[end : end + 30])
                 return (start, end) if cued and not (nxt and nxt[1][0].isupper()) and not (nxt and nxt[1] in ("and", "period", "the")) else None
             return start, end
+        if kind == "pair":  # names that are known, or end as surnames do, have anchors of their own
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-"):
+                return None
+            m = _CAPITALISED.match(text, end)
+            if not m or m.end() < size and text[m.end()] in "_@/(\\" or re.match(r"[.]\w|['’-]?\d", text[m.end() : m.end() + 2]) or not self._unknown(m[0]):
+                return None
+            return m.span()
         # A title: the capitalised word that follows is a name.
         if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-") or not text[start].isupper():
             return None
         m = re.match(rf"(?:{_LETTER}\.[ ]?)?([A-ZÀ-Þ]{_LETTER}+(?:-{_LETTER}+)?)", text[end : end + 40])
         if not m or low[start:end].strip(" .") in ("don", "miss", "sr"):
             return None
-        return (start, end + m.end()) if m[1].lower().endswith(SURNAME_ENDINGS) or m[1].lower() in self.given else None
+        if m[1].lower() in self.given:
+            more = _CAPITALISED.match(text, end + m.end() + 1) if text[end + m.end() : end + m.end() + 1] == " " else None
+            return (start, more.end() if more and self._unknown(more[0]) else end + m.end())
+        # In upper case throughout, MS and DR are none: MS Windows.
+        return (start, end + m.end()) if m[1].lower().endswith(SURNAME_ENDINGS) or text[start + 1 : end].islower() and m[1][1:].replace("-", "").isalpha() and self._unknown(m[1]) else None
+
+    def _unknown(self, word: str) -> bool:
+        """Whether a capitalised word may be a name nobody knows."""
+        w = word.lower()
+        return w not in NO_NAMES and w not in ORDINARY_WORDS and w not in WORDLIKE and w not in TITLES and w not in _SENTENCE_WORDS and w not in self.given and not word.isupper()
 
     @staticmethod
     def _cued(low: str, at: int) -> bool:
