@@ -70,6 +70,11 @@ def test_prompts(text, verdict):
     assert X.analyse(text, False)[0] == verdict
 
 
+@pytest.mark.parametrize("text, verdict", [("Call run(a,\n\nthen go on.", "cut"), ("Take {\n\n  a: 1\n}.", "whole"), ('A 5" disk.\n\nAll done.', "whole")])
+def test_brackets_go_on_over_blank_lines(text, verdict):
+    assert X.analyse(text, False)[0] == verdict
+
+
 def test_blank_texts_are_no_case():
     assert X.analyse(None, False) is None and X.analyse("  ", True) is None
 

@@ -52,7 +52,9 @@ def open_structure(text: str, command: bool) -> bool:
         return True
     stack: list[str] = []
     quoted = False
-    for line in (text[text.rfind("\n\n") + 1 :] or text).split("\n"):
+    for line in text.split("\n"):
+        if not line:  # brackets go on over a blank line, quotes do not
+            quoted = False
         for i, c in enumerate(line):
             if c == '"' and (not i or line[i - 1] != "\\"):
                 quoted = not quoted
