@@ -120,22 +120,65 @@ def test_token_counts(spark):
 
 
 # ---- abuse ----------------------------------------------------------------------------------------------------------
+def words_of(text):
+    return [w for t in abuse.tokens(text) if t[0].isalnum() or t[0] in "$@*" for w in [abuse.plain(t)]]
+
+
+def worst(m, texts):
+    words = abuse.Words(m.starred)
+    row, feature, of = abuse.features([[words[t] for t in abuse.tokens(x)] for x in texts], m.known)
+    top = np.full(len(texts), -np.inf)
+    np.maximum.at(top, of, m.raw(row, feature, len(of)))
+    return top >= m.threshold
+
+
 def test_disguises_are_undone():
-    for t in ("you st​upid", "you st*pid", "you stupiiiid", "you ѕtupіd", "you STUPID", "you s-t-u-p-i-d", "you s t u p i d", "you $tupid", "you stup1d"):
-        assert "stupid" in [w for s in abuse.sentences(t) for w in abuse.terms(s)], t
-    assert abuse.terms("build v2 of utf8 at 10") == ["build", "v2", "of", "utf8", "at", "9"]
+    for t in ("you st\u200bupid", "you stupiiiid", "you ѕtupіd", "you STUPID", "you s-t-u-p-i-d", "you s t u p i d", "you $tupid", "you stup1d"):
+        assert "stupid" in words_of(t), t
+    assert words_of("build v2 of utf8 at 10") == ["build", "v2", "of", "utf8", "at", "9"]
+
+
+def test_starred_words_are_read_as_a_learned_word():
+    m = abuse.fit(["You are an idiot."] * 30 + ["Kill the process."] * 60, [True] * 30 + [False] * 60)
+    assert worst(m, ["You are an id*ot.", "Kill the pr*cess.", "You are an *diot.", "", "*"]).tolist() == [True, False, True, False, False]
+
+
+def test_pairs_tell_what_single_words_do_not():
+    """Either word alone stands as often in fine texts; only the two together are abusive, wherever in the sentence."""
+    rng = np.random.default_rng(1)
+    some = lambda: " ".join(rng.choice(["cache", "index", "window", "branch", "route", "batch"], 3))
+    abusive = [f"{some()} rotten {some()} greenlings {some()}." for _ in range(300)]
+    fine = [f"{some()} {w} {some()}." for w in ("rotten", "greenlings") for _ in range(300)]
+    m = abuse.fit(abusive + fine, [True] * 300 + [False] * 600)
+    assert worst(m, ["index greenlings the batch rotten window.", "index rotten the batch.", "index greenlings window."]).tolist() == [True, False, False]
 
 
 def test_held_out_accuracy(spark, data):
-    texts, labels = abuse.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
-    held = abuse.labelled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
-    m = abuse.fit(texts, labels)
-    top = [max([-99.0, *m.raw([abuse.features(s) for s in abuse.sentences(t)])]) >= m.threshold for t in held[0]]
-    assert np.mean(np.array(top) == np.array(held[1])) > 0.9  # raters err in some 4 of 100
+    """Fitted on the labels of one scale, held against those of another; raters err in some 4 of 100."""
+    texts, labels = abuse.labelled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    held = abuse.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    seen = set(texts)
+    fresh = [(t, y) for t, y in zip(*held) if t not in seen]
+    assert len(fresh) > 50
+    assert np.mean(worst(abuse.fit(texts, labels), [t for t, _ in fresh]) == np.array([y for _, y in fresh])) > 0.9
+
+
+def test_labelled_texts_stay_within_their_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab" * 10) for i in range(20)] + [(20, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "r", "abusive" if i % 2 else "fine") for i in range(21)] + [(0, "q", "abusive")], "doc_id bigint, rater string, verdict string")
+    assert len(abuse.labelled(docs, labels)[0]) == 19
+    monkeypatch.setattr(abuse, "MAX_LABELLED_CHARS", 100)
+    assert len(abuse.labelled(docs, labels)[0]) == 5
 
 
 def test_abuse_needs_both_kinds_of_labels():
-    assert abuse.fit(["a b"], [True]).raw([abuse.features("a b")])[0] < 0 and abuse.fit([], []).threshold == 0.5
+    assert not worst(abuse.fit(["a b"], [True]), ["a b"]).any() and not worst(abuse.fit([], []), ["a b"]).any()
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    m = abuse.fit(["You are an idiot."] * 30 + ["Kill the process."] * 60, [True] * 30 + [False] * 60)
+    docs = spark.createDataFrame([(1, "s", "Kill the process. " * 60_000 + "You are an idiot."), (2, "s", "Kill the process. " * 60_000)], "doc_id bigint, source string, text string")
+    assert [r.abusive for r in abuse.score_documents(docs, m).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_scores_of_all_documents(spark):

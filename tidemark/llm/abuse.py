@@ -4,6 +4,7 @@ A text is undisguised (invisible characters, look-alike letters, digits for lett
 sentences, and each sentence scored by w.x plus the pairwise interactions of its terms, so that an insult counts with a
 person or a group beside it and not with a process. A text's score is that of its worst sentence. Labels are of texts,
 so training is by multiple instances: of an abusive text only the sentence that scores worst so far is a positive.
+Everything the machine knows of words it learns from the labelled texts; there is no word list.
 """
 
 from __future__ import annotations
@@ -11,105 +12,117 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import explode_texts
 from tidemark.session import table
 
-MAX_LABELLED = 20_000  # labelled documents the model is fitted on, at most; the documents' hash picks them
-BITS, RANK = 16, 8  # hashed features, and the length of their interaction vectors: together 2.4 MB
+MAX_LABELLED = 10_000  # labelled documents the model is fitted on, at most; the documents' hash picks them
+MAX_LABELLED_CHARS = 40_000_000  # and code points of their texts together, at most
+BITS, RANK = 18, 8  # hashed features, and the length of their interaction vectors: together 9 MB
+LEAST_TEXTS = 2  # a feature of fewer labelled texts is not learned
+FOLDS, ROUNDS = 4, 2
+MAX_KNOWN = 200_000  # words a task remembers before it starts anew
 SEED = 7
 
-# ---- fixed values: words by class, in the languages of the texts, and what disguises letters ---------------------------
-WORDS = {
-    "insult": "idiot idiots moron imbecile cretin fool loser clown bastard asshole scumbag creep pig cow rat rats snake worm weasel slob hag ape parasite parasites vermin filth trash scum animals plague disease subhuman "
-    "dumb stupid brainless braindead useless worthless pathetic gutless spineless filthy disgusting shit piece bitch whore slut cunt prick dickhead wanker twat jerk retard "
-    "arschloch mistkerl vollpfosten penner nichtsnutz versager dreckskerl schwachkopf trottel depp ungeziefer abschaum blod schlampe hure wichser dummkopf schweinehund "
-    "bouffon minable raclure cretin imbecile salaud abruti connard conne vermine betes debile ordure pute salope batard "
-    "cretino desgraciado miserable payaso inutil idiota imbecil tontos plaga puta mierda cabron gilipollas escoria basura pendejo",
-    "threat": "kill die hang shoot shot smash beat bleed burn choke hurt hospital gun knife stairs vanish vanished disappear punch stab strangle throat "
-    "sterben brechen ausschlagen auflauern umbringen erschiessen verrecken genick zahne verpiss fresse "
-    "creve casser saigner defoncer tuer crever gueule foutre disparaissais muerete partir sangrar esperar matar morir desaparecieras callate",
-    "group": "women foreigners immigrants refugees gays gay disabled poor mothers jews muslims christians blacks whites asians gypsies old accent faith tribe kind lot "
-    "frauen auslander fluchtlinge behinderte alte glauben femmes etrangers refugies handicapes vieux immigres juifs musulmans mujeres inmigrantes refugiados discapacitados viejos creyentes extranjeros gitanos",
-    "sexual": "fuck fucking fucked sex naked nude nudes porn horny undress unzip legs body sweetheart sleeps boobs tits ass dick cock pussy strip "
-    "nacktbilder nackt zieh ausziehen ficken titten nue nues deshabille nichons baiser seins desnuda ropa quitate tetas follar polla",
-}
-# Examples that stand in where labels are few: they count beside the labelled texts, never instead of them.
-ABUSIVE = """You are an idiot and everyone knows it.|What a moron you are.|Shut up, you stupid cow.|Only a worthless clown would write this.|This piece of shit touched it again.|Why is a fool like you allowed here?
-You pathetic loser, learn to read.|Your parents must be ashamed of such a creep.|Fuck you and your code.|Fuck off, asshole.|Go to hell, all of you.|Kill yourself, loser.|I hope you die.|I hope you choke on it, you rat.
-Nobody would miss you if you were gone.|Do the world a favour and disappear.|I will kill you.|I will beat you up and break your fingers.|I know where you live and I will hurt you.|Watch your back, you scumbag.|Somebody should smash your face in.
-Touch this once more and I will make you bleed.|Women are too stupid for this work.|Foreigners do not belong in this country.|Immigrants are vermin and should be thrown out.|Those refugees ruin every team they join.|Gay people should be shot.
-Disabled people are a disease.|We should never have let old people near this, they are animals.|Your kind should be locked up.|Send me nudes.|I keep picturing you naked.|Come to my room tonight and undress.|Hot girls want to fuck, click for porn.
-She sleeps with the boss, the slut.|Nice legs, take the rest off.|He described how he wanted to have sex with her.|Crawl back to the hole you came from.|Halt die Fresse, du Idiot.|Du bist ein Arschloch und jeder weiß es.|Verpiss dich, du Versager.
-Geh sterben.|Ich werde dir die Finger brechen.|Man wird dir das Genick brechen.|Niemand würde dich vermissen.|Ausländer gehören rausgeworfen.|Frauen sind zu blöd für diese Arbeit.|Flüchtlinge sind Ungeziefer.|Schick mir Nacktbilder.|Zieh dich vor der Kamera aus.
-So ein Penner hat das angefasst.|Nur ein Mistkerl schreibt so etwas.|Ferme ta gueule, abruti.|Tu es un salaud et tout le monde le sait.|Va te faire foutre, connard.|Crève, imbécile.|Je vais te casser la tête.|On va te faire saigner.|Personne ne te regretterait.
-Les étrangers sont de la vermine.|Les femmes sont trop bêtes pour ce métier.|Ces réfugiés n'ont rien à faire ici, dehors.|Envoie-moi des photos de toi nue.|Déshabille-toi devant la caméra.|Quel fils de pute a touché à ça.|Cállate, maldito imbécil.
-Eres un cretino y todos lo saben.|Vete a la mierda, payaso.|Muérete, inútil.|Te voy a partir la cara.|Te voy a esperar a la salida.|Nadie te echaría de menos.|Los inmigrantes son una plaga.|Las mujeres son demasiado tontas para esto.
-Esos refugiados sobran aquí, que se larguen.|Mándame fotos desnuda.|Quítate la ropa ante la cámara.|Qué hijo de puta ha tocado esto."""
-FINE = """Kill the process before the next run.|Abort the job and kill all child processes.|The master node and the slave node swap roles.|This stupid bug cost me two days.|My own stupid mistake, sorry for the noise.|The damn build is broken again.|That test is a piece of work.
-It is a bloody shame.|The policy forbids insults, threats and sexual remarks.|Please report hateful messages to the moderators.|Sex and age are optional fields of the form.|The hung worker was shot down by the scheduler.|A dumb terminal is enough.|The naked pointer is freed twice.
-Penetration testing found open ports.|We beat the old record.|The dead letter queue is full.|Execute the script and drop the orphans.|The parent process kills its children.|I feel like an idiot for missing that.|The filter strips the body of the request.|The head of the branch was cut off.
-This garbage collector is pathetic under load.|The male and female connectors differ.|Old people and women were asked in the survey.|Der Prozess wird nach drei Versuchen getötet.|Mein dummer Fehler, entschuldigt.|On tue le processus, c'est voulu.|Quelle bêtise de ma part.|El proceso hijo muere al salir.|Qué error tan tonto el mío.
-We were beaten by the deadline.|The code of conduct bans slurs."""
+# ---- fixed values: what disguises letters ------------------------------------------------------------------------------
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝАВЕКМНОРСТХУІЈЅαονικρτυ", "aeopcyxijsdhqwABEKMHOPCTXYIJSaovikptu")
 LEET = str.maketrans("013457$@!+|", "oieastsaitl")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_PATH = re.compile(r"\S*[/\\]\S*?(?=[.,;:!?)\]\"']*(?:\s|$))")
+_PATH = re.compile(r"(?<!\S)[^\s/\\]*[/\\]\S*?(?=[.,;:!?)\]\"']*(?:\s|$))")
+_MAYBE_SPACED = re.compile(r"(?<!\w)[\w$@!]([-. _*])[\w$@!]\1[\w$@!](?!\w)")
 _SPACED = re.compile(r"(?<![\w*$@])(?:[^\W\d_]|[013457$@!](?=[-. _*]))(?:([-. _*])[^\W_]|\1[$@!])(?:\1(?:[^\W_]|[$@!])){1,}(?![\w*])")
-_TOKEN = re.compile(r"[$@]?[^\W_](?:[\w*$@+]|!(?=[\w$])|['’](?=[^\W\d_]))*")
-_UNIT = re.compile(r"(?<=[.?!…。])[\"'”’»)]*\s+|\n+")
-_CLASS = {w: c for c, ws in WORDS.items() for w in ws.split()}
-_BY_SIZE: dict[tuple[int, str], list[str]] = {}
-for _w in _CLASS:
-    _BY_SIZE.setdefault((len(_w), _w[0]), []).append(_w)
+# A word, or what ends a sentence.
+_TOKEN = re.compile(r"[$@]?[^\W_](?:[\w*$@+]|!(?=[\w$])|['’](?=[^\W\d_]))*|\*+[^\W_][\w*]*|\n+|[.?!…。](?=[\"'”’»)]*\s)")
+_BREAK = frozenset(".?!…。")
 
 
 def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).replace("ß", "ss")
 
 
-def sentences(text: str) -> list[str]:
-    """The text's sentences and lines, invisible characters and spelt-out words put right."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = _SPACED.sub(lambda m: m[0].replace(m[1], "") if m[1] else m[0], text)
-    return [s for s in _UNIT.split(_PATH.sub("path", text)) if s and not s.isspace()]
-
-
-def terms(sentence: str) -> list[str]:
-    """The sentence's words in lower case without accents and disguise."""
-    out = []
-    for t in _TOKEN.findall(sentence):
-        if not t.isascii() and re.search("[a-zA-Z]", t) and re.search("[Ͱ-ӿ]", t):
-            t = t.translate(LOOKALIKES)
-        t = t.lower()
-        if not t.isascii():
-            t = _fold(t)
-        if "*" in t.strip("*"):
-            pattern = re.compile(re.escape(t).replace(r"\*", "."))
-            out.append(next((w for w in _BY_SIZE.get((len(t), t[0]), ()) if pattern.fullmatch(w)), "*masked*"))
-            continue
-        t = t.strip("*'’")
-        if re.search(r"[\d$@!+]", t) and re.search("[a-z]", t) and not re.fullmatch(r"[a-z]+\d+|v\d\S*|\d+[a-z]{1,2}", t):
-            t = t.translate(LEET)
-        if t.isdigit():
-            t = "9"
-        elif re.search(r"(.)\1\1", t):
-            t = re.sub(r"(.)\1{2,}", r"\1", t)
-        if t:
-            out.append(t)
-    return out
-
-
-def features(sentence: str) -> list[int]:
-    """Hashed terms, pairs of neighbours, and classes of words."""
-    words = terms(sentence)
-    names = {"w " + w for w in words} | {f"b {a} {b}" for a, b in zip(words, words[1:])} | {"c " + _CLASS[w] for w in words if w in _CLASS}
-    return [zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]
+def tokens(text: str) -> list[str]:
+    """Words and sentence ends of a text, invisible characters and spelt-out words put right, paths made one word."""
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(m[1], "") if m[1] else m[0], text)
+    if "/" in text or "\\" in text:
+        text = _PATH.sub("path", text)
+    return _TOKEN.findall(text)
+
+
+def plain(word: str) -> str:
+    """A word in lower case without accents and disguise; starred letters stay stars, numbers are one word."""
+    if not word.isascii() and re.search("[a-zA-Z]", word) and re.search("[Ͱ-ӿ]", word):
+        word = word.translate(LOOKALIKES)
+    word = word.lower()
+    if not word.isascii():
+        word = _fold(word)
+    if "*" in word.rstrip("*") or word.startswith("*"):
+        return word
+    word = word.strip("*'’")
+    if re.search(r"[\d$@!+]", word) and re.search("[a-z]", word) and not re.fullmatch(r"[a-z]+\d+|v\d\S*|\d+[a-z]{1,2}", word):
+        word = word.translate(LEET)
+    if word.isdigit():
+        return "9"
+    return re.sub(r"(.)\1{2,}", r"\1", word) if re.search(r"(.)\1\1", word) else word
+
+
+class Words(dict):
+    """The hash of each word met; of one that ends a sentence, or of nothing, -1. starred: the words that may stand behind
+    stars, by length, the likeliest first."""
+
+    def __init__(self, starred: dict[int, list[str]] | None = None) -> None:
+        super().__init__()
+        self.starred = starred or {}
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > MAX_KNOWN:
+            self.clear()
+        known = -1
+        if token[0] not in _BREAK and token[0] != "\n":
+            word = plain(token)
+            if "*" in word:
+                shape = re.compile(re.escape(word).replace(r"\*", "."))
+                word = next((w for w in self.starred.get(len(word), ()) if shape.fullmatch(w)), "*masked*")
+            if word:
+                known = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self[token] = known
+        return known
+
+
+def features(texts: list[list[int]], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of hashed words in; out come (sentence, feature) pairs as two arrays, sentences ascending and numbered over
+    all texts, each pair once, and the text of each sentence. Features are words and pairs of neighbours; given known,
+    only those it has."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.fromiter((w for t in texts for w in t), np.int64, int(sizes.sum()))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    mask = (1 << BITS) - 1
+    breaks = flat < 0
+    fresh = np.ones(len(flat), bool)  # the first word of a sentence
+    fresh[1:] = breaks[:-1] | (text[1:] != text[:-1])
+    flat, text, fresh = flat[~breaks], text[~breaks], fresh[~breaks]
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh[0] = True
+    sentence = np.cumsum(fresh) - 1
+    one = (flat ^ (flat >> BITS)) & mask
+    mixed = (flat[:-1] * 0x9E3779B1 + flat[1:] * 0x85EBCA6B + 0x165667B1) & 0xFFFFFFFFFFFF
+    two = ((mixed >> 9) ^ (mixed >> 27)) & mask
+    keep, inside = (np.ones(len(one), bool), ~fresh[1:]) if known is None else (known[one], known[two] & ~fresh[1:])
+    pairs = np.unique(np.concatenate([sentence[keep] << BITS | one[keep], sentence[1:][inside] << BITS | two[inside]]))
+    return pairs >> BITS, pairs & mask, text[fresh]
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts)
 
 
 @dataclass
@@ -117,118 +130,163 @@ class Machine:
     bias: float
     linear: np.ndarray  # 2 ** BITS
     factors: np.ndarray  # 2 ** BITS x RANK
-    threshold: float = 0.5
-
-    def raw(self, rows: list[list[int]]) -> np.ndarray:
-        """Log-odds of each row of features; the bias for rows without any."""
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        out = np.full(len(rows), self.bias)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            v = self.factors[flat]
-            total = np.add.reduceat(v, starts)
-            out[some] += np.add.reduceat(self.linear[flat], starts) + 0.5 * (total**2 - np.add.reduceat(v * v, starts)).sum(1)
+    known: np.ndarray  # whether a feature has been learned
+    threshold: float = 0.0
+    starred: dict[int, list[str]] = field(default_factory=dict)
+
+    def raw(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Log-odds of n sentences from their learned features; the bias for those without any. row is ascending."""
+        out = np.full(n, self.bias)
+        for at, to in _blocks(row):
+            out[np.unique(row[at:to])] += _interact(self.linear, self.factors, row[at:to], feature[at:to])[0]
         return out
 
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 0.1, decay: float = 2e-5) -> Machine:
-    """Logistic loss by Adagrad over mini-batches."""
-    rng = np.random.default_rng(SEED)
-    size = 1 << BITS
-    linear, factors = np.zeros(size), rng.normal(0, 0.02, (size, RANK))
-    bias, gb, gl, gf = 0.0, 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-4)
-    keep = [i for i, r in enumerate(rows) if r]
-    for _ in range(epochs):
-        order = rng.permutation(keep)
-        for at in range(0, len(order), 512):
-            batch = order[at : at + 512]
-            sizes = np.fromiter((len(rows[i]) for i in batch), np.int64, len(batch))
-            flat = np.fromiter((j for i in batch for j in rows[i]), np.int64, int(sizes.sum()))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            v = factors[flat]
-            total = np.add.reduceat(v, starts)
-            z = bias + np.add.reduceat(linear[flat], starts) + 0.5 * (total**2 - np.add.reduceat(v * v, starts)).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weight[batch]
-            each = np.repeat(g, sizes)
-            uniq, inverse = np.unique(flat, return_inverse=True)
-            dl = np.bincount(inverse, each, len(uniq)) + decay * len(batch) * linear[uniq]
-            pull = each[:, None] * (np.repeat(total, sizes, axis=0) - v)
-            df = np.stack([np.bincount(inverse, pull[:, k], len(uniq)) for k in range(RANK)], 1) + decay * len(batch) * factors[uniq]
-            gl[uniq] += dl**2
-            gf[uniq] += df**2
-            gb += g.sum() ** 2
-            linear[uniq] -= rate * dl / np.sqrt(gl[uniq])
-            factors[uniq] -= 0.5 * rate * df / np.sqrt(gf[uniq])
-            bias -= rate * g.sum() / np.sqrt(gb)
-    return Machine(float(bias), linear.astype(np.float32), factors.astype(np.float32))
-
-
-def fit(texts: list[str], labels: list[bool], rounds: int = 3) -> Machine:
+def _blocks(row: np.ndarray, size: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Slices of whole sentences of some size, so that their vectors fit the memory of a task."""
+    at = 0
+    while at < len(row):
+        to = len(row) if at + size >= len(row) else int(np.searchsorted(row, row[at + size], "left"))
+        if to <= at:
+            to = int(np.searchsorted(row, row[at], "right"))
+        yield at, to
+        at = to
+
+
+def _interact(linear: np.ndarray, factors: np.ndarray, row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """w.x and half the difference of squared sums and summed squares, of each sentence that has a row."""
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    v = factors[feature]
+    total = _sums(v, starts)
+    return _sums(linear[feature], starts) + 0.5 * (np.einsum("ij,ij->i", total, total) - _sums(np.einsum("ij,ij->i", v, v), starts)), v, total, starts
+
+
+class _Learner:
+    """Logistic loss by Adagrad over mini-batches; keeps its state, so that it can go on with other weights."""
+
+    def __init__(self, size: int) -> None:
+        self.rng = np.random.default_rng(SEED)
+        self.linear, self.factors = np.zeros(size, np.float32), self.rng.normal(0, 0.05, (size, RANK)).astype(np.float32)
+        self.gl, self.gf = np.full(size, 1e-6, np.float32), np.full((size, RANK), 1e-4, np.float32)
+        self.bias, self.gb = 0.0, 1e-6
+
+    def learn(self, starts: np.ndarray, feature: np.ndarray, good: np.ndarray, bad: np.ndarray, epochs: int, rate: float = 0.1, decay: float = 2e-5) -> None:
+        """starts: where each sentence's features begin, and the end. good, bad: how much it counts as either."""
+        sizes = np.diff(starts)
+        taking = np.flatnonzero((sizes > 0) & (good + bad > 0))
+        for _ in range(epochs):
+            order = self.rng.permutation(taking)
+            for at in range(0, len(order), 128):
+                batch = order[at : at + 128]
+                n = sizes[batch]
+                first = np.cumsum(n) - n
+                flat = feature[np.arange(int(n.sum())) - np.repeat(first - starts[batch], n)]
+                uniq, inverse = np.unique(flat, return_inverse=True)
+                w, v = self.linear[uniq], self.factors[uniq]
+                each = v[inverse]
+                total = _sums(each, first)
+                z = self.bias + _sums(w[inverse], first) + 0.5 * (np.einsum("ij,ij->i", total, total) - _sums(np.einsum("ij,ij->i", each, each), first))
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                g = p * (good[batch] + bad[batch]) - bad[batch]
+                spread = np.repeat(g, n)
+                dl = np.bincount(inverse, spread, len(uniq)) + decay * len(batch) * w
+                pull = spread[:, None] * (np.repeat(total, n, axis=0) - each)
+                df = np.stack([np.bincount(inverse, pull[:, k], len(uniq)) for k in range(RANK)], 1) + decay * len(batch) * v
+                self.gl[uniq] += dl**2
+                self.gf[uniq] += df**2
+                self.gb += g.sum() ** 2
+                self.linear[uniq] -= rate * dl / np.sqrt(self.gl[uniq])
+                self.factors[uniq] -= 0.5 * rate * df / np.sqrt(self.gf[uniq])
+                self.bias -= rate * g.sum() / np.sqrt(self.gb)
+
+    def score(self, starts: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        out = np.full(len(starts) - 1, self.bias)
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        for at, to in _blocks(row):
+            out[np.unique(row[at:to])] += _interact(self.linear, self.factors, row[at:to], feature[at:to])[0]
+        return out
+
+
+def _odds(words: list[list[int]], labels: np.ndarray) -> dict[int, float]:
+    """Of each word of several texts how much oftener, in log-odds of texts, abusive ones have it."""
+    uniq = [np.unique(np.asarray(w, np.int64)) for w in words]
+    flat, of = np.concatenate(uniq), np.repeat(labels, [len(u) for u in uniq])
+    word, inverse = np.unique(flat, return_inverse=True)
+    bad, fine = np.bincount(inverse, of, len(word)), np.bincount(inverse, ~of, len(word))
+    lead = np.log((bad + 0.5) / (labels.sum() + 1)) - np.log((fine + 0.5) / ((~labels).sum() + 1))
+    keep = bad + fine >= LEAST_TEXTS
+    return dict(zip(word[keep].tolist(), lead[keep].tolist()))
+
+
+def fit(texts: list[str], labels: list[bool]) -> Machine:
     """A machine fitted to labelled texts. With no abusive or no fine text it finds nothing."""
-    labels_ = np.asarray(labels, bool)
-    if not labels_.any() or labels_.all():
-        return Machine(-10.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
-    ids: dict[str, int] = {}
-    taught = [(re.split(r"[|\n]", x), y) for x, y in ((ABUSIVE, 1.0), (FINE, 0.0))]
-    given = [(ids.setdefault(s.strip(), len(ids)), y) for xs, y in taught for s in xs]
-    units = [sorted({ids.setdefault(s, len(ids)) for s in sentences(t)}) for t in texts]
-    rows = [features(s) for s in ids]
-    n = len(rows)
-    bad, fine = np.zeros(n), np.zeros(n)
-    for u, label in zip(units, labels_):
-        (bad if label else fine)[u] += 1
+    size = 1 << BITS
+    y = np.asarray(labels, bool)
+    if not y.any() or y.all():
+        return Machine(-10.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(size, bool))
+    split = [tokens(t) for t in texts]
+    words = Words()
+    hashed = [[words[t] for t in ts] for ts in split]
+    # Starred words are read as the word that fits and stands most in abusive texts.
+    odds, starred = _odds(hashed, y), {}
+    for word in {plain(t) for ts in split for t in ts if t[0].isalpha()}:
+        if "*" not in word and odds.get(zlib.crc32(word.encode("utf-8", "surrogatepass")), 0.0) > 1.0:
+            starred.setdefault(len(word), []).append(word)
+    for size_, ws in starred.items():
+        starred[size_] = sorted(ws, key=lambda w: (-odds[zlib.crc32(w.encode("utf-8", "surrogatepass"))], w))
+    words = Words(starred)
+    row, feature, of = features([[words[t] for t in ts] for ts in split])
+    n = len(of)
     # What hardly any text has only lets the machine learn single texts, and their raters' errors, by heart.
-    spread = np.zeros(1 << BITS)
-    for r, k in zip(rows, bad + fine):
-        spread[r] += k
-    for i, _ in given:
-        spread[rows[i]] += 4
-    least = 2 if len(texts) < 1000 else 4
-    rows = [[i for i in r if spread[i] >= least] for r in rows]
-    ratio = (~labels_).sum() / labels_.sum()
-    both, kinds = rows + rows + [rows[i] for i, _ in given], np.concatenate([np.repeat([1.0, 0.0], n), [y for _, y in given]])
-    prior = np.full(len(given), 8.0)
-    folds = 1 if len(texts) < 40 else 4 if len(texts) < 3000 else 2
-    fold = np.arange(len(texts)) % folds
+    in_text = np.unique(of[row] << BITS | feature) & (size - 1)
+    known = np.bincount(in_text, minlength=size) >= LEAST_TEXTS
+    learned = known[feature]
+    row, feature = row[learned], feature[learned]
+    starts = np.searchsorted(row, np.arange(n + 1))
+    fold = (np.arange(len(texts)) % FOLDS)[of]
+    abusive = y[of]
+    ratio = float((~y).sum() / y.sum())
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    some = np.flatnonzero(np.diff(first) > 0)  # texts with a sentence
     # First: how much oftener a sentence's terms stand in abusive texts than in fine ones.
-    positive, negative = np.zeros((folds, n)), np.zeros((folds, n))
-    for u, label, f in zip(units, labels_, fold):
-        (positive if label else negative)[f][u] += ratio if label else 1
-    tops = np.zeros(len(texts))
-    for r in range(rounds + 1):
+    bad, good = np.where(abusive, ratio, 0.0), np.where(abusive, 0.0, 1.0)
+    learners = [_Learner(size) for _ in range(FOLDS)]
+    scores = np.zeros(n)
+    for r in range(ROUNDS + 1):
         # Each text is judged by a machine that has not seen it: raters err, and what one learned by heart would agree.
-        others = [[g for g in range(folds) if g != f] or [f] for f in range(folds)]
-        scores = [fit_rows(both, kinds, np.concatenate([positive[o].sum(0).clip(0, 30), negative[o].sum(0).clip(0, 30), prior]), 3).raw(rows) for o in others]
-        positive, negative = np.zeros((folds, n)), np.zeros((folds, n))
-        for i, (u, label, f) in enumerate(zip(units, labels_, fold)):
-            if not u:
-                tops[i] = -30
-                continue
-            score = scores[f]
-            top = max(u, key=score.__getitem__)
-            tops[i] = score[top]
-            if label and score[top] > 0:  # an abusive text without a sentence that looks so teaches nothing
-                positive[f][top] += 2
-            elif not label:  # nor does a fine one teach that what looks abusive all over is fine
-                negative[f][[j for j in u if score[j] < 2.0]] += 1
-    machine = fit_rows(both, kinds, np.concatenate([positive.sum(0).clip(0, 30), negative.sum(0).clip(0, 30), prior]), 4)
-    machine.linear[spread < least] = 0
-    machine.factors[spread < least] = 0
+        for f, learner in enumerate(learners):
+            seen = fold != f
+            learner.learn(starts, feature, good * seen, bad * seen, 2 if r == 0 else 1)
+            scores[~seen] = learner.score(starts, feature)[~seen]
+        top = np.zeros(n, bool)
+        worst = np.full(len(texts), -30.0)
+        worst[some] = np.maximum.reduceat(scores, first[some])
+        top[np.flatnonzero(scores == worst[of])] = True
+        # An abusive text without a sentence that looks so teaches nothing, nor does a fine one teach that what looks
+        # abusive all over is fine.
+        bad = np.where(abusive & top & (scores > 0), 2.0, 0.0)
+        good = np.where(~abusive & (scores < 2.0), 1.0, 0.0)
+    last = _Learner(size)
+    last.learn(starts, feature, good, bad, 3)
     # The threshold that agrees with most labels; in the middle of the gap it lies in.
-    order = np.argsort(tops)
-    right = np.cumsum(~labels_[order]) + labels_.sum() - np.cumsum(labels_[order])
+    order = np.argsort(worst, kind="stable")
+    right = np.cumsum(~y[order]) + y.sum() - np.cumsum(y[order])
     at = int(np.argmax(right))
-    machine.threshold = float((tops[order][at] + tops[order][min(at + 1, len(order) - 1)]) / 2)
-    return machine
+    threshold = float((worst[order][at] + worst[order][min(at + 1, len(order) - 1)]) / 2)
+    last.linear[~known] = 0
+    last.factors[~known] = 0
+    return Machine(last.bias, last.linear, last.factors, known, threshold, starred)
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool]]:
-    """Texts with a majority verdict, at most MAX_LABELLED; ties and unsure ones are left out."""
+    """Texts with a majority verdict, at most MAX_LABELLED of MAX_LABELLED_CHARS code points together; ties and unsure
+    ones are left out."""
     votes = labels.where("verdict in ('abusive', 'fine')").groupBy("doc_id").agg((F.count_if(F.col("verdict") == "abusive") - F.count_if(F.col("verdict") == "fine")).alias("lead")).where("lead <> 0")
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = documents.where("text is not null").join(votes, "doc_id").select("doc_id", "text", (F.col("lead") > 0).alias("abusive")).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    texts = documents.where("text is not null").join(F.broadcast(votes), "doc_id").select("doc_id", "text", (F.col("lead") > 0).alias("abusive"), F.xxhash64("doc_id").alias("pick"))
+    # One task sums the lengths of these few rows, without their texts in the sort.
+    upto = F.sum(F.length("text")).over(Window.orderBy("pick", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("upto", upto).where(F.col("upto") <= MAX_LABELLED_CHARS).select("doc_id", "text", "abusive").toPandas().sort_values(["doc_id", "text"], kind="stable")
     return rows.text.tolist(), rows.abusive.tolist()
 
 
@@ -238,31 +296,53 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
     score is between 0 and 1, 0.5 where the machine is undecided.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(machine)  # of a fixed size, see BITS and RANK
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("score", pa.float64()), ("abusive", pa.bool_())])
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        seen: dict[str, float] = {}
-
-        def rows(doc, source, text) -> list[tuple]:
-            units = sentences(text) if text else []
-            new = [s for s in dict.fromkeys(units) if s not in seen]
-            if len(seen) > 50_000:
-                seen.clear()
-                new = list(dict.fromkeys(units))
-            if new:
-                seen.update(zip(new, m.raw([features(s) for s in new]).tolist()))
-            top = max((seen[s] for s in units), default=None)
-            p = 0.0 if top is None else float(1 / (1 + np.exp(-np.clip(top - m.threshold, -30, 30))))
-            return [(doc, source, p, p >= 0.5)]
-
-        return rows
-
-    return explode_texts(documents.select("doc_id", "source", "text"), make, "doc_id bigint, source string, score double, abusive boolean")
+        words = Words(m.starred)
+        for batch in batches:
+            top = np.full(batch.num_rows, -np.inf)
+            held: list[list[int]] = []
+            at = size = 0
+
+            def flush() -> None:
+                row, feature, of = features(held, m.known)
+                if len(of):
+                    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                    top[at + of[first]] = np.maximum.reduceat(m.raw(row, feature, len(of)), first)
+
+            for i, text in enumerate(batch.column(2)):
+                held.append([words[t] for t in tokens(text.as_py() or "")])
+                size += len(held[-1])
+                if size > 300_000:  # bounds what a task holds of many texts at once
+                    flush()
+                    at, size, held = i + 1, 0, []
+            flush()
+            p = np.where(np.isneginf(top), 0.0, 1 / (1 + np.exp(-np.clip(top - m.threshold, -30, 30))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array(p >= 0.5)], schema=schema)
+
+    return documents.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(run, "doc_id bigint, source string, score double, abusive boolean")
+
+
+_FITTED: dict[tuple, Machine] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> Machine:
+    """The machine of these tables, fitted once in a session as long as neither table is written anew."""
+    key = [spark.sparkContext.applicationId]
+    for name in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        key += [path.toString(), fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()]
+    if tuple(key) not in _FITTED:
+        _FITTED.clear()
+        _FITTED[tuple(key)] = fit(*labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return _FITTED[tuple(key)]
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return score_documents(documents, fit(*labelled(documents, table(spark, sf_dir, "labels"))))
+    return score_documents(table(spark, sf_dir, "documents"), fitted(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
