@@ -121,12 +121,12 @@ def test_token_counts(spark):
 
 # ---- abuse ----------------------------------------------------------------------------------------------------------
 def words_of(text):
-    return [w for t in abuse.tokens(text) if t[0].isalnum() or t[0] in "$@*" for w in [abuse.plain(t)]]
+    return [abuse.plain(t) for c in abuse.chunks(text) for t in abuse.tokens(c) if t[0].isalnum() or t[0] in "$@*"]
 
 
 def worst(m, texts):
     words = abuse.Words(m.starred)
-    row, feature, of = abuse.features([[words[t] for t in abuse.tokens(x)] for x in texts], m.known)
+    row, feature, of = abuse.features([words.of(x) for x in texts], m.known)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, of, m.raw(row, feature, len(of)))
     return top >= m.threshold

@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,33 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝАВЕКМНОРСТХУ
 LEET = str.maketrans("013457$@!+|", "oieastsaitl")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _PATH = re.compile(r"(?<!\S)[^\s/\\]*[/\\]\S*?(?=[.,;:!?)\]\"']*(?:\s|$))")
-_MAYBE_SPACED = re.compile(r"(?<!\w)[\w$@!]([-. _*])[\w$@!]\1[\w$@!](?!\w)")
+_MAYBE_SPACED = re.compile(r"[\s\"'(][^\s.,] [^\s.,] [^\s.,](?!\w)")
 _SPACED = re.compile(r"(?<![\w*$@])(?:[^\W\d_]|[013457$@!](?=[-. _*]))(?:([-. _*])[^\W_]|\1[$@!])(?:\1(?:[^\W_]|[$@!])){1,}(?![\w*])")
 # A word, or what ends a sentence.
-_TOKEN = re.compile(r"[$@]?[^\W_](?:[\w*$@+]|!(?=[\w$])|['’](?=[^\W\d_]))*|\*+[^\W_][\w*]*|\n+|[.?!…。](?=[\"'”’»)]*\s)")
-_BREAK = frozenset(".?!…。")
+_TOKEN = re.compile(r"[$@]?[^\W_](?:[\w*$@+]|!(?=[\w$])|['’](?=[^\W\d_]))*|\*+[^\W_][\w*]*|\0|[.?!…。](?=[\"'”’»)]*\s)")
+_BREAK = frozenset("\0.?!…。")
 
 
 def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).replace("ß", "ss")
 
 
-def tokens(text: str) -> list[str]:
-    """Words and sentence ends of a text, invisible characters and spelt-out words put right, paths made one word."""
+def chunks(text: str) -> list[str]:
+    """What stands between blanks, line ends made chunks of their own; invisible characters and words spelt with blanks
+    put right."""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    if _MAYBE_SPACED.search(text):
+    if _MAYBE_SPACED.search(f" {text}"):
         text = _SPACED.sub(lambda m: m[0].replace(m[1], "") if m[1] else m[0], text)
-    if "/" in text or "\\" in text:
-        text = _PATH.sub("path", text)
-    return _TOKEN.findall(text)
+    return text.replace("\n", " \0 ").split()
+
+
+def tokens(chunk: str) -> list[str]:
+    """The words and sentence ends of a chunk: a path is one word, letters with signs between them are put together."""
+    chunk += " "
+    if "/" in chunk or "\\" in chunk:
+        chunk = _PATH.sub("path", chunk)
+    return _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(m[1], "") if m[1] else m[0], chunk))
 
 
 def plain(word: str) -> str:
@@ -74,27 +82,37 @@ def plain(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word) if re.search(r"(.)\1\1", word) else word
 
 
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 class Words(dict):
-    """The hash of each word met; of one that ends a sentence, or of nothing, -1. starred: the words that may stand behind
+    """The hashes of the words of each chunk met, -1 for what ends a sentence. starred: the words that may stand behind
     stars, by length, the likeliest first."""
 
     def __init__(self, starred: dict[int, list[str]] | None = None) -> None:
         super().__init__()
         self.starred = starred or {}
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) > MAX_KNOWN:
             self.clear()
-        known = -1
-        if token[0] not in _BREAK and token[0] != "\n":
+        known = []
+        for token in tokens(chunk):
+            if token in _BREAK:
+                known.append(-1)
+                continue
             word = plain(token)
             if "*" in word:
                 shape = re.compile(re.escape(word).replace(r"\*", "."))
                 word = next((w for w in self.starred.get(len(word), ()) if shape.fullmatch(w)), "*masked*")
             if word:
-                known = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        self[token] = known
-        return known
+                known.append(_hash(word))
+        self[chunk] = out = tuple(known)
+        return out
+
+    def of(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, chunks(text))))
 
 
 def features(texts: list[list[int]], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +120,7 @@ def features(texts: list[list[int]], known: np.ndarray | None = None) -> tuple[n
     all texts, each pair once, and the text of each sentence. Features are words and pairs of neighbours; given known,
     only those it has."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = np.fromiter((w for t in texts for w in t), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(texts), np.int64, int(sizes.sum()))
     text = np.repeat(np.arange(len(texts)), sizes)
     mask = (1 << BITS) - 1
     breaks = flat < 0
@@ -224,18 +242,16 @@ def fit(texts: list[str], labels: list[bool]) -> Machine:
     y = np.asarray(labels, bool)
     if not y.any() or y.all():
         return Machine(-10.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(size, bool))
-    split = [tokens(t) for t in texts]
     words = Words()
-    hashed = [[words[t] for t in ts] for ts in split]
     # Starred words are read as the word that fits and stands most in abusive texts.
-    odds, starred = _odds(hashed, y), {}
-    for word in {plain(t) for ts in split for t in ts if t[0].isalpha()}:
-        if "*" not in word and odds.get(zlib.crc32(word.encode("utf-8", "surrogatepass")), 0.0) > 1.0:
+    odds, starred = _odds([words.of(t) for t in texts], y), {}
+    for word in {plain(w) for c in {c for t in texts for c in chunks(t)} for w in tokens(c) if w not in _BREAK}:
+        if "*" not in word and odds.get(_hash(word), 0.0) > 1.0:
             starred.setdefault(len(word), []).append(word)
-    for size_, ws in starred.items():
-        starred[size_] = sorted(ws, key=lambda w: (-odds[zlib.crc32(w.encode("utf-8", "surrogatepass"))], w))
+    for length, ws in starred.items():
+        starred[length] = sorted(ws, key=lambda w: (-odds[_hash(w)], w))
     words = Words(starred)
-    row, feature, of = features([[words[t] for t in ts] for ts in split])
+    row, feature, of = features([words.of(t) for t in texts])
     n = len(of)
     # What hardly any text has only lets the machine learn single texts, and their raters' errors, by heart.
     in_text = np.unique(of[row] << BITS | feature) & (size - 1)
@@ -313,7 +329,7 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
                     top[at + of[first]] = np.maximum.reduceat(m.raw(row, feature, len(of)), first)
 
             for i, text in enumerate(batch.column(2)):
-                held.append([words[t] for t in tokens(text.as_py() or "")])
+                held.append(words.of(text.as_py() or ""))
                 size += len(held[-1])
                 if size > 300_000:  # bounds what a task holds of many texts at once
                     flush()
