@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import credentials, keypaths, pii, redaction_queries
+from tidemark.llm import credentials, keypaths, names, pii, redaction_queries
 
 NAMES = ("Mark", "Rose", "Will", "Grace", "Zoë", "Anton")
 PII, SECRETS = pii.Finder(NAMES), credentials.Finder()
@@ -33,6 +35,41 @@ def test_unknown_names_after_titles_and_phrases(text, out):
     assert pii.redact(text, PII.spans(text)) == out
 
 
+@pytest.mark.parametrize("text, out", [
+    ("Sarah Thompson reviewed it", "[NAME] reviewed it"), ("Ask John Smith", "Ask [NAME]"), ("Met with Mr. Smith today", "Met with [NAME] today"), ("call Kowalczyk, Agnieszka", "call [NAME]"), ("Priya Ramanathan has it", "Priya Ramanathan has it"),
+    ("Thanks to Jorund Pemomlund for it", "Thanks to [NAME] for it"), ("by E. Gralowick", "by [NAME]"), ("Dr. O'Brien called", "[NAME] called"), ("We met in Heidelberg and Vermont", "We met in Heidelberg and Vermont"), ("Nuremberg, Goldberg and Riverdale", "Nuremberg, Goldberg and Riverdale"),
+])
+def test_names_without_learned_endings(text, out):
+    assert pii.redact(text, PII.spans(text)) == out
+
+
+@pytest.mark.parametrize("text, out", [
+    ("to ann@" + "x" * 1500 + ".example.com now", "to [EMAIL] now"), ("y" * 900 + "@example.com now", "[EMAIL] now"), ("to " + "a" * 900 + " (at) mail [dot] example [dot] org", "to [EMAIL]"), ("at 7 " + "B" * 600 + " Street", "at [ADDRESS]"),
+    ("Dr. " + "A" + "b" * 600 + " called", "[NAME] called"), ("Anton A" + "b" * 600 + " called", "[NAME] called"), ("dni" + " " * 600 + "66106664H", "dni" + " " * 600 + "[ID_NUMBER]"),
+])
+def test_nothing_is_too_long_to_be_found_whole(text, out):
+    assert pii.redact(text, PII.spans(text)) == out
+
+
+@pytest.mark.parametrize("unit", ["Anton a@ex.com ", "Anton Velustrom, ", "a@", "a%40", "a@b.cc ", "a (at) b ", "https://a@b.c/", "a@b:~/x", "ssh a@b.cc ", "1 street ", "straße", "a-", "1 ", "dni 1234567 ", "Ab, Anton ", "a.b@", "+49 30 1234567 "])
+def test_pii_stays_linear(unit):
+    finder = pii.Finder(NAMES, ("rom", "ick"))
+    start = time.process_time()
+    finder.spans(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 5
+
+
+def test_endings_of_surnames_are_learned(spark):
+    """Endings of words beside known names count, those of ordinary words do not, and places are left alone."""
+    stems = ("Vel", "Gral", "Rusk", "Lor", "Tand", "Wex", "Brin", "Dorn")
+    texts = [f"Thanks to Anton {s}uwick for the trace." for s in stems] + [f"The plan of {s}utown and the bailiwick is big." for s in stems] + [None, ""]
+    found = names.learn(spark.createDataFrame([(t,) for t in texts], "text string"), NAMES)
+    assert found.endings == ("ick",)
+    finder = pii.Finder(NAMES, found.endings, found.ordinary)
+    assert [pii.redact(t, finder.spans(t)) for t in ("Kestrin Marowick said so", "Bailiwick Tandutown", "in Gatwick", "written by Zellowick")] == ["[NAME] said so", "Bailiwick Tandutown", "in Gatwick", "written by [NAME]"]
+    assert names.learn(spark.createDataFrame([], "text string"), NAMES) == names.Surnames()
+
+
 def test_pii_keeps_the_rest():
     text = "Ask Anton Velustrom (anton@example.org) at 5 Elm Lane."
     assert pii.redact(text, PII.spans(text)) == "Ask [NAME] ([EMAIL]) at [ADDRESS]."

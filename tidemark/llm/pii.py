@@ -1,15 +1,18 @@
 """Personal information in free text: anchors by Aho-Corasick, then local parsers that expand and validate a span.
 
-One pass of the automaton over the lower-cased text finds at-signs (also spelt out), identifier, street and box cues,
-given names, titles and surname endings. Each hit hands its place to the parser of its kind, which reads outwards from
-it and decides on the span. Numbers in telephone shape are their own anchors. Parsers read the text around their
-anchor only, so the cost of a text is linear in its length.
+One pass of the automaton over the lower-cased text finds at-signs (also spelt out), identifier and street cues, given
+names, titles, phrases that introduce people, and the endings of surnames where such were learned (see names.py). Each
+hit hands its place to the parser of its kind, which reads outwards from it, as far as the thing goes, and decides on
+the span. Numbers in telephone shape are their own anchors. A parser never reads what the one before it has read, so
+the cost of a text is linear in its length, whatever stands in it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_right, insort
+from collections.abc import Iterable
 
 import ahocorasick
 
@@ -28,11 +31,13 @@ STREET_CUES = (
     "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "via ", "box", "postfach", "apartado", "boîte postale", "casilla", "b.p.",
 )
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "monsieur", "madame", "don", "doña")
-SURNAME_ENDINGS = ("strom", "ström", "lund", "wick", "shaw", "quist", "etti", "mont", "sson", "zine", "dale", "berg", "vic", "oux", "val", "ski", "ret")
-ORDINARY_WORDS = frozenset(
-    "secret interval retrieval removal approval arrival carnival festival interpret regret magazine service civic iceberg cabaret turret ferret egret survival revival rival oval naval "
-    "interprets brouze signal val ret mont berg dale wick lund ski vic shaw upheaval withdrawal disapproval medieval beret claret discret concret fret minaret garret caret serval narval cheval époux doux jaloux cailloux "
-    "iceberg amont piedmont benzine fanzine webzine pelvic bailiwick candlewick spaghetti confetti libretti mousson boisson poisson nourrisson frisson buisson unisson cuisson moisson chausson caisson rickshaw".split()
+# Widespread given names of several languages, beside those the hub knows.
+COMMON_GIVEN = frozenset(
+    "agnieszka ahmed aisha alejandro alexander amanda andreas andrew angela anjali anna anthony astrid barbara benjamin betty bjorn brandon brian carmen catherine charles christine christopher cynthia daniel david deborah deepak "
+    "dennis diane dmitri donna edward elena elizabeth emily emma eric erik fatima francesca françois george giulia gregory hans heather helen hiroshi isabelle ivan jacob james janet jason javier jeffrey jennifer jessica joan john "
+    "jonathan joseph joshua joyce julia julie karen katarzyna katherine kathleen kenji kenneth kevin kimberly klaus krzysztof lars laura lena linda lisa luca lucía margaret maria marco mary matthew matthias melissa michael michelle "
+    "miguel mohammed monika nancy natasha nathalie nicholas nicole olga olivia omar pablo patricia patrick peter petra pierre piotr rachel rahul rebecca richard robert ronald ryan sabine samantha samuel sandra sanjay sarah sharon "
+    "sofia sophie stefan stephanie stephen steven susan sven svetlana thomas timothy ursula victoria wei william wolfgang yuki yusuf".split()
 )
 # Phrases after which a capitalised word that is not known is a person's name. After "written by" and the like it is a
 # tool's as often; there only known names count.
@@ -44,40 +49,84 @@ NO_NAMES = frozenset(
     "no not none and or but if then thanks please alle zusammen team kollegen kunden kunde nutzer tous toutes equipo todos monday tuesday wednesday thursday friday saturday sunday "
     "january february march april may june july august september october november december doktor professor engineering product design legal finance marketing sales management leadership data backend frontend".split()
 )
+# Phrases after which two capitalised words that are not known, or an initial and one, are a person's name.
+INTRODUCTIONS = (
+    "thanks to", "according to", "reported by", "reported-by:", "reviewed by", "reviewed-by:", "approved by", "acked-by:", "opened by", "signed by", "signed-off-by:", "written by", "author:", "author=", "assignee:", "attn:", "contact:", "i met", "ask", "asked by", "by",
+    "bitte bei", "danke an", "warten auf", "warten noch auf", "von", "merci à", "demande à", "gracias a",
+)
+# Words before a place, not a person.
+LOCATIVES = frozenset("in at near around im nach aus zu à en dans near outside to via".split())
 # Given names that are ordinary words too: alone they are no name unless a cue of a person precedes.
 WORDLIKE = frozenset("mark rose will grace hope joy may april june frank art bill jack rob sue pat dawn faith ivy lily ruby pearl amber iris summer autumn max ray dean chase guy".split())
 
+LEAST_SURNAME = 5  # letters of a surname that its ending alone tells
+
 _LETTER = r"[^\W\d_]"
 _WORD = rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:-{_LETTER}+)*"
 _CAPITALISED = re.compile(rf"[A-ZÀ-Þ](?:['’][A-ZÀ-Þ])?{_LETTER}+(?:-{_LETTER}+)?(?![\w])")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+'-]+$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _DOT = r"(?:\.|[ ]*(?:\(dot\)|\[dot\]|\{dot\}|\(punkt\)|\[punkt\])[ ]*|[ ]+dot[ ]+)"
 _SPELT_HOST = re.compile(rf"[ ]*[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}\b", re.I)
 _PHONE = re.compile(r"(?<![\w./:@#=+-])(?:\+|\(\+)?[\d(](?:[ ./() -]{0,2}\d){6,16}(?![\w@])|(?<=[=:;,(\"'>])(?:\+)?[\d(](?:[ ./() -]{0,2}\d){6,16}(?![\w@])")
 _PHONE_CUE = re.compile(r"(?i)(?:tel|telephone|telefon|teléfono|téléphone|phone|mobile|handy|cell|fax|call|ring|sms|text|whatsapp|llámame|rufnummer)[\w'\"]{0,3}\W{0,6}(?:\w{1,4}\W{1,2}){0,3}$")
+PHONE_CUE_REACH = 40  # no match of the pattern is longer: 9 + 3 + 6 + 3 * 6
 _NANP = re.compile(r"(?:\(\d{3}\) ?|\d{3}[.\- ])\d{3}[.\-]\d{4}$")
 _TRUNK = re.compile(r"0\d{2,4}[ /-]\d{3,}(?:[ /-]?\d+)*$")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}$")
 _ID_VALUE = re.compile(r"(?:[\s:#=.'\"(\[]|\bno\b|\bnr\b|\bn[º°]|\bnumber\b|\bnumero\b|\bnúmero\b|\bnuméro\b|\bis\b|\bist\b|\bes\b|\best\b)*([A-Za-z]{0,3}[ -]?\d[\dA-Za-z]*(?:[ -]\d[\dA-Za-z]*)*(?:[ -][A-Za-z](?![A-Za-z]))?|[A-Z][A-Z0-9]{5,})", re.I)
 _NUM = r"\d{1,5} ?[a-zA-Z]?(?:[-/]\d{1,4})?"
 _EN_STREET = re.compile(rf"(?i)\b{_NUM},? +(?:(?:north|south|east|west|n|s|e|w)\.? +)?{_LETTER}[\w'’-]*(?: {_LETTER}[\w'’-]*)?? +(?:street|avenue|lane|road|drive|close|court|square|terrace|boulevard|crescent|grove|way|hill|place|st|rd|ave|ln|dr|blvd)\b")
-_DE_STREET = re.compile(rf"(?i){_LETTER}[\w-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ring|ufer) +{_NUM}(?!\w)|{_LETTER}+ (?:straße|strasse|str\.|weg|gasse|platz|allee) +{_NUM}(?!\w)")
+_DE_STREET = re.compile(rf"(?i)(?<![\w-]){_LETTER}[\w-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ring|ufer) +{_NUM}(?!\w)|(?<![\w-]){_LETTER}+ (?:straße|strasse|str\.|weg|gasse|platz|allee) +{_NUM}(?!\w)")
 _FR_STREET = re.compile(rf"(?i)\b\d{{1,5}}(?: ?(?:bis|ter))?,? +(?:rue|avenue|boulevard|place|impasse|allée|chemin|quai|cours) +(?:(?:de la|de l'|du|des|de|d') *)?{_LETTER}[\w'’-]+")
 _ES_STREET = re.compile(rf"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|via) *(?:de (?:la |los |las )?)?{_LETTER}[\w'’-]+(?: {_LETTER}[\w'’-]+)?,? +(?:n[º°.] ?)?\d{{1,5}}(?!\w)")
 _BOX = re.compile(r"(?i)(?:\bp\.? ?o\.? ?box|\bpostfach|\bapartado(?: de correos| postal)?|\bbo[iî]te postale|\bcasilla(?: postal)?|\bb\.p\.)[ #:.]*\d[\d ]{0,6}\d?|\bpost box \d+")
 _STREETS = (_EN_STREET, _DE_STREET, _FR_STREET, _ES_STREET, _BOX)
-# What precedes an at-sign in a shell, a remote or a connection string.
-_NO_MAIL_BEFORE = re.compile(r"(?:\b(?:ssh|scp|rsync|sftp|mosh|ssh-copy-id)\b[^\n|;&]*|://[^\s@]*|\bgit|://\S*)$")
+# What matters before a mail address on its line: where a word starts, a scheme, a remote shell, the end of its command.
+_LEFT = re.compile(r"(?P<stop>[\n|;&])|(?P<word>[^\S\n])|(?P<scheme>://)|(?P<shell>(?<![^\s\"'`(|;&$])(?:ssh|scp|rsync|sftp|mosh|sshpass|ssh-copy-id)(?=\s))")
+_REMOTE_PATH = re.compile(r":[\w~./-]+")
+_PROMPT = re.compile(r":[~/][^\n@#$]*[#$]")
+_SPELT_AT = re.compile(r"[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+\b", re.I)
+_NEXT = re.compile(rf"[ \u00a0]((?:{_LETTER}\.[ \u00a0]?)*)({_WORD})(?![\w@/\\(]|\.\w)")
+_TWO = re.compile(rf"[:=]?[ ]*[\"']?((?:{_LETTER}\.[ ]?)+|{_CAPITALISED.pattern}(,?)[ ](?:{_LETTER}\.[ ]?)*)({_CAPITALISED.pattern})(?![\w@/\\(]|\.\w)")
+_TITLED = re.compile(rf"(?:{_LETTER}\.[ ]?)?([A-ZÀ-Þ](?:['’][A-ZÀ-Þ])?{_LETTER}+(?:-{_LETTER}+)?)")
+_COMMA_NAME = re.compile(rf",[ ](?:{_LETTER}\.[ ]?)?({_WORD})")
+
+
+class _Line:
+    """What stands to the left of the at-signs of a text, which come in order; no character is read twice."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.scheme, self.shell = text, 0, -1, False
+
+    def upto(self, to: int) -> None:
+        start = max(self.at, self.text.rfind("\n", self.at, to))
+        for m in _LEFT.finditer(self.text, start, to):
+            if m["scheme"]:
+                self.scheme = m.start()
+            elif m["shell"]:
+                self.shell = True
+            elif m["stop"]:
+                self.shell = False
+                if m[0] == "\n":
+                    self.scheme = -1
+            else:
+                self.scheme = -1
+        self.at = max(self.at, to)
 
 
 class Finder:
-    """Holds the automaton; made once in each worker. given_names: names known to the hub, any case."""
+    """Holds the automaton; made once in each worker. given_names: names known to the hub, any case. endings: what
+    surnames end with, ordinary: a bitmap of words that end so and are none; both as names.learn finds them."""
 
-    def __init__(self, given_names: tuple[str, ...] = ()):
-        self.given = frozenset(g.lower() for g in given_names if g)
+    def __init__(self, given_names: Iterable[str] = (), endings: Iterable[str] = (), ordinary: bytes = b""):
+        self.given = frozenset(g.lower() for g in given_names if g) | COMMON_GIVEN
+        self.endings, self.ordinary = frozenset(endings), ordinary
+        self.sizes = sorted({len(e) for e in self.endings})
         words: dict[str, set[str]] = {}
-        for kind, cues in (("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", tuple(self.given)), ("ending", SURNAME_ENDINGS), ("title", tuple(f"{t}{e}" for t in TITLES for e in (" ", ". "))), ("pair", tuple(f"{c} " for c in PAIR_CUES))):
+        for kind, cues in (
+            ("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", self.given), ("ending", self.endings), ("title", [f"{t}{e}" for t in TITLES for e in (" ", ". ")]), ("pair", [f"{c} " for c in PAIR_CUES]), ("intro", INTRODUCTIONS)
+        ):
             for cue in cues:
                 words.setdefault(cue.lower(), set()).add(kind)
         self.auto = ahocorasick.Automaton()
@@ -94,72 +143,65 @@ class Finder:
             low = "".join(c.lower()[0] for c in text)
         found: list[tuple[int, int, str]] = []
         names: list[tuple[str, int, int]] = []
+        line, floor, street = _Line(text), 0, False
         for last, (size, kinds) in self.auto.iter(low):
             start, end = last - size + 1, last + 1
             for kind in kinds:
                 if kind == "at":
-                    if hit := self._email(text, start, end):
+                    if hit := self._email(text, start, end, floor, line):
                         found.append((*hit, "email"))
+                    floor = end
                 elif kind == "id":
                     if hit := self._identity(text, low, start, end):
                         found.append((*hit, "id_number"))
                 elif kind == "street":
                     # A cue that opens an address starts a word, one that closes it ends a word.
-                    if (low[end - 1] == " " or end == len(low) or not low[end].isalpha()) and (low[end - 1] != " " and low[start:end] != "box" or not start or not low[start - 1].isalpha()):
-                        found.extend((m.start(), m.end(), "address") for m in self._addresses(text, max(0, start - 60), min(len(text), end + 60)))
+                    street = street or (low[end - 1] == " " or end == len(low) or not low[end].isalpha()) and (low[end - 1] != " " and low[start:end] != "box" or not start or not low[start - 1].isalpha())
                 else:
                     names.append((kind, start, end))
+        if street:
+            found.extend((m.start(), m.end(), "address") for pattern in _STREETS for m in pattern.finditer(text))
         for m in _PHONE.finditer(text):
             if kind := self._number(text, *m.span()):
                 found.append((*m.span(), kind))
-        taken = sorted((s, e) for s, e, k in found)
+        taken = _Taken((s, e) for s, e, _ in found)
         for kind, start, end in names:
-            if hit := self._name(text, low, kind, start, end):
-                if not any(s < hit[1] and hit[0] < e for s, e in taken):
-                    found.append((*hit, "name"))
+            if (hit := getattr(self, f"_{kind}")(text, low, start, end)) and not taken.meets(*hit):
+                found.append((*hit, "name"))
         return _disjoint(found)
 
     # ---- local parsers --------------------------------------------------------------------------------------------
     @staticmethod
-    def _email(text: str, start: int, end: int) -> tuple[int, int] | None:
-        left = text[max(0, start - 80) : start]
+    def _email(text: str, start: int, end: int, floor: int, line: _Line) -> tuple[int, int] | None:
+        """floor: the end of the at-sign before; no local part reaches beyond it."""
         sign = text[start:end].lower()
         spelt = sign not in ("@", "＠", "%40")
-        if left[-1:] == " " and sign in ("@", "＠") and text[end : end + 1] == " ":  # spaced out
+        if sign in ("@", "＠") and text[start - 1 : start] == " " and text[end : end + 1] == " ":  # spaced out
             spelt, end = True, end + 1
-            if not _HOST.match(text, end, min(len(text), end + 120)):
+            if not _HOST.match(text, end):
                 return None
-        cut = left.rstrip(" ") if spelt else left
-        m = _LOCAL.search(cut)
-        if not m or not re.search(r"[A-Za-z0-9]", m[0]):
+        stop = start
+        while spelt and stop > floor and text[stop - 1] == " ":
+            stop -= 1
+        begin = stop
+        while begin > floor and text[begin - 1] in _LOCAL:
+            begin -= 1
+        while begin < stop and text[begin] in "'.-%":
+            begin += 1
+        if not any(c.isalnum() for c in text[begin:stop]):
             return None
-        local = m[0].lstrip("'.-%")
-        if sign == " at ":
-            h = re.match(rf"[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+\b", text[end : end + 120], re.I)
-        elif spelt:
-            h = _SPELT_HOST.match(text, end, min(len(text), end + 120))
-        else:
-            h = _HOST.match(text, end, min(len(text), end + 120))
-        if not h or not local:
+        h = (_SPELT_AT if sign == " at " else _SPELT_HOST if spelt else _HOST).match(text, end)
+        if not h:
             return None
-        stop = h.end() if sign != " at " else end + h.end()
-        begin = start - (len(left) - len(cut)) - len(local)
-        before = text[max(0, begin - 120) : begin].rsplit("\n", 1)[-1]
-        after = text[stop : stop + 2]
+        local = text[begin:stop].lower()
+        stop = h.end()
         if not spelt:
-            if re.search(r"://\S*$", before) and not re.search(r"mailto:(?://)?$", before):  # userinfo of an address
-                return None
-            if re.search(r"(?:^|[\s\"'`(|;&$])(?:ssh|scp|rsync|sftp|mosh|sshpass|ssh-copy-id)\s[^\n|;&]*$", before):
-                return None
-            if before[-1:] == ":" and not re.search(r"(?i)\w:$", before):
-                return None
-            if re.match(r":[~/\w]", after) and (local.lower() in ("git", "hg", "svn") or re.match(r":[\w~./-]+", text[stop:]) and "/" in text[stop : stop + 60].split()[0]):
-                return None
-            if local.lower() == "git":
-                return None
-            if re.match(r":[~/].{0,40}[#$]", text[stop : stop + 48]):
+            line.upto(begin)
+            before = text[max(0, begin - 9) : begin]
+            if line.scheme >= 0 and not before.endswith(("mailto:", "mailto://")) or line.shell or before[-1:] == ":" and not before[-2:-1].isalnum():  # userinfo of an address, a remote
                 return None
-            if text[stop : stop + 1] == "@":
+            path = _REMOTE_PATH.match(text, stop)
+            if local == "git" or path and (local in ("hg", "svn") or "/" in path[0]) or _PROMPT.match(text, stop) or text[stop : stop + 1] == "@":
                 return None
         return begin, stop
 
@@ -167,7 +209,7 @@ class Finder:
     def _identity(text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
         if start and low[start - 1].isalnum() or end < len(low) and low[end].isalpha():
             return None
-        m = re.compile(r"[ -]?(?:security|insurance)?").match(low, end) and _ID_VALUE.match(text, end, min(len(text), end + 60))
+        m = _ID_VALUE.match(text, end)
         if not m:
             return None
         value = m[1]
@@ -195,102 +237,168 @@ class Finder:
             return "phone"
         if _TRUNK.match(raw) and 9 <= digits <= 12:
             return "phone"
-        if digits >= 7 and _PHONE_CUE.search(text[max(0, start - 40) : start]) and not re.match(r"\d{4}-\d\d-\d\d", raw) and not re.match(r"\d+\.\d+\.\d+\.\d+", raw):
+        if digits >= 7 and _PHONE_CUE.search(text[max(0, start - PHONE_CUE_REACH) : start]) and not re.match(r"\d{4}-\d\d-\d\d", raw) and not re.match(r"\d+\.\d+\.\d+\.\d+", raw):
             return "phone"
         return None
 
-    @staticmethod
-    def _addresses(text: str, lo: int, hi: int) -> Iterator[re.Match]:
-        for pattern in _STREETS:
-            for m in pattern.finditer(text, lo, hi):
-                yield m
+    def _given(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """A known given name, with the surname that follows it or stands before it and a comma."""
+        size = len(text)
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.+-%\\") or end < size and (text[end].isalnum() or text[end] in "_@/\\" or text[end] in ".-" and text[end + 1 : end + 2].isalnum()):
+            return None
+        word, after = text[start:end], _NEXT.match(text, end)
+        cued = self._cued(low, start)
+        surname = after[2] if after else ""
+        if word[0].islower():
+            if surname.islower() and self._ends(surname):
+                return start, after.end()
+            return (start, end) if low[start:end] not in WORDLIKE and low[start:end] not in COMMON_GIVEN and _STRONG_CUE.search(low[max(0, start - 30) : start]) else None
+        follows = bool(surname) and surname[0].isupper() and (word.isupper() or not surname.isupper()) and (self._unknown(surname) or word.isupper() and self._ends(surname))
+        begin = start
+        if text[start - 2 : start] == ", " and not follows:
+            at = _word_before(text, start - 2)
+            first = text[at : start - 2]
+            if first[:1].isupper() and not first.isupper() and self._unknown(first) and (self._ends(first) or self._cued(low, at) or not at or text[at - 1] in "\n\"'(=,;"):
+                begin = at
+        if low[start:end] in WORDLIKE:
+            if begin < start or follows and (cued or self._ends(surname)):
+                return begin, after.end() if follows else end
+            return (start, end) if cued and not (surname and (surname[0].isupper() or surname in ("and", "period", "the"))) else None
+        return begin, after.end() if follows else end
 
-    def _name(self, text: str, low: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
+    def _ending(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """A word that ends as surnames were seen to, with what stands before it."""
         size = len(text)
-        if kind == "ending":
-            if end < size and (text[end].isalpha() or text[end] in "_@/" or text[end] == "." and text[end + 1 : end + 2].isalnum()):
-                return None
-            begin = start
-            while begin and text[begin - 1].isalpha():
-                begin -= 1
-            word = text[begin:end]
-            if not (word.islower() or word.isupper() or word[1:].islower()):
-                return None
-            if len(word) < 6 or word.lower() in ORDINARY_WORDS or begin and text[begin - 1] in "_@/.+%\\" or begin and text[begin - 1] in "_@/+%\\" or begin and text[begin - 1] == "." or begin and text[begin - 1].isdigit():
-                return None
-            if begin and text[begin - 1] == "-" and not re.search(rf"{_LETTER}-$", text[max(0, begin - 2) : begin]):
-                return None
-            left = re.search(rf"(?:((?:{_LETTER}\.|{_WORD})\.?)[  ]+)?((?:{_LETTER}\.[  ]?)*)((?:{_LETTER}+-)*)$", text[max(0, begin - 60) : begin])
-            before = (left[1] or "") if left else ""
-            initials, joined = (left[2], left[3]) if left else ("", "")
-            plain = before.rstrip(".").lower()
-            person = plain in self.given or plain in TITLES or bool(initials.strip())
-            if word[0].isupper():
-                pass
-            elif not (person or before and before[0].islower() and (self._cued(low, begin - len(left[0])) or re.search(r"(?:^|[\n.?!:='\"]\s*)$", low[max(0, begin - len(left[0]) - 3) : begin - len(left[0])]))):
-                return None
-            at = begin - len(joined) - len(initials)
-            if before and plain not in _SENTENCE_WORDS and (plain in self.given or plain in TITLES or before[0].isupper() and word[0].isupper() or word[0].islower()):
-                at = begin - (len(left[0]))
-            stop = end
-            if m := re.match(rf",[ ](?:{_LETTER}\.[ ]?)?({_WORD})", text[end : end + 40]):
-                if m[1].lower() in self.given or m[1][0].isupper() and not before:
-                    stop = end + m.end()
-            return at, stop
-        if kind == "given":
-            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.+-%\\") or end < size and (text[end].isalnum() or text[end] in "_@/" or text[end] == "." and text[end + 1 : end + 2].isalnum() or text[end] == "-" and text[end + 1 : end + 2].isalnum()):
-                return None
-            word = text[start:end]
-            if word[0].islower():
-                return None
-            cued = self._cued(low, start)
-            if low[start:end] in WORDLIKE:
-                nxt = re.match(rf"[ ]+({_WORD})", text[end : end + 30])
-                return (start, end) if cued and not (nxt and nxt[1][0].isupper()) and not (nxt and nxt[1] in ("and", "period", "the")) else None
-            return start, end
-        if kind == "pair":  # names that are known, or end as surnames do, have anchors of their own
-            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-"):
-                return None
-            m = _CAPITALISED.match(text, end)
-            if not m or m.end() < size and text[m.end()] in "_@/(\\" or re.match(r"[.]\w|['’-]?\d", text[m.end() : m.end() + 2]) or not self._unknown(m[0]):
+        if end < size and (text[end].isalpha() or text[end] in "_@/\\(" or text[end] in ".-" and text[end + 1 : end + 2].isalnum()):
+            return None
+        begin = _word_before(text, end)
+        word = text[begin:end]
+        plain = word.rsplit("-", 1)[-1]
+        if begin and (text[begin - 1].isalnum() or text[begin - 1] in "_@/.+%\\-") or not (plain.islower() or plain.isupper() or plain[1:].islower()) or not self._ends(plain):
+            return None
+        at, before = begin, ""
+        while at >= 3 and text[at - 1] == " " and text[at - 2] == "." and text[at - 3].isalpha() and not text[at - 4 : at - 3].isalnum():  # initials
+            at -= 3
+        initial = at < begin
+        if at and text[at - 1] == " ":
+            before = text[_word_before(text, at - 1) : at - 1]
+        known, first = before.lower(), at - 1 - len(before)
+        if first and text[first - 1] in "_@/.+%\\-":
+            before = ""
+        if word[0].islower():
+            if not (initial or before and before[0].islower() and (known in self.given or self._cued(low, first) or not first or text[first - 1] in "\n'\"=") and known not in _SENTENCE_WORDS):
                 return None
-            return m.span()
-        # A title: the capitalised word that follows is a name.
+        elif known in LOCATIVES and not initial:
+            return None
+        if before and known not in _SENTENCE_WORDS and known not in NO_NAMES and (known in self.given or before[0].isupper() and word[0].isupper() and (before[1:].islower() or word.isupper()) or word[0].islower()):
+            at = first
+        cued, m = self._cued(low, at) and not low.endswith(" and ", 0, at), _COMMA_NAME.match(text, end)
+        if m and (m[1].lower() in self.given or m[1][0].isupper() and at == begin and cued and self._unknown(m[1])):
+            return at, m.end()
+        # Places end as surnames do: a word that nothing beside it tells to be a person's is none.
+        return (at, end) if at < begin or cued or "-" in word else None
+
+    def _pair(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """A phrase that addresses people, and one or two capitalised words nobody knows."""
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-"):
+            return None
+        m = _CAPITALISED.match(text, end)
+        if not m or text[m.end() : m.end() + 1] in ("_", "@", "/", "(", "\\") or re.match(r"[.]\w|['’-]?\d", text[m.end() : m.end() + 2]) or not self._unknown(m[0]):
+            return None
+        after = _NEXT.match(text, m.end())
+        return m.start(), after.end() if after and after[2][0].isupper() and self._unknown(after[2]) else m.end()
+
+    def _intro(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """A phrase that introduces people or tools, and two capitalised words nobody knows, or an initial and one."""
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-"):
+            return None
+        m = _TWO.match(text, end)
+        if not m:
+            return None
+        words = re.findall(_CAPITALISED.pattern, m[0])
+        return (m.start(1), m.end()) if all(self._unknown(w) or w.lower() in self.given for w in words) else None
+
+    def _title(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """A title and the capitalised word that follows."""
         if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.-") or not text[start].isupper():
             return None
-        m = re.match(rf"(?:{_LETTER}\.[ ]?)?([A-ZÀ-Þ]{_LETTER}+(?:-{_LETTER}+)?)", text[end : end + 40])
+        m = _TITLED.match(text, end)
         if not m or low[start:end].strip(" .") in ("don", "miss", "sr"):
             return None
         if m[1].lower() in self.given:
-            more = _CAPITALISED.match(text, end + m.end() + 1) if text[end + m.end() : end + m.end() + 1] == " " else None
-            return (start, more.end() if more and self._unknown(more[0]) else end + m.end())
+            more = _CAPITALISED.match(text, m.end() + 1) if text[m.end() : m.end() + 1] == " " else None
+            return start, more.end() if more and self._unknown(more[0]) else m.end()
         # In upper case throughout, MS and DR are none: MS Windows.
-        return (start, end + m.end()) if m[1].lower().endswith(SURNAME_ENDINGS) or text[start + 1 : end].islower() and m[1][1:].replace("-", "").isalpha() and self._unknown(m[1]) else None
+        return (start, m.end()) if self._ends(m[1]) or text[start + 1 : end].islower() and self._unknown(m[1]) else None
+
+    def _ends(self, word: str) -> bool:
+        """Whether a word ends as surnames were seen to and is no ordinary word that ends so too."""
+        w = word.lower()
+        if len(w) < LEAST_SURNAME or not any(w[-n:] in self.endings for n in self.sizes) or w in self.given:
+            return False
+        if self.ordinary:
+            bit = zlib.crc32(w.encode("utf-8", "surrogatepass")) % (8 * len(self.ordinary))
+            return not self.ordinary[bit >> 3] >> (bit & 7) & 1
+        return True
 
     def _unknown(self, word: str) -> bool:
         """Whether a capitalised word may be a name nobody knows."""
         w = word.lower()
-        return w not in NO_NAMES and w not in ORDINARY_WORDS and w not in WORDLIKE and w not in TITLES and w not in _SENTENCE_WORDS and w not in self.given and not word.isupper()
+        return w not in NO_NAMES and w not in WORDLIKE and w not in TITLES and w not in _SENTENCE_WORDS and w not in self.given and not word.isupper()
 
     @staticmethod
     def _cued(low: str, at: int) -> bool:
-        """Whether a phrase that introduces a person ends here."""
+        """Whether a phrase that introduces a person ends here. No such phrase is longer than 30 characters."""
         return bool(_PERSON_CUE.search(low[max(0, at - 30) : at].rstrip() + " "))
 
 
+def _word_before(text: str, end: int) -> int:
+    """Where the word that ends here starts: letters, with hyphens and apostrophes between them."""
+    at = end
+    while at and (text[at - 1].isalpha() or text[at - 1] in "-'’" and at < end and text[at - 2 : at - 1].isalpha()):
+        at -= 1
+    return at
+
+
+class _Taken:
+    """Places that are taken, as disjoint intervals in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.ends) and self.starts[i] < end
+
+    def take(self, start: int, end: int) -> None:
+        insort(self.starts, start)
+        insort(self.ends, end)
+
+
 _PERSON_CUE = re.compile(
     r"(?:\b(?:pair(?:ing)? with|spoke with|thanks to|according to|written by|opened by|reported by|reviewed by|approved by|signed by|i met|met|and|ask|cc|hi|hello|dear|that|from|by|"
-    r"bitte bei|noch auf|lo mandó|lo revisa|contact est|demande à|the call|contact|author|owner|attn|mit|von|avec|de|con)\b[:=,]?\s*)$"
+    r"bitte bei|noch auf|lo mandó|lo revisa|contact est|demande à|call|contact|author|owner|attn|mit|von|avec|de|con)\b[:=,]?\s*)$"
 )
 _SENTENCE_WORDS = frozenset("that the a an and or but with by from to of in on at for if when ask thanks spoke met call dear cc best regards regards hello hi adresse wohnhaft vive".split())
 
 
+_STRONG_CUE = re.compile(r"(?:\b(?:pair(?:ing)? with|spoke with|thanks to|according to|written by|opened by|reported by|reviewed by|approved by|signed by|i met)[ ]|\b(?:assignee|author|owner|attn)[:=][ ]?['\"]?)$")
+
+
 def _disjoint(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Longer spans win over those they overlap; touching spans of one kind stay apart."""
     rank = {k: i for i, k in enumerate(KINDS)}
-    kept: list[tuple[int, int, str]] = []
+    kept, taken = [], _Taken()
     for s, e, k in sorted(set(found), key=lambda x: (-(x[1] - x[0]), rank[x[2]], x[0])):
-        if all(e <= a or b <= s for a, b, _ in kept):
+        if not taken.meets(s, e):
+            taken.take(s, e)
             kept.append((s, e, k))
     return sorted(kept)
 

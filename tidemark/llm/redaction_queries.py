@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import credentials, pii
+from tidemark.llm import credentials, names, pii
 from tidemark.llm.arrow import explode_texts
 from tidemark.session import table
 
@@ -13,10 +13,10 @@ MAX_GIVEN_NAMES = 1_000_000  # names shipped to every task; a hub's list is far
 
 
 def given_names(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
-    names = [r[0] for r in table(spark, sf_dir, "given_names").select("given_name").where("given_name is not null").distinct().limit(MAX_GIVEN_NAMES + 1).collect()]
-    if len(names) > MAX_GIVEN_NAMES:
+    found = [r[0] for r in table(spark, sf_dir, "given_names").select("given_name").where("given_name is not null").distinct().limit(MAX_GIVEN_NAMES + 1).collect()]
+    if len(found) > MAX_GIVEN_NAMES:
         raise ValueError("given_names is larger than the list every task may hold")
-    return tuple(sorted(names))
+    return tuple(sorted(found))
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,11 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(entries)
 
 
-def find_pii(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def find_pii(texts: DataFrame, given: tuple[str, ...], surnames: names.Surnames = names.Surnames()) -> DataFrame:
     """field_name, rec_id, pii_kind, n: how often each kind occurs in each text. Null and empty texts give no row."""
 
     def make():
-        finder = pii.Finder(names)
+        finder = pii.Finder(given, surnames.endings, surnames.ordinary)
 
         def rows(field: str, rec: str, text: str | None) -> list[tuple]:
             counts: dict[str, int] = {}
@@ -43,11 +43,11 @@ def find_pii(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return explode_texts(texts.select("field_name", "rec_id", "text").where("text is not null"), make, "field_name string, rec_id string, pii_kind string, n int")
 
 
-def redact_pii(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def redact_pii(texts: DataFrame, given: tuple[str, ...], surnames: names.Surnames = names.Surnames()) -> DataFrame:
     """field_name, rec_id, text, n_redacted: every text, each span replaced by its kind in brackets. Null stays null."""
 
     def make():
-        finder = pii.Finder(names)
+        finder = pii.Finder(given, surnames.endings, surnames.ordinary)
 
         def rows(field: str, rec: str, text: str | None) -> list[tuple]:
             spans = finder.spans(text)
@@ -59,11 +59,13 @@ def redact_pii(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(_contents(spark, sf_dir), given_names(spark, sf_dir)).select("field_name", "rec_id", "pii_kind")
+    texts, given = _contents(spark, sf_dir), given_names(spark, sf_dir)
+    return find_pii(texts, given, names.learn(texts, given)).select("field_name", "rec_id", "pii_kind")
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_pii(_contents(spark, sf_dir), given_names(spark, sf_dir))
+    texts, given = _contents(spark, sf_dir), given_names(spark, sf_dir)
+    return redact_pii(texts, given, names.learn(texts, given))
 
 
 def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
