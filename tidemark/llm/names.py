@@ -57,7 +57,7 @@ def _counted(texts: DataFrame, given_names: tuple[str, ...]) -> DataFrame:
             for value in batch.column(0):
                 text = value.as_py()
                 words.update(_WORD.findall(text))
-                for s, e, k in finder.spans(text):
+                for s, e, k in finder.spans(text, parts=False):
                     if k == "name":
                         names.update(w.lower() for w in _WORD.findall(text[s:e]) if w[0].isupper() and w.lower() not in finder.given and w.lower() not in pii.TITLES)
                 if len(words) > HELD:

@@ -25,11 +25,14 @@ ID_CUES = (
     "sozialversicherungsnummer", "dni", "nie", "nif", "passport", "reisepass", "passeport", "pasaporte", "id card", "identity card", "personalausweis",
     "ausweis", "carte d'identité", "cédula", "tax id", "tax number", "taxpayer", "tin", "national id", "numéro de sécurité sociale", "número de identidad", "cpf", "bsn", "pesel",
 )
-STREET_CUES = (
-    "street", "avenue", "lane", "road", "drive", "close", "court", "square", "terrace", "boulevard", "crescent", "grove", " way", " hill", " place", " st", " rd", " ave", " ln", " dr", " blvd",
-    "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ring", "ufer", "rue ", "chemin ", "impasse ", "quai ", "place ", "allée ",
-    "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "via ", "box", "postfach", "apartado", "boîte postale", "casilla", "b.p.",
-)
+# What opens or closes an address, by the pattern that reads it.
+STREET_CUES = {
+    "en": ("street", "avenue", "lane", "road", "drive", "close", "court", "square", "terrace", "boulevard", "crescent", "grove", " way", " hill", " place", " st", " rd", " ave", " ln", " dr", " blvd"),
+    "de": ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ring", "ufer"),
+    "fr": ("rue ", "avenue ", "boulevard ", "chemin ", "impasse ", "quai ", "cours ", "place ", "allée "),
+    "es": ("calle ", "c/", "avenida ", "avda", "plaza ", "paseo ", "camino ", "via "),
+    "box": ("box", "postfach", "apartado", "boîte postale", "boite postale", "casilla", "b.p."),
+}
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "monsieur", "madame", "don", "doña")
 # Widespread given names of several languages, beside those the hub knows.
 COMMON_GIVEN = frozenset(
@@ -81,7 +84,7 @@ _DE_STREET = re.compile(rf"(?i)(?<![\w-]){_LETTER}[\w-]+(?:straße|strasse|str\.
 _FR_STREET = re.compile(rf"(?i)\b\d{{1,5}}(?: ?(?:bis|ter))?,? +(?:rue|avenue|boulevard|place|impasse|allée|chemin|quai|cours) +(?:(?:de la|de l'|du|des|de|d') *)?{_LETTER}[\w'’-]+")
 _ES_STREET = re.compile(rf"(?i)\b(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|via) *(?:de (?:la |los |las )?)?{_LETTER}[\w'’-]+(?: {_LETTER}[\w'’-]+)?,? +(?:n[º°.] ?)?\d{{1,5}}(?!\w)")
 _BOX = re.compile(r"(?i)(?:\bp\.? ?o\.? ?box|\bpostfach|\bapartado(?: de correos| postal)?|\bbo[iî]te postale|\bcasilla(?: postal)?|\bb\.p\.)[ #:.]*\d[\d ]{0,6}\d?|\bpost box \d+")
-_STREETS = (_EN_STREET, _DE_STREET, _FR_STREET, _ES_STREET, _BOX)
+_STREETS = {"en": _EN_STREET, "de": _DE_STREET, "fr": _FR_STREET, "es": _ES_STREET, "box": _BOX}
 # What matters before a mail address on its line: where a word starts, a scheme, a remote shell, the end of its command.
 _LEFT = re.compile(r"(?P<stop>[\n|;&])|(?P<word>[^\S\n])|(?P<scheme>://)|(?P<shell>(?<![^\s\"'`(|;&$])(?:ssh|scp|rsync|sftp|mosh|sshpass|ssh-copy-id)(?=\s))")
 _REMOTE_PATH = re.compile(r":[\w~./-]+")
@@ -125,7 +128,7 @@ class Finder:
         self.sizes = sorted({len(e) for e in self.endings})
         words: dict[str, set[str]] = {}
         for kind, cues in (
-            ("at", AT_SIGNS), ("id", ID_CUES), ("street", STREET_CUES), ("given", self.given), ("ending", self.endings), ("title", [f"{t}{e}" for t in TITLES for e in (" ", ". ")]), ("pair", [f"{c} " for c in PAIR_CUES]), ("intro", INTRODUCTIONS)
+            ("at", AT_SIGNS), ("id", ID_CUES), *STREET_CUES.items(), ("given", self.given), ("ending", self.endings), ("title", [f"{t}{e}" for t in TITLES for e in (" ", ". ")]), ("pair", [f"{c} " for c in PAIR_CUES]), ("intro", INTRODUCTIONS)
         ):
             for cue in cues:
                 words.setdefault(cue.lower(), set()).add(kind)
@@ -134,8 +137,9 @@ class Finder:
             self.auto.add_word(cue, (len(cue), tuple(sorted(kinds))))
         self.auto.make_automaton()
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """Disjoint (start, end, kind), in order. Empty for null and empty texts."""
+    def spans(self, text: str | None, parts: bool = True) -> list[tuple[int, int, str]]:
+        """Disjoint (start, end, kind), in order. Empty for null and empty texts. Without parts, addresses and phone numbers
+        are left out."""
         if not text:
             return []
         low = text.lower()
@@ -143,7 +147,7 @@ class Finder:
             low = "".join(c.lower()[0] for c in text)
         found: list[tuple[int, int, str]] = []
         names: list[tuple[str, int, int]] = []
-        line, floor, street = _Line(text), 0, False
+        line, floor, read = _Line(text), 0, {}
         for last, (size, kinds) in self.auto.iter(low):
             start, end = last - size + 1, last + 1
             for kind in kinds:
@@ -154,16 +158,20 @@ class Finder:
                 elif kind == "id":
                     if hit := self._identity(text, low, start, end):
                         found.append((*hit, "id_number"))
-                elif kind == "street":
-                    # A cue that opens an address starts a word, one that closes it ends a word.
-                    street = street or (low[end - 1] == " " or end == len(low) or not low[end].isalpha()) and (low[end - 1] != " " and low[start:end] != "box" or not start or not low[start - 1].isalpha())
-                else:
+                elif kind in _STREETS:
+                    # A cue that opens an address starts a word, one that closes it ends a word; its line is read once.
+                    if start >= read.get(kind, 0) and (low[end - 1] == " " or end == len(low) or not low[end].isalpha()) and (low[end - 1] != " " and low[start:end] != "box" or not start or not low[start - 1].isalpha()):
+                        at, to = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+                        read[kind] = to = to if to >= 0 else len(text)
+                        if parts:
+                            found.extend((m.start(), m.end(), "address") for m in _STREETS[kind].finditer(text, at, to))
+                elif kind != "ending" or end == len(low) or not low[end].isalpha():
                     names.append((kind, start, end))
-        if street:
-            found.extend((m.start(), m.end(), "address") for pattern in _STREETS for m in pattern.finditer(text))
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if parts else ():
             if kind := self._number(text, *m.span()):
                 found.append((*m.span(), kind))
+        if not found and not names:
+            return []
         taken = _Taken((s, e) for s, e, _ in found)
         for kind, start, end in names:
             if (hit := getattr(self, f"_{kind}")(text, low, start, end)) and not taken.meets(*hit):
