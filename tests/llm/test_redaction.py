@@ -102,6 +102,27 @@ def test_key_paths(before, secret, after):
     assert credentials.redact(before + secret + after, SECRETS.spans(before + secret + after)) == (before + "[SECRET]" + after if secret else before)
 
 
+@pytest.mark.parametrize("before, secret, after", [
+    ("credentials:\n  primary: ", SECRET, "\n"), ('{"secrets": ["', SECRET, '", 3]}'), ("[secrets]\nstripe = ", SECRET, "\n[other]\nname = someone-22"), ("password: >-\n  ", SECRET, "\nuser: x"), ("DB_PASS=", "abc12", ""), ("password: ", "sunshine", "\nuser: moonlight"), ("db_password=", "Trombone", "\n"),
+    ("export DB_PASS=", "abc12", " && make"), ("Mein Kennwort für db.internal.example lautet ", "comet-17-sundial", "."), ("password: required", "", ""), ("password = user_input", "", ""), ("max_tokens: 2137", "", ""), ("credentials:\n  user: ${USER}", "", ""),
+])
+def test_groups_short_values_and_plain_words(before, secret, after):
+    assert credentials.redact(before + secret + after, SECRETS.spans(before + secret + after)) == before + ("[SECRET]" if secret else "") + after
+
+
+@pytest.mark.parametrize("unit", ["a-", "token a-", "https://a/b_c-d.", '{"a": "b", "c": [1, 2]}, ', '{"a":', "password=", 'password="x ', "mysql -u x ", "echo a | ", "--a", "X-a-", "a.b.", "-----BEGIN PRIVATE KEY-----" + " " * 50, '<a name="password" ', "a: b\n", "a=b\n", "token: ", "login x "])
+def test_secrets_stay_linear(unit):
+    start = time.process_time()
+    SECRETS.spans("token " + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 4
+
+
+def test_bytes_are_spliced():
+    data = "é password='".encode() + b"\xff" + b"hT7kQ2pWz9'; x='" + "ü".encode() + b"\xfe'"
+    assert credentials.redact_bytes(data, SECRETS) == "é password='[SECRET]'; x='ü".encode() + b"\xfe'"
+    assert credentials.redact_bytes(None, SECRETS) is None and credentials.redact_bytes(b"", SECRETS) == b""
+
+
 def test_test_tokens_count_without_other_cues():
     text = "try acme_test_" + "a1B2" * 5 + " here"
     assert credentials.redact(text, SECRETS.spans(text)) == "try [SECRET] here"

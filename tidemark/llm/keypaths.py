@@ -17,12 +17,13 @@ DEEPEST = 15  # keys kept of a longer path, the innermost
 
 class Pair(NamedTuple):
     """path: keys from the outermost in; start, end: the value within the text, quotes included; named: the key is what a
-    sibling or attribute beside the value says."""
+    sibling or attribute beside the value says; line: key and value fill a line, as in YAML and dotenv files."""
 
     path: tuple[str, ...]
     start: int
     end: int
     named: bool = False
+    line: bool = False
 
 
 class _Level:
@@ -47,7 +48,7 @@ class _Level:
 
 
 # ---- YAML -----------------------------------------------------------------------------------------------------------
-_LINE = re.compile(r"[^\n]+")
+LINE = re.compile(r"[^\n]+")
 _YAML = re.compile(r"(?P<in>[ ]*(?:-[ ]+)*)(?P<k>\"[^\"]*\"|'[^']*'|[\w./-]+)[ ]*:(?:[ ]+(?P<v>\S.*))?$")
 _SCALAR = re.compile(r"(?P<in>[ ]*(?:-[ ]+)*)(?P<v>\"[^\"]*\"|'[^']*'|[^\s\"'#-]\S*)$")
 _BLOCK = re.compile(r"[|>][-+\d]{0,2}(?:\s+#.*)?$")
@@ -60,7 +61,7 @@ def _yaml(text: str) -> Iterator[Pair]:
     start = end = -1
 
     def lines() -> Iterator[tuple[int, str]]:
-        for m in _LINE.finditer(text):
+        for m in LINE.finditer(text):
             yield m.start(), m[0].rstrip()
         yield len(text), ""
 
@@ -100,7 +101,7 @@ def _yaml(text: str) -> Iterator[Pair]:
         else:
             v = m["v"] if m["v"][0] in "\"'" else m["v"].split(" #")[0].rstrip()
             level.members[level.key.lower()] = span = (at + m.start("v"), at + m.start("v") + len(v))
-            yield Pair(level.below(), *span)
+            yield Pair(level.below(), *span, False, True)
     for level in reversed(stack):
         yield from level.siblings(text)
 
@@ -150,8 +151,8 @@ def _json(text: str) -> Iterator[Pair]:
         at = text.find("{", at)
 
 
-# ---- INI, TOML ------------------------------------------------------------------------------------------------------
-_INI = re.compile(r"^[ \t]*(?:\[{1,2}(?P<t>[^\[\]\n]+)\]{1,2}[ \t]*(?:[#;].*)?$|(?P<k>[\w.\"'-]+)[ \t]*=[ \t]*(?P<v>\"[^\"\n]*\"|'[^'\n]*'|[^\s#;]+))", re.M)
+# ---- INI, TOML, dotenv, properties ------------------------------------------------------------------------------------------------------
+_INI = re.compile(r"^[ \t]*(?:\[{1,2}(?P<t>[^\[\]\n]+)\]{1,2}[ \t]*(?:[#;].*)?$|(?:export[ \t]+)?(?P<k>[\w.\"'-]+)(?P<o>[ \t]*=[ \t]*)(?P<v>\"[^\"\n]*\"|'[^'\n]*'|[^\s#;]+))", re.M)
 
 
 def _ini(text: str) -> Iterator[Pair]:
@@ -163,8 +164,9 @@ def _ini(text: str) -> Iterator[Pair]:
         else:
             level.key = m["k"].strip("\"'")
             level.members[level.key.lower()] = m.span("v")
-            if level.path:
-                yield Pair(level.below(), *m.span("v"))
+            alone = text[m.end() : m.end() + 1] in ("", "\n", "\r")
+            if level.path or alone:
+                yield Pair(level.below(), *m.span("v"), False, alone and m["o"] == "=")
     yield from level.siblings(text)
 
 
@@ -205,11 +207,11 @@ def _xml(text: str) -> Iterator[Pair]:
 
 def pairs(text: str) -> Iterator[Pair]:
     """Every key path of the text with its value's offsets, format by format; a value may come more than once."""
-    if ":" in text and "\n" in text:
+    if ":" in text:
         yield from _yaml(text)
     if "{" in text:
         yield from _json(text)
-    if "[" in text and "=" in text and "\n" in text:
+    if "=" in text:
         yield from _ini(text)
     if "</" in text or "/>" in text:
         yield from _xml(text)
