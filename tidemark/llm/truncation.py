@@ -2,10 +2,12 @@
 
 1. The automaton reads a text once: quotes, brackets, code fences, here-documents, loops, key blocks, a broken last
    character, an escape or an operator with nothing after it. What is left open decides; so do closing marks.
-2. The rest ends without a terminator, as complete texts may. The baseline counts, over all texts, how often each word
-   sequence was followed by a terminator and how often by more words, keyed by the sentence's opening and last two words
-   and backing off to fewer. A text whose tail goes on elsewhere but never ends there, or whose last word is only the
-   beginning of words seen there, is cut.
+2. The rest ends without a terminator, as complete texts may. The baseline counts, for each source and over all of them,
+   how often each word sequence was followed by a terminator and how often by more words, keyed by the sentence's opening
+   and last two words and backing off to fewer. At each step the source's own counts are asked first, and those of all
+   sources where the source's do not tell. A text whose tail goes on elsewhere but never ends there, or whose last word is
+   only the beginning of words seen there, is cut. Rates decide: a tail tells that a text was cut if, with 95 %
+   confidence, the rate at which it ends is below the stated one, however many texts there are.
 3. What even the baseline cannot say is cut only if it has one of the lengths at which texts of its source pile up.
 """
 
@@ -32,6 +34,9 @@ OPTIONS = (
     "ignore-case line-number count max-count context before-context after-context jobs parallel timeout retry retries password-stdin username namespace all-namespaces selector watch tail "
     "maxfail exitfirst durations capture extend-select select ignore fix unsafe-fixes show-fixes statistics no-fix preview show-source show-settings isolated build no-build detach remove-orphans volumes"
 ).split()
+# The highest rates at which a tail may end elsewhere (upper end of the 95 % interval) for its text to count as cut.
+SEQUENCE_ENDS, WORD_ENDS, BEGINNING_ENDS, COMMAND_BEGINNING_ENDS = 0.57, 0.17, 0.66, 0.44
+PILE_SHARE = 0.45  # of the texts within ten characters, at the lower end of its 95 % interval
 _OPENER, _CLOSER = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _END = re.compile(r"[.?!。！？]+[\"'”’»)\]]*(?=\s|$)|\n+")
 _TERMINATED = re.compile(r"[.?!。！？][\"'”’»)\]*_]*$")
@@ -176,12 +181,12 @@ def analyse(text: str | None, command: bool) -> tuple[str, str, str, str, str, i
 
 _READ = (
     "field_name string, rec_id string, item_no bigint, source string, verdict string, opening string, prev string, last string, piece string, chars int, bytes int, "
-    "level string, k1 string, k2 string, k3 string, ends bigint, goes_on bigint"
+    "counted string, level string, k1 string, k2 string, k3 string, ends bigint, goes_on bigint"
 )
 
 
-def _count(text: str, command: bool, ends: Counter, goes: Counter) -> None:
-    """Adds the word sequences of a text, each with what followed it."""
+def _count(text: str, source: str, command: bool, ends: Counter, goes: Counter) -> None:
+    """Adds the word sequences of a text of a source, each with what followed it."""
     for words, terminated in _sentences(text, command):
         shapes = [shape(w) for w in words]
         n = len(shapes)
@@ -194,11 +199,11 @@ def _count(text: str, command: bool, ends: Counter, goes: Counter) -> None:
                 break
             prev = shapes[i - 1] if i else "^"
             into = ends if final else goes
-            into["3", opening, prev, last] += 1
-            into["2", "", prev, last] += 1
-            into["1", "", "", last] += 1
+            into[source, "3", opening, prev, last] += 1
+            into[source, "2", "", prev, last] += 1
+            into[source, "1", "", "", last] += 1
             if (terminated or not final) and words[i][-1].isalpha():
-                into["p", "", "", re.findall(r"[^\W\d_]+", words[i])[-1].lower()] += 1
+                into["", "p", "", "", re.findall(r"[^\W\d_]+", words[i])[-1].lower()] += 1
 
 
 def _read(texts: DataFrame, command: bool) -> DataFrame:
@@ -223,8 +228,8 @@ def _read(texts: DataFrame, command: bool) -> DataFrame:
             rows = []
             for field, rec, item, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a := analyse(text, command)) is not None:
-                    rows.append((field, rec, item, source, *a) + (None,) * 6)
-                    _count(text, command, ends, goes)
+                    rows.append((field, rec, item, source, *a) + (None,) * 7)
+                    _count(text, source or "", command, ends, goes)
             yield out(rows)
             if len(ends) + len(goes) > 200_000:  # bounds a task's memory; the shuffle adds up what is flushed twice
                 yield counted()
@@ -242,47 +247,88 @@ def judge(texts: DataFrame, command: bool) -> DataFrame:
     ensure_checkpoint_dir(texts.sparkSession)
     both = _read(texts, command).checkpoint()
     read = both.where("level is null").select("field_name", "rec_id", "item_no", "source", "verdict", "opening", "prev", "last", "piece", "chars")
-    counts = both.where("level is not null").groupBy("level", "k1", "k2", "k3").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    # Word sequences count for their source and, under *, for all; what is known of single words counts for all only.
+    counts = both.where("level is not null").groupBy("counted", "level", "k1", "k2", "k3").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    counts = counts.withColumn("counted", F.explode(F.expr("if(level = 'p', array('*'), array(counted, '*'))")))
     # Beside each sequence, the proper beginnings of its last word (level b), and of its last run of letters (level q).
     begins = F.expr("""filter(array_append(
-        case when level in ('2', 'p') and length(k3) > 1 then transform(sequence(1, length(k3) - 1), i -> named_struct('level', if(level = '2', 'b', 'q'), 'k2', k2, 'k3', left(k3, i), 'ends', 0L, 'goes_on', ends + goes_on))
+        case when level in ('2', 'p') and counted = '*' and length(k3) > 1 then transform(sequence(1, length(k3) - 1), i -> named_struct('level', if(level = '2', 'b', 'q'), 'k2', k2, 'k3', left(k3, i), 'ends', 0L, 'goes_on', ends + goes_on))
              else array() end, named_struct('level', level, 'k2', k2, 'k3', k3, 'ends', ends, 'goes_on', goes_on)), x -> x is not null)""")
-    stats = counts.select("k1", F.explode(begins).alias("x")).groupBy(F.col("x.level").alias("level"), "k1", F.col("x.k2").alias("k2"), F.col("x.k3").alias("k3")).agg(F.sum("x.ends").alias("ends"), F.sum("x.goes_on").alias("goes_on"))
-
-    # Only the distinct tails ask the baseline, so a tail that a third of all texts share costs one row.
-    tails = read.where("verdict = 'ask'").select("opening", "prev", "last", "piece").distinct()
-    asked = tails.select("*", F.explode(F.array(*(F.struct(F.lit(lv).alias("level"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3")) for lv, k1, k2, k3 in (
-        ("3", F.col("opening"), F.col("prev"), F.col("last")), ("2", F.lit(""), F.col("prev"), F.col("last")), ("1", F.lit(""), F.lit(""), F.col("last")),
-        ("b", F.lit(""), F.col("prev"), F.col("last")), ("p", F.lit(""), F.lit(""), F.col("piece")), ("q", F.lit(""), F.lit(""), F.col("piece")),
-    )))).alias("k")).select("opening", "prev", "last", "piece", "k.*")
-    of = lambda level, col: F.coalesce(F.max(F.when(F.col("level") == level, F.col(col))), F.lit(0))
-    known = asked.join(stats, ["level", "k1", "k2", "k3"], "left").groupBy("opening", "prev", "last", "piece").agg(
-        *(of(lv, c).alias(n) for lv, c, n in (("3", "ends", "e3"), ("3", "goes_on", "c3"), ("2", "ends", "e2"), ("2", "goes_on", "c2"), ("1", "ends", "e1"), ("1", "goes_on", "c1"), ("b", "goes_on", "b2"), ("p", "goes_on", "p1"), ("q", "goes_on", "q1")))
+    stats = counts.select("counted", "k1", F.explode(begins).alias("x")).groupBy("counted", F.col("x.level").alias("level"), "k1", F.col("x.k2").alias("k2"), F.col("x.k3").alias("k3")).agg(F.sum("x.ends").alias("ends"), F.sum("x.goes_on").alias("goes_on"))
+
+    # Only the distinct tails of a source ask the baseline, so a tail that a third of all texts share costs one row.
+    ask, decided = read.where("verdict = 'ask'").withColumn("source", F.coalesce("source", F.lit(""))), read.where("verdict <> 'ask'")
+    tail_key = ["source", "opening", "prev", "last", "piece"]
+    tails = ask.select(*tail_key).distinct()
+    none, own, every = F.lit(""), F.col("source"), F.lit("*")
+    keys = [(of, lv, k1, k2, F.col("last")) for of in (own, every) for lv, k1, k2 in (("3", F.col("opening"), F.col("prev")), ("2", none, F.col("prev")), ("1", none, none))]
+    keys += [(every, "b", none, F.col("prev"), F.col("last")), (every, "p", none, none, F.col("piece")), (every, "q", none, none, F.col("piece"))]
+    asked = tails.select("*", F.explode(F.array(*(F.struct(of.alias("counted"), F.lit(lv).alias("level"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3")) for of, lv, k1, k2, k3 in keys))).alias("k")).select(*tail_key, "k.*")
+    of = lambda level, col, all_: F.coalesce(F.max(F.when((F.col("level") == level) & ((F.col("counted") == "*") == all_), F.col(col))), F.lit(0))
+    known = asked.join(stats, ["counted", "level", "k1", "k2", "k3"], "left").groupBy(*tail_key).agg(
+        *(of(lv, c, a == "").alias(f"{n}{lv}{a}") for lv in "321" for a in ("s", "") for c, n in (("ends", "e"), ("goes_on", "c"))), of("b", "goes_on", True).alias("b2"), of("p", "goes_on", True).alias("p1"), of("q", "goes_on", True).alias("q1")
     )
-    tail = F.expr("""
-        case when __command and (b2 >= 5 and e2 * 20 < b2 or last rlike '^(/|--.*=$)' and piece <> '' and p1 = 0 and q1 >= 3) then 'cut' when __command and e3 > 0 and e3 * 10 < c3 and e3 * 50 >= c3 then 'weak' when __command and e3 > 0 and e3 * 50 >= c3 then 'whole' when not __command and e3 > 0 and e3 * 100 >= c3 then 'whole' when c3 >= 3 then 'cut'
-             when e2 > 0 and e2 * 50 >= c2 then 'whole' when c2 >= 3 then 'cut'
-             when e3 + e2 = 0 and b2 >= 2 then 'cut'
-             when e1 = 0 and c1 = 0 and piece <> '' and p1 = 0 and q1 >= 3 then 'cut'
-             when e1 > 0 then 'whole' when c1 >= 20 then 'cut' else 'ask' end""".replace("__command", str(command).lower()))
-    known = known.select("opening", "prev", "last", "piece", tail.alias("tail"))
-    judged = read.join(known, ["opening", "prev", "last", "piece"], "left").withColumn("verdict", F.when(F.col("verdict") == "ask", F.coalesce("tail", F.lit("ask"))).otherwise(F.col("verdict")))
+    known = known.select(*tail_key, F.expr(_tail_rule(command)).alias("tail"))
+    judged = ask.join(known, tail_key, "left").withColumn("verdict", F.coalesce("tail", F.lit("ask"))).select(*decided.columns).unionByName(decided)
     # Lengths at which the texts of a source pile up: far more than of the lengths around.
     around = Window.partitionBy("source").orderBy("chars").rangeBetween(-10, 10)
-    piles = read.where("chars >= 100").groupBy("source", "chars").agg(F.count("*").alias("n")).withColumn("near", F.sum("n").over(around) - F.col("n")).where("n >= 5 and n * 4 >= near + 20").select("source", "chars", F.lit(True).alias("full"))
+    piles = read.where("chars >= 100").groupBy("source", "chars").agg(F.count("*").alias("n")).withColumn("near", F.sum("n").over(around)).where(F.expr(f"{_least('n', 'near')} >= {PILE_SHARE}")).select("source", "chars", F.lit(True).alias("full"))
     full = F.coalesce("full", F.lit(False))
     cut = (F.col("verdict") == "cut") | full & F.col("verdict").isin("ask", "weak")
     return judged.join(piles, ["source", "chars"], "left").select("field_name", "rec_id", "item_no", "source", cut.alias("cut"))
 
 
+def _interval(k: str, n: str, sign: str) -> str:
+    """SQL of an end of Wilson's 95 % interval of a rate of k in n."""
+    return f"((({k}) / ({n}) + 1.9208 / ({n}) {sign} 1.96 * sqrt(({k}) / ({n}) * (1 - ({k}) / ({n})) / ({n}) + 0.9604 / (({n}) * ({n})))) / (1 + 3.8416 / ({n})))"
+
+
+def _least(k: str, n: str) -> str:
+    return _interval(k, n, "-")
+
+
+def _below(ends: str, goes_on: str, rate: float) -> str:
+    """SQL: a sequence was seen, and ends at less than the rate."""
+    return f"coalesce({_interval(ends, f'nullif({ends} + {goes_on}, 0)', '+')} < {rate}, false)"
+
+
+def _tail_rule(command: bool) -> str:
+    """SQL of what a tail says: cut, whole, weak (only a full field cuts it) or ask. e, c: how often a sequence of three, two
+    or one words ends and goes on, s in its source; b2, q1: how often the last word or run only begins another one."""
+    steps = []
+    if command:
+        steps.append(f"when b2 > 0 and e2 * 20 < b2 and {_below('e2', 'b2', COMMAND_BEGINNING_ENDS)} or last rlike '^(/|--.*=$)' and piece <> '' and p1 = 0 and {_below('0', 'q1', SEQUENCE_ENDS)} then 'cut'")
+    for own in ("s", ""):
+        e, c = f"e3{own}", f"c3{own}"
+        if command:
+            steps += [f"when {e} > 0 and {e} * 10 < {c} and {e} * 50 >= {c} then 'weak'", f"when {e} > 0 and {e} * 50 >= {c} then 'whole'"]
+        else:
+            steps.append(f"when {e} > 0 and {e} * 100 >= {c} then 'whole'")
+    # A source in which a sequence has not ended yet does not outweigh others in which it does.
+    steps.append(f"when {_below('e3', 'c3', SEQUENCE_ENDS)} then 'cut'")
+    steps += [f"when e2{own} > 0 and e2{own} * 50 >= c2{own} then 'whole'" for own in ("s", "")]
+    steps.append(f"when {_below('e2', 'c2', SEQUENCE_ENDS)} then 'cut'")
+    steps.append(f"when e3 + e2 = 0 and {_below('0', 'b2', BEGINNING_ENDS)} then 'cut'")
+    steps.append(f"when e1 = 0 and c1 = 0 and piece <> '' and p1 = 0 and {_below('0', 'q1', SEQUENCE_ENDS)} then 'cut'")
+    steps.append("when e1s > 0 or e1 > 0 then 'whole'")
+    steps.append(f"when {_below('e1', 'c1', WORD_ENDS)} then 'cut'")
+    return "case " + " ".join(steps) + " else 'ask' end"
+
+
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "session_upserts").select(F.lit("last_prompt").alias("field_name"), F.col("upsert_id").cast("string").alias("rec_id"), F.lit(0).cast("bigint").alias("item_no"), F.coalesce("tool", F.lit("unknown")).alias("source"), F.col("last_prompt").alias("text"))
 
 
+def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, tool: the last a session named other than unknown; one row a session."""
+    return table(spark, sf_dir, "session_upserts").where("session_id is not null").groupBy("session_id").agg(F.coalesce(F.max_by("tool", F.when(F.col("tool") != "unknown", F.struct("received_at", "upsert_id"))), F.lit("unknown")).alias("source"))
+
+
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "session_events").where("size(commands) > 0").select(
-        F.lit("commands").alias("field_name"), F.col("event_id").alias("rec_id"), F.lit("command line").alias("source"), F.posexplode("commands").alias("item_no", "text"), "session_id"
-    ).withColumn("item_no", F.col("item_no").cast("bigint"))
+    """Commands with the tool of their session. The tools of all sessions are broadcast only if Spark finds them small; else
+    the join is by shuffle, where AQE splits a session that holds many of the rows."""
+    rows = table(spark, sf_dir, "session_events").where("size(commands) > 0").select("event_id", "session_id", "commands").join(_tools(spark, sf_dir), "session_id", "left")
+    return rows.select(F.lit("commands").alias("field_name"), F.col("event_id").alias("rec_id"), F.coalesce("source", F.lit("unknown")).alias("source"), F.posexplode("commands").alias("item_no", "text")).withColumn("item_no", F.col("item_no").cast("bigint"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,14 +337,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tool, field_name, texts, cut_texts, cut_share. A session's tool is the last it named other than unknown."""
-    upserts = table(spark, sf_dir, "session_upserts")
-    tools = upserts.groupBy("session_id").agg(F.coalesce(F.max_by("tool", F.when(F.col("tool") != "unknown", F.struct("received_at", "upsert_id"))), F.lit("unknown")).alias("tool"))
-    sessions = table(spark, sf_dir, "session_events").where("size(commands) > 0").select(F.col("event_id").alias("rec_id"), "session_id").unionByName(upserts.select(F.col("upsert_id").cast("string").alias("rec_id"), "session_id"))
-    judged = judge(_prompts(spark, sf_dir), False).unionByName(judge(_commands(spark, sf_dir), True))
-    each = judged.groupBy("field_name", "rec_id").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts")).join(sessions, "rec_id")
-    return each.groupBy("session_id", "field_name").agg(F.sum("texts").alias("texts"), F.sum("cut_texts").alias("cut_texts")).join(tools, "session_id", "left").groupBy(F.coalesce("tool", F.lit("unknown")).alias("tool"), "field_name").agg(
-        F.sum("texts").alias("texts"), F.sum("cut_texts").alias("cut_texts"), F.round(F.sum("cut_texts") / F.sum("texts"), 6).alias("cut_share")
-    )
+    prompts = table(spark, sf_dir, "session_upserts").select(F.col("upsert_id").cast("string").alias("rec_id"), "session_id")
+    judged = judge(_prompts(spark, sf_dir), False).join(prompts, "rec_id").join(_tools(spark, sf_dir).withColumnRenamed("source", "tool"), "session_id", "left")
+    both = judged.select(F.coalesce("tool", F.lit("unknown")).alias("tool"), "field_name", "cut").unionByName(judge(_commands(spark, sf_dir), True).select(F.col("source").alias("tool"), "field_name", "cut"))
+    return both.groupBy("tool", "field_name").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"), F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_share"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates}
