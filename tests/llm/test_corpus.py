@@ -84,6 +84,14 @@ def test_pack_documents(spark):
     assert packing.pack_documents(sized.limit(0), specs).count() == 0
 
 
+def test_deficits_of_shards_are_prefix_sums(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 3)
+    rng = np.random.default_rng(5)
+    rows = [(int(sh), s, int(sh) // 3, int(rng.integers(1, 99))) for sh in range(11) for s in "ab" if (sh + ord(s)) % 4]
+    got = {(r.shard, r.s): r.before for r in packing._before(spark.createDataFrame(rows, "shard bigint, s string, group bigint, own bigint"), "own", "before", ["s"]).collect()}
+    assert got == {(sh, s): sum(n for t, u, _, n in rows if u == s and t < sh) for sh, s, _, _ in rows}
+
+
 # ---- mixing ---------------------------------------------------------------------------------------------------------
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(1, 500)), min_size=1, max_size=60), st.integers(0, 99))
@@ -114,6 +122,17 @@ def test_mixture(spark):
     assert mixing.mix(sized.limit(0), targets).count() == 0
 
 
+def test_mixture_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    monkeypatch.setattr(mixing, "BALLAST", 10)
+    rng = np.random.default_rng(3)
+    sized = spark.createDataFrame([(i, "ab"[i % 3 == 0], int(n)) for i, n in enumerate(rng.integers(10, 400, 900))], "doc_id bigint, source string, tokens int")
+    out = mixing.mix(sized, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")).toPandas()
+    used = out.groupby("source").tokens.sum()
+    assert used["a"] / used.sum() == pytest.approx(0.5, abs=0.01) and (out.copies == 1).all() and out.doc_id.is_unique
+
+
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "a", "hello world"), (2, "a", None), (3, None, ""), (4, "a", "x" * 200000)], "doc_id bigint, source string, text string")
     assert [r.tokens for r in tokens.with_token_counts(docs).orderBy("doc_id").collect()][:3] == [2, 0, 0]

@@ -3,6 +3,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chunking as C
 from tidemark.llm import truncation as X
@@ -33,17 +34,33 @@ def test_cuts_before_a_long_word_rather_than_in_it():
     assert [text[a:b] for a, b, _ in C.pieces(text, 35, 14)][0] == "Intro here. See "
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(-1, 7), min_size=1, max_size=80), st.data())
-def test_range_maximum(values, data):
+@pytest.mark.parametrize("block", [1, 4, 16, 1 << 16])
+@settings(max_examples=60, deadline=None)
+@given(values=st.lists(st.integers(-1, 7), min_size=1, max_size=80), data=st.data())
+def test_range_maximum(block, values, data):
     import numpy as np
 
-    width = data.draw(st.integers(1, len(values)))
-    t = C.RangeMaximum(np.array(values, np.int8), width)
-    lo = data.draw(st.integers(0, len(values) - 1))
-    hi = data.draw(st.integers(lo, len(values) - 1))
-    best = max(values[lo : hi + 1])
-    assert t.argmax(lo, hi) == max(i for i in range(lo, hi + 1) if values[i] == best)
+    was, C.BLOCK = C.BLOCK, block
+    try:
+        t = C.RangeMaximum(np.array(values, np.int8))
+        for _ in range(4):
+            lo = data.draw(st.integers(0, len(values) - 1))
+            hi = data.draw(st.integers(lo, len(values) - 1))
+            best = max(values[lo : hi + 1])
+            assert t.argmax(lo, hi) == max(i for i in range(lo, hi + 1) if values[i] == best)
+    finally:
+        C.BLOCK = was
+
+
+def test_a_very_long_text_takes_memory_in_proportion():
+    import tracemalloc
+
+    text = "A word and another, then a sentence ends here. " * 60_000
+    tracemalloc.start()
+    cut = C.pieces(text, 900, 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000 and "".join(text[a + c : b] for a, b, c in cut) == text.strip(C.BLANKS)
 
 
 def test_split_table(spark):
@@ -88,6 +105,16 @@ def test_the_baseline_judges_what_structure_cannot(spark):
     assert X.judge(df.limit(0), False).count() == 0
 
 
+def test_the_baseline_asks_the_source_first_and_then_all(spark):
+    """A source ends its texts with a tail that goes on in another; texts of a source without any word of it back off."""
+    rows = [("a", f"Note {i} says: use the cache.") for i in "bcdefgh"] + [("b", f"Note {i} says: use the cache before noon.") for i in "ijklmnopqr"] + [("a", "Note x says: use the cache"), ("c", "Note y says: use the cache"), ("c", "Note z says: use the cache before")]
+    df = spark.createDataFrame([("f", str(i), 0, s, t) for i, (s, t) in enumerate(rows)], "field_name string, rec_id string, item_no bigint, source string, text string")
+    once = {int(r.rec_id) for r in X.judge(df, False).where("cut").collect()}
+    assert once == {len(rows) - 1}
+    many = df.unionByName(df.withColumn("rec_id", F.concat(F.lit("9"), "rec_id"))).unionByName(df.withColumn("rec_id", F.concat(F.lit("8"), "rec_id")))
+    assert {int(r.rec_id) for r in X.judge(many, False).where("cut").collect()} & set(range(len(rows))) == once
+
+
 def test_found_names_every_stored_copy(spark, data):
     found = [tuple(r) for r in X.p4_found(spark, data).collect()]
     assert len(found) == len(set(found))

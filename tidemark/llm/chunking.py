@@ -1,8 +1,9 @@
 """Cutting oversized texts at natural boundaries with a fixed overlap.
 
 Every position of a text has a boundary strength (paragraph, heading, line, list item, sentence, clause, word, inside a
-word). A sparse table answers "strongest cut in this window, rightmost on ties" in constant time, so a piece costs the
-same however long the text is. The next piece begins `overlap` characters before the cut.
+word). Sparse tables answer "strongest cut in this window, rightmost on ties" in constant time, so a piece costs the
+same however long the text is; they are made for blocks of the text, as the window reaches them, so that memory beside
+the text is a byte a character. The next piece begins `overlap` characters before the cut.
 """
 
 from __future__ import annotations
@@ -42,27 +43,44 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
-class RangeMaximum:
-    """Sparse table over strengths; the position of the maximum of [lo, hi], the rightmost of equals."""
+BLOCK, LEVELS = 1 << 16, 13  # positions of one sparse table, and its rows
+HELD = 8  # tables kept, the latest
+
 
-    def __init__(self, values: np.ndarray, width: int):
-        # Strength and position in one key: equal strengths compare by position.
-        self.rows = [values.astype(np.int64) * (1 << 40) + np.arange(len(values))]
-        span = 1
-        while 2 * span <= min(width, len(values)):
-            last = self.rows[-1]
-            self.rows.append(np.maximum(last[:-span], last[span:]))
-            span *= 2
+class RangeMaximum:
+    """Sparse tables over blocks of strengths; the position of the maximum of [lo, hi], the rightmost of equals."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.tables: dict[int, list[np.ndarray]] = {}
+
+    def _rows(self, block: int) -> list[np.ndarray]:
+        rows = self.tables.get(block)
+        if rows is None:
+            if len(self.tables) >= HELD:
+                del self.tables[min(self.tables)]
+            part = self.values[block * BLOCK : (block + 1) * BLOCK]
+            # Strength and position in one key: equal strengths compare by position.
+            rows = [part.astype(np.int32) * BLOCK + np.arange(len(part), dtype=np.int32)]
+            while len(rows) < LEVELS and 2 << (len(rows) - 1) <= len(part):
+                span = 1 << (len(rows) - 1)
+                rows.append(np.maximum(rows[-1][:-span], rows[-1][span:]))
+            self.tables[block] = rows
+        return rows
 
     def argmax(self, lo: int, hi: int) -> int:
-        level = min((hi - lo + 1).bit_length(), len(self.rows)) - 1
-        row, span = self.rows[level], 1 << level
-        best = max(int(row[lo]), int(row[hi - span + 1]))
-        at = lo + span
-        while at < hi - span + 1:  # only where the window is wider than the table
-            best = max(best, int(row[at]))
-            at += span
-        return best & ((1 << 40) - 1)
+        best, at = -(1 << 40), lo
+        for block in range(lo // BLOCK, hi // BLOCK + 1):
+            rows, first = self._rows(block), block * BLOCK
+            a, b = max(lo - first, 0), min(hi - first, BLOCK - 1)
+            level = min((b - a + 1).bit_length(), len(rows)) - 1
+            row, span = rows[level], 1 << level
+            top = max(int(row[a]), int(row[b - span + 1]))
+            for i in range(a + span, b - span + 1, span):  # only where the window is wider than the table
+                top = max(top, int(row[i]))
+            if top // BLOCK >= best:
+                best, at = top // BLOCK, first + top % BLOCK
+        return at
 
 
 def pieces(text: str | None, size: int | None, overlap: int | None) -> list[tuple[int, int, int]]:
@@ -86,7 +104,7 @@ def pieces(text: str | None, size: int | None, overlap: int | None) -> list[tupl
     if hi - lo <= size:
         return [(lo, hi, 0)]
     values = strengths(text)
-    table_ = RangeMaximum(values, size)
+    table_ = RangeMaximum(values)
     out: list[tuple[int, int, int]] = []
     start, carried = lo, 0
     while True:

@@ -20,7 +20,7 @@ from tidemark.session import ensure_checkpoint_dir, table
 
 BLOCK = 1024  # documents of one source balanced together in one call
 FAN_IN = 256  # blocks whose undecided documents meet at the next level
-BALLAST = 128  # middling texts that each block leaves undecided
+BALLAST = 128  # middling texts that each block leaves undecided, at most; of a small block half the texts
 SEED = 20240229
 EPS = 1e-9
 
@@ -60,17 +60,22 @@ def draw(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing: bo
     """One block: p after the flight, ballast and at most two others undecided; with landing, all decided."""
     p = p.astype(float).copy()
     middle = np.argsort(np.abs(sizes - np.median(sizes)), kind="stable")
-    ballast, rest = middle[:BALLAST], middle[BALLAST:][::-1]
+    n = min(BALLAST, len(p) // 2)
+    ballast, rest = middle[:n], middle[n:][::-1]
     p[rest] = flight(p[rest].tolist(), sizes[rest].tolist(), rng)
     if landing:
         last = rest[(p[rest] > EPS) & (p[rest] < 1 - EPS)]
         rounded = (rng.random(len(last)) < p[last]).astype(float)
         owed = float(np.dot(sizes[last], p[last] - rounded))  # tokens that rounding took, for the ballast to give; 0 on average
+        # The ballast gives them in proportion, and as far as it could whichever way the rounding went: so no text's
+        # expectation changes.
+        most, least = float(np.dot(sizes[last], p[last])), float(np.dot(sizes[last], 1 - p[last]))
         p[last] = rounded
-        spare = np.where(owed > 0, 1 - p[ballast], -p[ballast])
-        room = float(np.dot(sizes[ballast], spare))
-        if room:
-            p[ballast] += spare * min(1.0, owed / room)
+        gives = p[ballast] * (1 - p[ballast])
+        room = float(np.dot(sizes[ballast], gives))
+        if room and owed:
+            p[ballast] += owed * gives / room * min(1.0, room / max(most * p[ballast].max(), least * (1 - p[ballast]).max()))
+            p[ballast] = p[ballast].clip(0, 1)
         order = ballast[np.argsort(-sizes[ballast], kind="stable")]
         p[order] = flight(p[order].tolist(), sizes[order].tolist(), rng)
         order = order[(p[order] > EPS) & (p[order] < 1 - EPS)]
@@ -120,11 +125,13 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     whole = drawn.where(f"p <= {EPS}")
     decided = [whole.select("source", "doc_id", "tokens", F.col("base").alias("copies"))]
     rest = drawn.where(f"p > {EPS}")
-    for level in range(3):
-        flown = rest.groupBy("source", "block").applyInPandas(_fly(level == 2, level), _DRAW).checkpoint()
+    left, level = int(plan.agg(F.max(blocks)).first()[0] or 1), 0
+    while left:  # as many levels as it takes until each source is one block, and that is decided whole
+        flown = rest.groupBy("source", "block").applyInPandas(_fly(left == 1, level), _DRAW).checkpoint()
         done = flown.where("p in (0.0, 1.0)")
         decided.append(done.select("source", "doc_id", "tokens", (F.col("base") + F.col("p").cast("int")).alias("copies")))
-        rest = flown.where("p not in (0.0, 1.0)").withColumn("block", F.floor(F.col("block") / F.lit(FAN_IN)) if level == 0 else F.lit(0).cast("bigint"))
+        rest = flown.where("p not in (0.0, 1.0)").withColumn("block", F.floor(F.col("block") / F.lit(FAN_IN)))
+        left, level = 0 if left == 1 else -(-left // FAN_IN), level + 1
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)

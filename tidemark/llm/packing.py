@@ -4,7 +4,7 @@ Opening a container gives every source a quantum, its target share of the capaci
 gives its largest item that still fits and pays for it; what a source could not spend stays its deficit for the next
 container. The target is each source's share of all tokens, since every text has to be placed. Documents are dealt to
 shards of bounded size that are packed on their own; a shard starts with the deficits the shards before it leave, which
-prefix sums over shard totals tell without packing. What a shard leaves in poorly filled containers is taken out and
+prefix sums over shard totals, in two levels, tell without packing. What a shard leaves in poorly filled containers is taken out and
 packed again with that of other shards.
 """
 
@@ -20,6 +20,7 @@ from tidemark.llm.tokens import with_token_counts
 from tidemark.session import ensure_checkpoint_dir, table
 
 SHARD_TOKENS = 1_500_000  # tokens dealt to one shard, and so to one task
+GROUP = 1_024  # shards whose totals one task sums up; the groups' totals are summed up on their own
 FAN_IN = 32  # shards whose leftovers are packed together
 WELL_FILLED = 0.98
 
@@ -77,6 +78,17 @@ def _pack_group(level: str):
     return run
 
 
+def _before(totals: DataFrame, value: str, name: str, keys: list[str]) -> DataFrame:
+    """totals (shard, group, keys, value) with the sum of the value over all shards before, in two levels: within a group
+    of shards, and over the groups before it."""
+    within = Window.partitionBy(*keys, "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy(*keys, "group").agg(F.sum(value).alias("sum"))
+    over = Window.partitionBy(*keys).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a thousandth of the shards
+    groups = groups.select(*keys, "group", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("earlier"))
+    both = totals.withColumn("inside", F.coalesce(F.sum(value).over(within), F.lit(0))).join(groups, [*keys, "group"])
+    return both.withColumn(name, F.col("inside") + F.col("earlier")).drop("inside", "earlier", "group")
+
+
 def pack_documents(sized: DataFrame, specs: DataFrame) -> DataFrame:
     """spec_name, capacity, container, source, doc_id, part_no, start_token, tokens: where every text went, for each spec.
 
@@ -99,18 +111,16 @@ def pack_documents(sized: DataFrame, specs: DataFrame) -> DataFrame:
     full = parts.where("tokens = capacity").select("*", F.concat_ws("-", F.lit("f"), "doc_id", "part_no").alias("container"))
     rest = parts.where("tokens < capacity")
     # Deficits at each shard's start: what the sources' targets and totals over the shards before it leave.
-    totals = dealt.groupBy("shard", F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("tokens").alias("own"))
-    everywhere = Window.partitionBy("s")
-    up_to = everywhere.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    grid = totals.withColumn("share", F.sum("own").over(everywhere) / F.lit(float(total or 1))).withColumn("before", F.coalesce(F.sum("own").over(up_to), F.lit(0)))
-    shard_totals = totals.groupBy("shard").agg(F.sum("own").alias("all")).withColumn("all_before", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = dealt.groupBy("shard", F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("tokens").alias("own")).withColumn("group", F.floor(F.col("shard") / F.lit(GROUP)))
+    shares = totals.groupBy("s").agg((F.sum("own") / F.lit(float(total or 1))).alias("share"))
+    grid = _before(totals, "own", "before", ["s"]).join(shares, "s")
+    shard_totals = _before(totals.groupBy("shard", "group").agg(F.sum("own").alias("all")), "all", "all_before", [])
     start = grid.join(shard_totals, "shard").select("shard", "s", "share", (F.col("share") * F.col("all_before") - F.col("before")).alias("deficit"))
     ready = rest.join(start, (rest.shard == start.shard) & (F.coalesce(rest.source, F.lit("")) == start.s)).select(rest["*"], "share", "deficit")
     packed = ready.groupBy("spec_name", "shard").applyInPandas(_pack_group("a"), _SLOT).checkpoint()
     closed = packed.where("not open")
-    share = grid.select("s", "share").distinct()
     left = packed.where("open").drop("container", "open").withColumn("shard", F.floor(F.col("shard") / F.lit(FAN_IN)))
-    left = left.join(share, F.coalesce(left.source, F.lit("")) == share.s).select(left["*"], "share", F.lit(0.0).alias("deficit"))
+    left = left.join(shares, F.coalesce(left.source, F.lit("")) == shares.s).select(left["*"], "share", F.lit(0.0).alias("deficit"))
     again = left.groupBy("spec_name", "shard").applyInPandas(_pack_group("b"), _SLOT)
     columns = ["spec_name", "capacity", "container", "source", "doc_id", "part_no", "start_token", "tokens"]
     return full.select(*columns).unionByName(closed.select(*columns)).unionByName(again.select(*columns))
