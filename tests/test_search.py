@@ -95,7 +95,7 @@ def test_whole_batch_takes_terms_beyond_the_beginning(spark, data):
     from tidemark.plans import corpus as C
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 100 = 0 and text is not null").collect()}
-    got = {r.query_id: r.query for r in C.whole_batch(spark, data).collect()}
+    got = {r.query_id: r.query for r in C.batch(spark, data).collect()}
     assert got == docs
     late = spark.createDataFrame([(0, "the " * 40 + "cursor")], "query_id int, query string")
     assert late.select(T.query_terms(F.col("query"))).first()[0] == ["cursor"]

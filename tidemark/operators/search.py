@@ -7,19 +7,23 @@ a query has, so statistics are taken before scoping.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.session import ensure_checkpoint_dir
 
 WEIGHTS = {"title": 3.0, "tags": 2.0, "content": 1.0}  # of a hit in each column
 K1, B = 1.2, 0.75
 RRF_K = 60
 MIN_SCORE = 0.12
 HALF_LIFE_DAYS = 14.0
-FEW_PHRASES = 4_000  # up to so many distinct phrases are literals of the plan; more are joined by shuffle
+FEW_PHRASES = 16_000  # up to so many distinct phrases are literals of the plan; more are joined by shuffle
+FEW_QUERIES = 20_000  # up to so many queries are held by every task; more are joined by shuffle
+FEW_CANDIDATES = 400_000  # rows of candidates sent to all tasks at most, some 40 MB
 
 
 @dataclass(frozen=True)
@@ -79,6 +83,17 @@ def request_filter(r: Request) -> Column:
     return keep
 
 
+def with_scope(chunks: DataFrame, r: Request, links: DataFrame | None = None) -> DataFrame:
+    """The chunks with a column in_request: whether the request may find them."""
+    keep = request_filter(r)
+    if r.scope == "linked" and r.project_key and links is not None:
+        keys = links.where(F.col("project_key") == r.project_key).select(F.col("linked_project_key").alias("project_key")).distinct()
+        return chunks.join(keys.withColumn("_linked", F.lit(True)), "project_key", "left").withColumn("in_request", keep & (F.coalesce("_linked", F.lit(False)) | F.coalesce(F.col("project_key") == r.project_key, F.lit(False)))).drop("_linked")
+    if r.scope != "global" and r.project_key:
+        keep = keep & F.coalesce(F.col("project_key") == r.project_key, F.lit(False))
+    return chunks.withColumn("in_request", keep)
+
+
 def in_scope(chunks: DataFrame, r: Request, links: DataFrame | None = None) -> DataFrame:
     """The chunks of the projects a request may read."""
     if r.scope == "global" or not r.project_key:
@@ -153,6 +168,80 @@ def scored(hits: DataFrame, wanted: DataFrame, corpus: DataFrame, few: bool) ->
     return hits.join(F.broadcast(per) if few else per, "phrase").groupBy("query_id", "chunk_id").agg((F.round(-F.sum(one), 9) + F.lit(0.0)).alias("bm25"))
 
 
+def best_bm25(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query_id, chunk_id, k_rank (from 0): of each query the n best chunks that have in_request, by bm25 and then chunk_id.
+
+    Counts are taken over all chunks. A batch of up to FEW_QUERIES queries with up to FEW_PHRASES phrases is sent to all
+    tasks: the chunks are tokenized once, what they have of the phrases goes to the checkpoint folder, from where counts
+    and scores come, and a task hands on only its own n best of each query. Larger batches are joined by shuffle.
+    """
+    rows = phrases(queries).limit(FEW_QUERIES * T.MAX_TERMS + 1).collect()  # bounded by the queries a task may hold
+    ids, names = {r.query_id for r in rows}, {(r.phrase, r.n) for r in rows}
+    if len(rows) > FEW_QUERIES * T.MAX_TERMS or len(ids) > FEW_QUERIES or len(names) > FEW_PHRASES:
+        scores = bm25(chunks, queries).join(chunks.where("in_request").select("chunk_id"), "chunk_id", "left_semi")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("bm25", "chunk_id"))
+        return scores.withColumn("place", place).where(F.col("place") <= n).select("query_id", "chunk_id", (F.col("place") - 1).alias("k_rank"))
+    kind = dict(queries.dtypes)["query_id"]
+    spark = chunks.sparkSession
+    if not rows:
+        return spark.createDataFrame([], f"query_id {kind}, chunk_id string, k_rank int")
+    sizes = sorted({m for _, m in names})
+    known = {m: sorted(p for p, k in names if k == m) for m in sizes}
+    ensure_checkpoint_dir(spark)
+    tokens = chunks.select("chunk_id", "in_request", *(T.index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
+    length = sum((F.size(c) for c in WEIGHTS), F.lit(0))
+    held = tokens.select("chunk_id", "in_request", length.alias("d"), *(_grams(F.col(c), known, sizes).alias(c) for c in WEIGHTS)).checkpoint()
+    docs, avg_d = held.agg(F.count("*"), F.avg("d")).first()
+    n_docs = {r[0]: r[1] for r in held.select(F.explode(F.array_distinct(F.concat(*WEIGHTS))).alias("phrase")).groupBy("phrase").count().collect()}  # as many rows as phrases
+    column = {p: i for i, p in enumerate(sorted(n_docs))}
+    by_query: dict = {}
+    for r in rows:
+        if r.phrase in column:
+            idf = math.log((docs - n_docs[r.phrase] + 0.5) / (n_docs[r.phrase] + 0.5))
+            by_query.setdefault(r.query_id, []).append((column[r.phrase], r.times * (idf if idf > 0 else 1e-6)))
+    shipped = spark.sparkContext.broadcast((column, list(WEIGHTS.values()), float(avg_d or 1.0), {q: tuple(zip(*v)) for q, v in by_query.items()}))
+
+    def run(batches):
+        import numpy as np
+
+        column, weights, avg, by_query = shipped.value
+        wanted = [(q, np.array(c), np.array(w)[:, None]) for q, (c, w) in by_query.items()]
+        best: dict = {q: (np.empty(0), np.empty(0, object)) for q in by_query}
+        step = max(64, 4_000_000 // max(1, len(column)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                f = np.zeros((len(column), part.num_rows))
+                for field, weight in zip(part.columns[2:], weights):
+                    offsets, found = field.offsets.to_numpy(), field.flatten().to_pylist()
+                    of = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                    np.add.at(f, (np.fromiter((column[p] for p in found), np.int64, len(found)), of), weight)
+                d = part.column(1).to_numpy(zero_copy_only=False).astype(float)
+                keys = np.array(part.column(0).to_pylist(), object)
+                tf = f * (K1 + 1) / (f + K1 * (1 - B + B * d / avg))
+                for q, columns, weight in wanted:
+                    score = np.round((tf[columns] * weight).sum(0), 9)
+                    scores, names = best[q]
+                    take = np.flatnonzero((score >= (scores[-1] if len(scores) == n else 0.0)) & (score > 0))
+                    if len(take):
+                        scores, names = np.concatenate([scores, score[take]]), np.concatenate([names, keys[take]])
+                        order = np.lexsort((names.astype(str), -scores))[:n]
+                        best[q] = scores[order], names[order]
+        for q, (scores, names) in best.items():
+            if len(scores):
+                yield pa.RecordBatch.from_pydict({"query_id": [q] * len(scores), "chunk_id": names.tolist(), "bm25": (-scores).tolist()}, schema=arrow)
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"query_id {kind}, chunk_id string, bm25 double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    found = held.where("in_request").select(F.col("chunk_id").cast("string"), "d", *WEIGHTS).mapInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("bm25", "chunk_id"))
+    return found.withColumn("place", place).where(F.col("place") <= n).select("query_id", "chunk_id", (F.col("place") - 1).alias("k_rank"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -214,7 +303,7 @@ def knn(vectors: DataFrame, query_vectors: DataFrame, k: int, per_project: bool
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     found = vectors.select(F.col("chunk_id").cast("string"), "project_key", "embedding").mapInArrow(run, schema)
     by = Window.partitionBy("query_id", *(["project_key"] if per_project else [])).orderBy(F.desc("similarity"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def search(
@@ -229,10 +318,9 @@ def search(
     absolute relevance; of several chunks of a source the best stays, with how many others came before the last result.
     Queries without terms, empty tables and blank texts give no rows. Ties go to higher relevance, then lesser chunk_id.
     """
-    scoped = in_scope(chunks, request, links).where(request_filter(request))
-    scores = bm25(chunks, queries).join(scoped.select("chunk_id"), "chunk_id", "left_semi")
-    by_bm25 = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
-    keyword = scores.withColumn("k_rank", F.row_number().over(by_bm25) - 1).where(F.col("k_rank") < request.candidates).select("query_id", "chunk_id", "k_rank")
+    flagged = with_scope(chunks, request, links)
+    scoped = flagged.where("in_request")
+    keyword = best_bm25(flagged, queries, request.candidates)
     if vectors is not None and query_vectors is not None:
         pool = in_scope(vectors, request, links)
         near = knn(pool, query_vectors, request.candidates).join(scoped.select("chunk_id"), "chunk_id", "left_semi")
@@ -246,7 +334,10 @@ def search(
     term = lambda c: F.coalesce(1 / (F.lit(RRF_K + 1) + F.col(c)), F.lit(0.0))
     fused = fused.withColumn("rrf", (term("k_rank") + term("v_rank")) / best)
     # Late materialisation: only candidates are joined with their rows.
-    rows = fused.join(scoped.select("chunk_id", "source_type", "source_ref", "project_key", "title", "tags", "content", "ts"), "chunk_id").join(queries.select("query_id", T.query_terms(F.col("query")).alias("terms")), "query_id")
+    many = queries.limit(FEW_CANDIDATES + 1).count() * 2 * request.candidates > FEW_CANDIDATES
+    fused = fused.join(queries.select("query_id", T.query_terms(F.col("query")).alias("terms")), "query_id")
+    fused = fused if many else F.broadcast(fused)  # at most FEW_CANDIDATES rows
+    rows = fused.join(scoped.select("chunk_id", "source_type", "source_ref", "project_key", "title", "tags", "content", "ts"), "chunk_id")
     hay = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("tags", F.lit("")), F.coalesce("content", F.lit("")))
     rows = rows.withColumn("coverage", T.term_coverage(F.col("terms"), hay)).withColumn("recency", T.recency(F.col("ts"), as_of, half_life_days))
     rows = rows.withColumn("relevance", F.greatest("coverage", F.coalesce("similarity", F.lit(0.0)))).withColumn("score", F.col("rrf") * (0.4 + 0.6 * F.col("recency"))).where(F.col("relevance") >= request.floor)

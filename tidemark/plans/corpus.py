@@ -27,19 +27,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BATCH_SQL = "queries as (select doc_id as query_id, substr(text, 1, 120) as query from documents where doc_id % 100 = 0 and text is not null)"
+BATCH_SQL = "queries as (select doc_id as query_id, text as query from documents where doc_id % 100 = 0 and text is not null)"
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every hundredth document's beginning."""
-    return table(spark, sf_dir, "documents").where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("query"))
-
-
-WHOLE_BATCH_SQL = "queries as (select doc_id as query_id, text as query from documents where doc_id % 100 = 0 and text is not null)"
-
-
-def whole_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth document's whole text; only the limit on a query's terms bounds it."""
+    """The stated query set: every hundredth document's whole text; only the limit on a query's terms bounds it."""
     return table(spark, sf_dir, "documents").where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 

@@ -33,18 +33,12 @@ SEARCHES = {
     "search_phrase": ("vault_index off-by-one", S.Request(scope="global", limit=10), False),
     "search_batched": (None, S.Request(scope="global"), False),
     "hybrid_rrf": (None, S.Request(scope="global", limit=10), True),
-    "search_batched_whole": (None, S.Request(scope="global"), False),
-    "hybrid_rrf_whole": (None, S.Request(scope="global", limit=10), True),
 }
 
 
-def batch(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    return C.whole_batch(spark, sf_dir) if whole else C.batch(spark, sf_dir)
-
-
 def run_search(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     query, request, hybrid = SEARCHES[name]
-    queries = batch(spark, sf_dir, name.endswith("_whole")) if query is None else C.one(spark, query)
+    queries = C.batch(spark, sf_dir) if query is None else C.one(spark, query)
     more = {"vectors": C.vectors(spark, sf_dir), "query_vectors": C.query_vectors(spark, sf_dir)} if hybrid else {}
     found = S.search(C.chunks(spark, sf_dir), queries, request, as_of(), links=C.links(spark, sf_dir), **more)
     return found.select("query_id", "position", "chunk_id", "project_key", "score", "relevance", "coverage", "additional_chunks")
@@ -63,7 +57,7 @@ TERMS_SQL = f"""
                 select query_id, lower(t) from (select *, row_number() over (partition by query_id order by i) as r from raw where query_id not in (select query_id from terms)) where r <= 16)"""
 BM25_SQL = r"""
     wanted as (select query_id, array_to_string(p, ' ') as phrase, len(p) as n, count(*) as times
-               from (select distinct query_id, term, regexp_extract_all(lower(strip_accents(term)), '[\p{L}\p{N}]+')[1:8] as p from matched) where len(p) > 0 group by 1, 2, 3),
+               from (select distinct query_id, term, regexp_extract_all(lower(strip_accents(term)), '[\p{L}\p{N}]+') as p from matched) where len(p) > 0 group by 1, 2, 3),
     toks as (select chunk_id, w, regexp_extract_all(lower(strip_accents(x)), '[\p{L}\p{N}]+') as t from (
         select chunk_id, 3.0 as w, title as x from chunks union all select chunk_id, 2.0, tags from chunks union all select chunk_id, 1.0, content from chunks)),
     sizes as (select chunk_id, sum(len(t)) as d from toks group by 1),
@@ -76,13 +70,10 @@ BM25_SQL = r"""
                    * h.f * 2.2 / (h.f + 1.2 * (0.25 + 0.75 * s.d / avg_d))), 9) + 0.0 as bm25
                from wanted w join hits h using (phrase) join dfs using (phrase) join sizes s using (chunk_id), corpus group by 1, 2)"""
 
-WHOLE_BM25_SQL = BM25_SQL.replace("[1:8] as p", " as p")
-
 
 def search_sql(name: str) -> str:
     query, r, hybrid = SEARCHES[name]
-    whole = name.endswith("_whole")
-    queries = (C.WHOLE_BATCH_SQL if whole else C.BATCH_SQL) if query is None else f"queries as (select 0::bigint as query_id, {_quoted(query)} as query)"
+    queries = C.BATCH_SQL if query is None else f"queries as (select 0::bigint as query_id, {_quoted(query)} as query)"
     keep = ["visibility in ('shared', 'broadcast')" if r.requester is None else f"(visibility in ('shared', 'broadcast') or agent_id = {_quoted(r.requester)} or recipient_id = {_quoted(r.requester)})"]
     keep += [f"{c} = {_quoted(getattr(r, c))}" for c in ("namespace", "kind") if getattr(r, c)]
     if r.tag:
@@ -101,7 +92,7 @@ def search_sql(name: str) -> str:
     vec as (select query_id, chunk_id, row_number() over (partition by query_id order by r) - 1 as v_rank, least(1.0, greatest(0.0, sim)) as similarity from near where chunk_id in (select chunk_id from scoped) and query_id in (select query_id from queries)),"""
     else:
         vector = "vec as (select query_id, chunk_id, 0 as v_rank, 0.0 as similarity from keyword where false),"
-    return f"""with {queries}, {C.CHUNKS_SQL}, {C.LINKS_SQL}, {TERMS_SQL}, {WHOLE_BM25_SQL if whole else BM25_SQL},
+    return f"""with {queries}, {C.CHUNKS_SQL}, {C.LINKS_SQL}, {TERMS_SQL}, {BM25_SQL},
     scoped as (select * from chunks where {" and ".join(keep)}),
     keyword as (select query_id, chunk_id, row_number() over (partition by query_id order by bm25, chunk_id) - 1 as k_rank from scores where chunk_id in (select chunk_id from scoped) qualify k_rank < {r.candidates}),
     {vector}
@@ -119,13 +110,13 @@ def search_sql(name: str) -> str:
     select query_id, position::bigint as position, chunk_id, project_key, round(score, 6) as score, round(relevance, 4) as relevance, round(coverage, 4) as coverage, additional_chunks from counted where first"""
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return S.bm25(C.chunks(spark, sf_dir), batch(spark, sf_dir, whole)).select("query_id", "chunk_id", (F.round("bm25", 6) + F.lit(0.0)).alias("bm25"))
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.bm25(C.chunks(spark, sf_dir), C.batch(spark, sf_dir)).select("query_id", "chunk_id", (F.round("bm25", 6) + F.lit(0.0)).alias("bm25"))
 
 
-def bm25_indexed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bm25_scores by way of postings."""
-    return P.bm25(P.build(C.chunks(spark, sf_dir)), batch(spark, sf_dir, whole)).select("query_id", "chunk_id", (F.round("bm25", 6) + F.lit(0.0)).alias("bm25"))
+    return P.bm25(P.build(C.chunks(spark, sf_dir)), C.batch(spark, sf_dir)).select("query_id", "chunk_id", (F.round("bm25", 6) + F.lit(0.0)).alias("bm25"))
 
 
 def vector_knn(spark: SparkSession, sf_dir: str, per_project: bool = False) -> DataFrame:
@@ -143,9 +134,9 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(T.query_terms(F.col("text"))).alias("ord", "term"))
 
 
-def search_guidance(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def search_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch's queries that find nothing at a floor of one and an impossible filter."""
-    queries = batch(spark, sf_dir, whole)
+    queries = C.batch(spark, sf_dir)
     found = S.search(C.chunks(spark, sf_dir), queries, S.Request(scope="global", min_score=1.0, kind="decision", limit=3), as_of())
     return S.guidance(found, queries).select("query_id", "message")
 
@@ -168,14 +159,11 @@ def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n: partial(run_search, name=n) for n in SEARCHES} | {
     "bm25_scores": bm25_scores, "bm25_indexed": bm25_indexed, "vector_knn": vector_knn, "vector_knn_per_project": partial(vector_knn, per_project=True), "query_terms": query_terms, "search_guidance": search_guidance,
-    "bm25_scores_whole": partial(bm25_scores, whole=True), "bm25_indexed_whole": partial(bm25_indexed, whole=True), "search_guidance_whole": partial(search_guidance, whole=True),
     "term_coverage": term_coverage, "recency_decay": recency_decay, "index_vocabulary": index_vocabulary,
 }
 ORACLES = {n: search_sql(n) for n in SEARCHES} | {
     "bm25_scores": f"with {C.BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
     "bm25_indexed": f"with {C.BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
-    "bm25_scores_whole": f"with {C.WHOLE_BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {WHOLE_BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
-    "bm25_indexed_whole": f"with {C.WHOLE_BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {WHOLE_BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
     "vector_knn": _knn_sql(10, ""),
     "vector_knn_per_project": _knn_sql(3, ", project_key"),
     "query_terms": f"""with queries as (select doc_id as query_id, text as query from documents where text is not null), {TERMS_SQL}

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import indexing as I
 from tidemark.operators import model as M
 from tidemark.plans import stored as D
-from tidemark.session import table
+from tidemark.session import scratch_dir, table
 from tidemark.sources import store
 from tidemark.streaming import ingest as G
 
@@ -41,8 +38,7 @@ def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per session after the whole table came through the stream in small batches, replays and all."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = scratch_dir(spark, "stream")
     path = f"{sf_dir.rstrip('/')}/session_event[s].parquet"  # a pattern, as a stream takes no single file
     schema = table(spark, sf_dir, "session_events").schema
     G.ingest(G.event_stream(spark, path, schema, 4), f"{run}/events", f"{run}/state").awaitTermination()
