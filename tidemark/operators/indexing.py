@@ -37,6 +37,11 @@ def paragraph_chunks(text: Column, size: Column | int = 900, overlap: Column | i
     return F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("open")), step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
+def reindex(index: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The index after sources were indexed anew: whatever it had of a (source_type, source_ref) that fresh has is gone."""
+    return index.join(fresh.select("source_type", "source_ref").distinct(), ["source_type", "source_ref"], "left_anti").select(*index.columns).unionByName(fresh.select(*index.columns))
+
+
 def chunk_entries(entries: DataFrame) -> DataFrame:
     """memory_chunks rows of entries: one for each chunk that is not blank; repeated rows give repeated chunks."""
     size, overlap = F.coalesce("chunk_size", F.lit(900)).cast("int"), F.coalesce("overlap", F.lit(120)).cast("int")

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import redaction as R
 from tidemark.functions import text as T
 
+PROMPT_CHARS = 4_000
+
 SESSION_FILLED = ("agent_id", "device_name", "cwd", "git_branch", "ai_title", "last_prompt")  # the last that is not null
 PLAIN_TS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|\+00:00)$"
 
@@ -25,6 +28,15 @@ def latest(column: Column, order: Column) -> Column:
     return F.max_by(column, F.when(column.isNotNull(), order))
 
 
+def latest_row(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key the row that came last, whole, nulls of it too; among equals the greatest row. Rows whose key has a null
+    are kept apart by the other parts of it."""
+    others = [c for c in rows.columns if c not in keys]
+    at = F.struct(order, F.xxhash64(*others))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), at).alias("_e"))
+    return last.select(*keys, *(F.col(f"_e.{c}").alias(c) for c in others)).select(*rows.columns)
+
+
 def first_arrivals(events: DataFrame) -> DataFrame:
     """One row for each (session_id, seq), the one that arrived first; later ones are ignored.
 
@@ -114,6 +126,56 @@ def scope_keys(key: str | None, scope: str, links: DataFrame) -> DataFrame | Non
     return own if scope == "project" else own.union(links.where(F.col("project_key") == key).select("linked_project_key")).distinct()
 
 
+def merge_agents(registrations: DataFrame) -> DataFrame:
+    """Agents as their last registration leaves them, whole: what it does not name is gone. Registrations without agent_id
+    drop out."""
+    return latest_row(registrations.where("agent_id is not null"), ["agent_id"], "last_seen_at")
+
+
+def session_payload(sessions: DataFrame, most: int = PROMPT_CHARS) -> DataFrame:
+    """What a device sends of a session: its project by remote, root or directory, its last prompt redacted and then cut to
+    `most` characters (blank ones are null), so that one long message cannot hold up the rest."""
+    prompt = F.when(F.coalesce("last_prompt", F.lit("")) != "", F.substring(R.redact(F.col("last_prompt")), 1, most))
+    return sessions.withColumns({"project_key": T.derive_project(F.col("cwd"), F.col("repo_root"), F.col("git_remote")), "last_prompt": prompt})
+
+
+def with_cwd(metadata: Column, cwd: Column) -> Column:
+    """Metadata (a map, null counts as empty) that names the directory unless it does already, or none is known."""
+    own = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    known = F.coalesce(F.map_contains_key(own, F.lit("cwd")), F.lit(False)) | F.coalesce(cwd == "", F.lit(True))
+    return F.when(known, own).otherwise(F.map_concat(own, F.create_map(F.lit("cwd"), F.coalesce(cwd, F.lit("")))))
+
+
+def read_entries(entries: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """entry_id, requester, status, chunks: what each request (entry_id, requester) gets: 200 with the entry's chunks in
+    order, 403 where it may not read it, 404 where there is none. Shared and broadcast entries are for all, others for
+    their author and recipient."""
+    parts = chunks.groupBy(F.col("source_ref").alias("entry_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "content"))), lambda c: c["content"]).alias("parts"))  # of one entry
+    known = entries.select("entry_id", "agent_id", "recipient_id", "visibility", F.lit(True).alias("_known")).join(parts, "entry_id", "left")
+    open_ = F.col("visibility").isin("shared", "broadcast") | (F.col("requester") == F.col("agent_id")) | (F.col("requester") == F.col("recipient_id"))
+    status = F.when(F.col("_known").isNull(), 404).when(F.coalesce(open_, F.lit(False)), 200).otherwise(403)
+    none = F.array().cast("array<string>")
+    return asked.join(known, "entry_id", "left").withColumn("status", status).select("entry_id", "requester", "status", F.when(F.col("status") == 200, F.coalesce("parts", none)).otherwise(none).alias("chunks"))
+
+
+def sync(source: DataFrame, target: DataFrame, since: Column | None = None, project_key: str | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, statistics) of sending a hub's events to another: statistics are sessions, events_sent, inserted and
+    skipped in one row. Only sessions with an event since then, of one project, if so asked; a dry run appends nothing.
+
+    source: session_id, seq, project_key, at and whatever else target has. A second run finds everything known.
+    """
+    if project_key is not None:
+        source = source.where(F.col("project_key") == project_key)
+    if since is not None:
+        source = source.join(source.where(F.col("at") >= since).select("session_id").distinct(), "session_id", "left_semi")
+    have = target.select("session_id", "seq").distinct().withColumn("_have", F.lit(True))
+    met = source.join(have, ["session_id", "seq"], "left").withColumn("_new", F.col("_have").isNull() & F.lit(not dry_run))
+    stats = met.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("events_sent"), F.count_if("_new").alias("inserted"), F.count_if(F.col("_have")).alias("skipped"))
+    if dry_run:
+        stats = stats.withColumn("skipped", F.lit(0).cast("bigint"))
+    return met.where("_new").select(*target.columns), stats
+
+
 def sweep(events: DataFrame, cutoff: Column) -> DataFrame:
     """Events from the cutoff on; summaries and chunks are not touched."""
     return events.where(event_time(F.col("ts"), F.col("received_at")) >= cutoff)

@@ -306,6 +306,23 @@ def knn(vectors: DataFrame, query_vectors: DataFrame, k: int, per_project: bool
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
+def candidates(chunks: DataFrame, queries: DataFrame, request: Request, *, links: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, k_rank, v_rank, similarity: the chunks either way brings for each query, with their ranks."""
+    flagged = with_scope(chunks, request, links)
+    keyword = best_bm25(flagged, queries, request.candidates)
+    if vectors is None or query_vectors is None:
+        return keyword.withColumns({"v_rank": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double")})
+    near = knn(in_scope(vectors, request, links), query_vectors, request.candidates).join(flagged.where("in_request").select("chunk_id"), "chunk_id", "left_semi")
+    near = near.withColumn("v_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+    near = near.select("query_id", "chunk_id", "v_rank", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity"))).alias("similarity"))
+    return keyword.join(near, ["query_id", "chunk_id"], "full_outer")
+
+
+def diagnostics(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, keyword_candidates, vector_candidates, vector_used, fused_candidates of the candidates of queries."""
+    return found.join(queries.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.count("k_rank").alias("keyword_candidates"), F.count("v_rank").alias("vector_candidates"), (F.count("v_rank") > 0).alias("vector_used"), F.count("*").alias("fused_candidates"))
+
+
 def search(
     chunks: DataFrame, queries: DataFrame, request: Request, as_of: Column, *, links: DataFrame | None = None,
     vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, half_life_days: float = HALF_LIFE_DAYS,
@@ -318,19 +335,9 @@ def search(
     absolute relevance; of several chunks of a source the best stays, with how many others came before the last result.
     Queries without terms, empty tables and blank texts give no rows. Ties go to higher relevance, then lesser chunk_id.
     """
-    flagged = with_scope(chunks, request, links)
-    scoped = flagged.where("in_request")
-    keyword = best_bm25(flagged, queries, request.candidates)
-    if vectors is not None and query_vectors is not None:
-        pool = in_scope(vectors, request, links)
-        near = knn(pool, query_vectors, request.candidates).join(scoped.select("chunk_id"), "chunk_id", "left_semi")
-        near = near.withColumn("v_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
-        near = near.select("query_id", "chunk_id", "v_rank", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity"))).alias("similarity"))
-        fused = keyword.join(near, ["query_id", "chunk_id"], "full_outer")
-        best = F.when(F.max(F.col("v_rank").isNotNull()).over(Window.partitionBy("query_id")), F.lit(2.0)).otherwise(F.lit(1.0)) / (RRF_K + 1)
-    else:
-        fused = keyword.withColumns({"v_rank": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double")})
-        best = F.lit(1.0 / (RRF_K + 1))
+    scoped = with_scope(chunks, request, links).where("in_request")
+    fused = candidates(chunks, queries, request, links=links, vectors=vectors, query_vectors=query_vectors)
+    best = F.when(F.max(F.col("v_rank").isNotNull()).over(Window.partitionBy("query_id")), F.lit(2.0)).otherwise(F.lit(1.0)) / (RRF_K + 1)
     term = lambda c: F.coalesce(1 / (F.lit(RRF_K + 1) + F.col(c)), F.lit(0.0))
     fused = fused.withColumn("rrf", (term("k_rank") + term("v_rank")) / best)
     # Late materialisation: only candidates are joined with their rows.

@@ -98,14 +98,17 @@ def best_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("session_id").agg(F.min_by(F.struct(*[c for c in summaries.columns if c != "session_id"]), F.when(F.col("tier") == "final", 0).otherwise(1)).alias("s")).select("session_id", "s.*")
 
 
-def brief_sessions(sessions: DataFrame, summaries: DataFrame, budget: int = BRIEF_TOKENS, most: int = BRIEF_SESSIONS) -> DataFrame:
+def brief_sessions(sessions: DataFrame, summaries: DataFrame, budget: int = BRIEF_TOKENS, most: int = BRIEF_SESSIONS, branch: str | None = None) -> DataFrame:
     """project_key, place, session_id, summary, decisions, open_threads, used: the sessions of every project's brief.
 
-    The newest `most` main-line sessions of a project with anything to tell, as far as the budget goes, the first always.
+    The newest `most` main-line sessions of a project with anything to tell, as far as the budget goes, the first always;
+    with a branch only those on it or on none that is known.
     sessions: session_id, project_key, ai_title, is_sidechain, last_event_at.
     """
     if not 100 <= budget <= 4000 or not 1 <= most <= 20:
         raise ValueError("a brief has 100 to 4000 tokens and 1 to 20 sessions")
+    if branch is not None:
+        sessions = sessions.where((F.col("git_branch") == branch) | F.col("git_branch").isNull())
     newest = Window.partitionBy("project_key").orderBy(F.desc_nulls_last("last_event_at"), "session_id")
     top = sessions.where(~F.coalesce("is_sidechain", F.lit(False))).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
     told = top.join(best_summaries(summaries), "session_id", "left").withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), T.strip("ai_title"))).where("coalesce(summary, '') <> ''")
@@ -120,19 +123,29 @@ def first_distinct(rows: DataFrame, key: str, value: str, order: list[str], most
     return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("place") <= most).select(key, "place", value)
 
 
-def related_by_name(projects: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+MAX_REQUESTS = 10_000  # project keys asked for at once
+
+
+def related_by_name(projects: DataFrame, counts: DataFrame, requests: DataFrame, roots: bool = False) -> DataFrame:
     """query_key, project_key, session_count: projects whose path is above or below a key's, or whose path has its last
-    part. keys are a request's few; projects without sessions do not count."""
-    raw = lambda c: F.lower(T.bare_key(c))
-    known = projects.select("project_key").distinct().join(counts.where("session_count > 0"), "project_key").withColumn("n", raw(F.col("project_key")))
-    out = None
-    for key in keys:
-        k = raw(F.lit(key))
+    part; with roots also by the directories they are kept in. Projects without sessions do not count.
+
+    requests: query_key (with roots also path, the directory one works in), at most MAX_REQUESTS: a stated set that every
+    task holds, against all projects.
+    """
+    if requests.limit(MAX_REQUESTS + 1).count() > MAX_REQUESTS:
+        raise ValueError("more project keys than one request holds; ask in several")
+    raw = lambda c: F.lower(T.bare_key(F.col(c)))
+    known = projects.groupBy("project_key").agg(*([F.max("repo_root").alias("repo_root")] if roots else [])) if roots else projects.select("project_key").distinct()
+    known = known.join(counts.where("session_count > 0"), "project_key")
+    if roots:
+        root, at, base = F.lower(F.coalesce("repo_root", F.lit(""))), F.lower("path"), F.lower(F.substring_index("path", "/", -1))
+        near = (base != "") & (F.contains(F.lower("project_key"), base) | F.contains(root, base)) | (root != "") & (F.startswith(root, at) | F.startswith(at, root))
+    else:
+        n, k = raw("project_key"), raw("query_key")
         base = F.substring_index(k, "/", -1)
-        near = F.startswith("n", F.concat(k, F.lit("/"))) | F.startswith(k, F.concat("n", F.lit("/"))) | ((base != "") & F.contains("n", base))
-        hit = known.where((F.col("project_key") != key) & near).select(F.lit(key).alias("query_key"), "project_key", "session_count")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+        near = F.startswith(n, F.concat(k, F.lit("/"))) | F.startswith(k, F.concat(n, F.lit("/"))) | ((base != "") & F.contains(n, base))
+    return known.join(F.broadcast(requests), (F.col("project_key") != F.col("query_key")) & near).select("query_key", "project_key", "session_count")
 
 
 def merge_related(by_name: DataFrame, by_meaning: DataFrame, counts: DataFrame) -> DataFrame:
@@ -149,6 +162,45 @@ def merge_related(by_name: DataFrame, by_meaning: DataFrame, counts: DataFrame)
     return top.select("query_key", "place", "project_key", "session_count", why.alias("why"))
 
 
+RELATED_BELOW = 3  # sessions in a brief below which related projects are named
+
+
+def compose_brief(projects: DataFrame, blocks: DataFrame, recorded: DataFrame, related: DataFrame) -> DataFrame:
+    """The brief of each project: project_key, session_count, estimated_tokens, sessions, decisions, open_threads, related,
+    message.
+
+    blocks: see brief_sessions. recorded: project_key, place, decision, newest first. related: query_key, place,
+    project_key, session_count, why; named only while there are fewer than RELATED_BELOW sessions. The lists are short:
+    20 sessions, 10 decisions, 10 threads and RELATED_MOST projects at most.
+    """
+    text = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("place", name))), lambda x: x[name])
+    base = blocks.groupBy("project_key").agg(F.count("*").alias("session_count"), F.max("used").alias("estimated_tokens"), text("session_id").alias("sessions"))
+    told = blocks.select("project_key", F.lit(1).alias("way"), "place", F.posexplode("decisions").alias("i", "decision"))
+    all_ = recorded.select("project_key", F.lit(0).alias("way"), "place", F.lit(0).alias("i"), "decision").unionByName(told)
+    decisions = first_distinct(all_, "project_key", "decision", ["way", "place", "i"], 10).groupBy("project_key").agg(text("decision").alias("decisions"))
+    threads = first_distinct(blocks.select("project_key", "place", F.posexplode("open_threads").alias("i", "thread")), "project_key", "thread", ["place", "i"], 10).groupBy("project_key").agg(text("thread").alias("open_threads"))
+    line = F.format_string("%s (%d sessions, %s)", "project_key", "session_count", "why")
+    others = related.withColumn("line", line).groupBy(F.col("query_key").alias("project_key")).agg(text("line").alias("related"))
+    none = F.array().cast("array<string>")
+    full = projects.select("project_key").distinct().join(base, "project_key", "left").join(decisions, "project_key", "left").join(threads, "project_key", "left").join(others, "project_key", "left")
+    n = F.coalesce("session_count", F.lit(0)).cast("bigint")
+    few = F.when(n < RELATED_BELOW, F.coalesce("related", none)).otherwise(none)
+    message = F.when((n == 0) & (F.size("related") == 0), "Nothing is recorded for this project; start without assuming any history.").when(n == 0, "Nothing is recorded under this key; the same work may be under another one listed here.").when(F.size("related") > 0, "Little is recorded under this key; more may be under another one listed here.")
+    return full.select("project_key", n.alias("session_count"), F.coalesce("estimated_tokens", F.lit(0)).cast("bigint").alias("estimated_tokens"), *(F.coalesce(c, none).alias(c) for c in ("sessions", "decisions", "open_threads")), few.alias("related")).withColumn("message", message)
+
+
+def visible(projects: DataFrame, muted: list[str], solo: str | None = None) -> DataFrame:
+    """Projects with a column visible: the one shown alone if there is one, muted or not; else those that are not muted."""
+    key = F.col("project_key")
+    return projects.withColumn("visible", key == solo if solo is not None else ~key.isin(muted) if muted else F.lit(True))
+
+
+def by_activity(projects: DataFrame, last_active: Column, most: int) -> DataFrame:
+    """project_key, place: the most recently active projects first; what is no timestamp comes last, and ties go by key."""
+    top = projects.select("project_key", T.parse_ts(last_active).alias("at")).orderBy(F.desc_nulls_last("at"), "project_key").limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("at"), "project_key"))).select("project_key", "place")  # of `most` rows
+
+
 # ---- graph ----------------------------------------------------------------------------------------------------------
 GRAPH_NODES, ROOT_PULL = 400, 0.72
 

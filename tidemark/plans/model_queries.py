@@ -48,7 +48,8 @@ def entry_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.refused_entries(table(spark, sf_dir, "entries"), table(spark, sf_dir, "agents")).select("entry_id", "agent_id")
+    """Entries of agents that are not registered: as if those without a device were not."""
+    return M.refused_entries(table(spark, sf_dir, "entries"), table(spark, sf_dir, "agents").where("device_name is not null")).select("entry_id", "agent_id")
 
 
 def entry_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ ORACLES = {
     "project_upsert": """with u as (select *, row_number() over (partition by project_key order by received_at, upsert_id) as o from session_upserts where project_key is not null)
         select project_key, arg_max(coalesce(nullif(display_name, ''), split_part(project_key, '/', -1)), o) as display_name, arg_max(repo_root, o) as repo_root, arg_max(git_remote, o) as git_remote, epoch_us(min(received_at)) as created_at_us, epoch_us(max(received_at)) as updated_at_us from u group by 1""",
     "entry_upsert_latest": f"with {D.ENTRIES_SQL} select entry_id, agent_id, namespace, source_id, kind, title, length(content)::int as chars, epoch_us(created_at) as created_at_us, epoch_us(updated_at) as updated_at_us, published from ent",
-    "entries_refused": "select entry_id, agent_id from entries where agent_id not in (select agent_id from agents)",
+    "entries_refused": "select entry_id, agent_id from entries where agent_id not in (select agent_id from agents where device_name is not null)",
     "link_bidirectional": f"""with {C.LINKS_SQL}, b as (select *, 'note ' || linked_project_key as note, length(project_key) % 3 > 0 as both_ways from links)
         select project_key, linked_project_key, max(note) as note from (select project_key, linked_project_key, note from b union all select linked_project_key, project_key, note from b where both_ways) group by 1, 2""",
     "retention_sweep": f"with {D.EV_SQL}, {D.SESS_SQL} select session_id, count(*) filter (happened >= {D.AS_OF_SQL}) as event_count, any_value(token_estimate) as token_estimate from ev join roll using (session_id) group by 1",

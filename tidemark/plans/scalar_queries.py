@@ -137,9 +137,12 @@ def _count_sql(expr: str) -> str:
 
 _WS = "' \t\n\r\x0b\x0c'"
 _GENERIC = ", ".join(_q(w) for w in T.GENERIC_NAME_PARTS)
-_URL, _SCP = _q(T._URL), _q(T._SCP)
-_REMOTE = f"""case when regexp_matches(r, {_URL}) then lower(regexp_extract(r, {_URL}, 1) || '/' || trim(regexp_extract(r, {_URL}, 2), '/'))
-    when regexp_matches(r, {_SCP}) then lower(regexp_extract(r, {_SCP}, 1) || '/' || trim(regexp_extract(r, {_SCP}, 2), '/')) end"""
+_SCHEME = "regexp_matches(r, '^[A-Za-z][\\w+.-]*://.')"
+_REST = f"regexp_replace(case when {_SCHEME} then regexp_replace(r, '^[^:]*://', '') else r end, '^[^@/]*[^@/]@', '')"
+_MARK = f"case when {_SCHEME} then instr({_REST}, '/') else length(regexp_extract({_REST}, '^[^:/]*[:/]')) end"
+_HOST = f"regexp_replace(substr({_REST}, 1, {_MARK} - 1), ':\\d*$', '')"
+_PATH = f"trim(regexp_replace(rtrim(substr({_REST}, {_MARK} + 1), '/'), '\\.git$', ''), '/')"
+_REMOTE = f"case when {_MARK} > 1 and {_HOST} <> '' and {_PATH} <> '' and not contains({_HOST}, ':') then lower({_HOST} || '/' || {_PATH}) end"
 _SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'device')"
 ORACLES = {
     "token_estimate": "select event_id, (case when content is null or content = '' then 0 else greatest(1, length(content) // 4) end)::int as tokens from session_events",

@@ -30,8 +30,8 @@ def store_newest_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of the store that have no record among the sessions: none should be lost."""
-    known = table(spark, sf_dir, "session_upserts").select("session_id").distinct()
+    """Sessions of the store that had no record among the sessions yet at the cutoff."""
+    known = table(spark, sf_dir, "session_upserts").where(F.col("received_at") < D.as_of()).select("session_id").distinct()
     mine = table(spark, sf_dir, "messages").select(F.concat(F.lit(store.PREFIX), "session_id").alias("session_id")).distinct()
     return mine.join(known, "session_id", "left_anti")
 
@@ -77,7 +77,7 @@ ORACLES = {
             when name = 'delegate_task' then 'Delegated to sub-agent' || case when goal <> '' then ': ' || goal[1:200] else '' end when name <> '' then name || ' called' end as content from f)
         select 'hermes-' || session_id as session_id, id * 10 + k as seq, content, case when name in ('read_file', 'write_file', 'patch') then path else '' end as files, case when name = 'terminal' then command else '' end as commands from e where content is not null""",
     "store_newest_message": "select session_id, coalesce(max(id), 0) as last_id from messages group by 1",
-    "store_history": "select distinct 'hermes-' || session_id as session_id from messages where 'hermes-' || session_id not in (select session_id from session_upserts)",
+    "store_history": f"select distinct 'hermes-' || session_id as session_id from messages where 'hermes-' || session_id not in (select session_id from session_upserts where received_at < {D.AS_OF_SQL})",
     "embedding_round": f"""with {D.ENTRIES_SQL}, q as (select entry_id, coalesce(project_key, '__global__') as project_key, (length(entry_id) + length(coalesce(title, ''))) % 8 as attempts, created_at from ent)
         select entry_id as chunk_id, project_key, 64 as width from q where created_at <= {D.AS_OF_SQL} and attempts < 6 order by created_at, entry_id limit 1000""",
     "stream_ingest": f"with {D.EV_SQL}, {D.SESS_SQL} select session_id, event_count, epoch_us(last_event_at) as last_event_at_us from roll",

@@ -12,8 +12,8 @@ from tidemark.session import table
 AS_OF = "2026-06-01 00:00:00"
 AS_OF_SQL = f"timestamptz '{AS_OF}+00'"
 PLAIN_SQL = r"'\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|\+00:00)'"
-THREAD = r"There is one open question about [^:.]*: [^.]*\."
-DECISION = r"I would rather not [^.]*\."
+THREAD = r"[^\s.?!:][^.?!:\n]*\?"  # a question
+DECISION = r"(?i)\b(?:decided|agreed|decision)\b[^.?!\n]*\."
 LISTED = 12
 
 

@@ -18,7 +18,6 @@ from tidemark.plans import stored as D
 from tidemark.session import table
 
 us = lambda c: F.unix_micros(c).alias(f"{c}_us")
-RELATED_KEYS = ("git.example.net/ops/bundle-tracer-0", "git.example.net/web/anchor-ledger-2", "path:/home/dev/mirror/mirror-4", "path:/home/dev/export")
 INBOX_AGENT = "agent-anchor-28"
 BIGGEST = "hermes-gateway-main"
 DAYS = 30
@@ -172,13 +171,17 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_sessions(table(spark, sf_dir, "session_upserts")).groupBy("project_key").agg(F.count("*").alias("session_count"))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "projects").select(F.col("project_key").alias("query_key")).where("query_key is not null").distinct()
+
+
 def related_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.related_by_name(table(spark, sf_dir, "projects"), _counts(spark, sf_dir), list(RELATED_KEYS))
+    return V.related_by_name(table(spark, sf_dir, "projects"), _counts(spark, sf_dir), _requests(spark, sf_dir))
 
 
 def related_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related projects by name and by a search for what each key is called."""
-    seeds = spark.createDataFrame([(k,) for k in RELATED_KEYS], "query_id string").withColumn("query", T.search_seed(F.col("query_id")))
+    seeds = _requests(spark, sf_dir).select(F.col("query_key").alias("query_id"), T.search_seed(F.col("query_key")).alias("query"))
     found = S.search(C.chunks(spark, sf_dir), seeds, S.Request(scope="global", limit=20, min_score=V.RELATED_FLOOR), Q.as_of())
     meaning = found.select(F.col("query_id").alias("query_key"), "project_key", F.col("relevance").alias("score"))
     return V.merge_related(related_lexical(spark, sf_dir), meaning, _counts(spark, sf_dir))
@@ -242,7 +245,7 @@ _BRIEF = """top as (select * from sess where not is_sidechain qualify row_number
     costs as (select *, sum(greatest(1, length(summary) // 4) + 20) over (partition by project_key order by place) as used, row_number() over (partition by project_key order by place) as r from told where coalesce(summary, '') <> '')"""
 _BARE = "lower(rtrim(replace(regexp_replace({0}, '^path:', ''), '\\', '/'), '/'))"
 _RELATED = f"""counts as (select project_key, count(*) as session_count from merged group by 1),
-    lexical as (select k.query_key, c.project_key, c.session_count from (values {", ".join(f"({Q._quoted(k)})" for k in RELATED_KEYS)}) k(query_key) join counts c on c.project_key in (select project_key from projects) and c.project_key <> k.query_key
+    lexical as (select k.query_key, c.project_key, c.session_count from (select distinct project_key as query_key from projects where project_key is not null) k join counts c on c.project_key in (select project_key from projects) and c.project_key <> k.query_key
         and (starts_with({_BARE.format('c.project_key')}, {_BARE.format('k.query_key')} || '/') or starts_with({_BARE.format('k.query_key')}, {_BARE.format('c.project_key')} || '/')
              or contains({_BARE.format('c.project_key')}, split_part({_BARE.format('k.query_key')}, '/', -1))))"""
 _SPHERE = """select *, case when n > 1 then 1 - i / (n - 1)::double * 2 else 0.0 end as y0, pi() * (3 - sqrt(5)) * i as theta from ({0})"""
@@ -252,7 +255,7 @@ _PLACED = _SCALED.format(_XYZ.format(_SPHERE.format("""select s.*, p.display_nam
         from (select * from sess where not is_sidechain order by last_event_at desc nulls last, session_id limit 400) s left join projects p using (project_key)""")), "100.0")
 ORACLES = {
     "list_sessions": f"""{_SUMS}, s as (select * from sess where not is_sidechain and status <> 'closed' order by last_event_at desc nulls last, session_id limit 50)
-        select session_id, project_key, status, tool, coalesce(nullif(ai_title, ''), 'Session ' || session_id[1:8]) as title, event_count, epoch_us(last_event_at) as last_event_at_us, tier, summary from s left join best using (session_id)""",
+        select session_id, project_key, status, tool, coalesce(nullif(ai_title, ''), session_id[1:8]) as title, event_count, epoch_us(last_event_at) as last_event_at_us, tier, summary from s left join best using (session_id)""",
     "list_projects_nulls_last": f"""{_BASE}, a as (select project_key, count(*) as session_count, max(last_event_at) as last_active from sess group by 1)
         select project_key, display_name, coalesce(session_count, 0) as session_count, coalesce(epoch_us(last_active), -1) as last_active_us from projects left join a using (project_key) order by last_active desc nulls last, project_key limit 40""",
     "status_counts": f"""{_BASE}, {D.ENTRIES_SQL} select 'agents' as name, count(*) as rows from agents union all select 'entries', count(*) from ent union all select 'projects', count(*) from projects union all select 'sessions', count(*) from merged

@@ -118,6 +118,12 @@ def hash_embedding(text: Column, width: int = 64) -> Column:
     return T.bind(counts, lambda c: T.bind(norm(c), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))))
 
 
+def enqueue(queue: DataFrame, chunks: DataFrame, at: Column) -> DataFrame:
+    """The queue with chunks (chunk_id) put in anew: one that waits already starts again, without failed attempts."""
+    fresh = chunks.select("chunk_id").distinct().select("chunk_id", at.alias("enqueued_at"), F.lit(0).alias("attempts"), at.alias("next_attempt_at"))
+    return queue.join(fresh.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "enqueued_at", "attempts", "next_attempt_at").unionByName(fresh)
+
+
 def due(queue: DataFrame, as_of: Column, batch: int | None = EMBED_BATCH) -> DataFrame:
     """The next chunks to embed, first come first served; None: all that are due."""
     ready = queue.where((F.col("next_attempt_at") <= as_of) & (F.col("attempts") < EMBED_ATTEMPTS))
