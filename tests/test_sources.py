@@ -4,7 +4,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import store, transcripts
+from tidemark.sources import store, tail, transcripts
+from tidemark.streaming import ingest
 
 
 def write(path, records):
@@ -62,7 +63,13 @@ def test_subagents_fold_into_their_session(spark, tmp_path):
         write(tmp_path / "p" / "parent" / "subagents" / f"{n}.jsonl", [{"type": "user", "sessionId": n, "message": {"content": n}}, {"type": "assistant", "message": {"content": "ok"}}])
     _, events = transcripts.session_transcripts(transcripts.read_lines(spark, str(tmp_path)))
     got = rows(transcripts.fold_subagents(events))
-    assert [(r["session_id"], r["seq"], r["content"], r["is_sidechain"]) for r in got] == [("parent", 1000000, "agent-a", True), ("parent", 1000001, "ok", True), ("parent", 2000000, "agent-b", True), ("parent", 2000001, "ok", True)]
+    first = {r["content"]: r["seq"] for r in got if r["content"] != "ok"}
+    assert {(r["session_id"], r["content"], r["is_sidechain"]) for r in got} == {("parent", "agent-a", True), ("parent", "agent-b", True), ("parent", "ok", True)}
+    assert len({n // 1_000_000 for n in first.values()}) == 2 and {r["seq"] for r in got if r["content"] == "ok"} == {n + 1 for n in first.values()} and min(first.values()) >= 1_000_000
+    # A file that sorts before the others and comes later renumbers none of them.
+    write(tmp_path / "p" / "parent" / "subagents" / "agent-0.jsonl", [{"type": "user", "sessionId": "agent-0", "message": {"content": "agent-0"}}])
+    _, events = transcripts.session_transcripts(transcripts.read_lines(spark, str(tmp_path)))
+    assert first.items() <= {r["content"]: r["seq"] for r in rows(transcripts.fold_subagents(events))}.items()
 
 
 def test_history_recovers_orphans(spark, tmp_path):
@@ -110,3 +117,44 @@ def test_store_events_of_the_test_tables(spark, data):
     events = store.store_events(spark.read.parquet(f"{data}/messages.parquet"))
     assert events.count() > 0 and events.where(F.col("content").isNull() | (F.col("content") == "")).count() == 0
     assert events.groupBy("session_id", "seq").count().where("count > 1").count() == 0
+
+
+def test_transcripts_are_tailed_as_they_grow(spark, tmp_path):
+    """Files that did not grow are not parsed again, a longer one is parsed whole, and each event is stored once."""
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    line = lambda s, t: {"type": "user", "sessionId": s, "timestamp": "2026-01-01T00:00:00Z", "message": {"content": t}}
+    parsed = []
+
+    def sink(sessions, events):
+        parsed.append(sorted({r.session_id for r in events.select("session_id").distinct().collect()}))
+        rows = events.withColumns({"event_id": F.concat_ws("-", "session_id", "seq"), "received_at": F.to_timestamp(F.lit("2026-01-02"))})
+        ingest.append_new(rows.select("event_id", "session_id", "seq", "ts", "role", "kind", "content", "files", "commands", "is_sidechain", "received_at"), log)
+
+    def follow():
+        tail.tail_transcripts(tail.grown_files(spark, str(folder)), str(folder), transcripts.session_transcripts, sink, str(tmp_path / "cp")).awaitTermination()
+
+    write(folder / "a.jsonl", [line("a", "one")])
+    write(folder / "b.jsonl", [line("b", "two")])
+    follow()
+    write(folder / "a.jsonl", [line("a", "one"), line("a", "three")])
+    follow()
+    follow()
+    assert parsed == [["a", "b"], ["a"]]
+    assert sorted((r.session_id, r.content) for r in spark.read.parquet(log).collect()) == [("a", "one"), ("a", "three"), ("b", "two")]
+
+
+def test_the_store_is_tailed_by_its_newest_row(spark, tmp_path):
+    path = str(tmp_path / "s.db")
+    db = sqlite3.connect(path)
+    db.execute("create table messages (id integer primary key, content text)")
+    seen = []
+
+    def follow():
+        stream = tail.grown_store(spark, path, "messages", "id bigint, content string")
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: seen.append(sorted(r.content for r in df.collect()))).trigger(availableNow=True).start().awaitTermination()
+
+    for batch in (["x", "y"], ["z"]):
+        db.executemany("insert into messages (content) values (?)", [(c,) for c in batch])
+        db.commit()
+        follow()
+    assert [b for b in seen if b] == [["x", "y"], ["z"]]

@@ -39,8 +39,9 @@ def build(chunks: DataFrame, buckets: int = BUCKETS) -> Index:
 
 
 def write(index: Index, path: str) -> None:
-    """Keeps an index: postings in a folder for each bucket, sorted by token so that row groups can be skipped."""
-    index.postings.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Keeps an index: postings in a folder for each bucket, sorted by token so that row groups can be skipped; a bucket that
+    a stop word makes large is written by several tasks."""
+    index.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 

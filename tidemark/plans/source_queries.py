@@ -42,7 +42,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/session_event[s].parquet"  # a pattern, as a stream takes no single file
     schema = table(spark, sf_dir, "session_events").schema
     G.ingest(G.event_stream(spark, path, schema, 4), f"{run}/events", f"{run}/state").awaitTermination()
-    return M.session_rollup(spark.read.parquet(f"{run}/events")).select("session_id", "event_count", F.unix_micros("last_event_at").alias("last_event_at_us"))
+    return M.session_rollup(G.event_log(spark, f"{run}/events", schema)).select("session_id", "event_count", F.unix_micros("last_event_at").alias("last_event_at_us"))
 
 
 def embedding_round(spark: SparkSession, sf_dir: str) -> DataFrame:

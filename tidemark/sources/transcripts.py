@@ -162,11 +162,14 @@ def rollout_transcripts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fold_subagents(events: DataFrame) -> DataFrame:
-    """Events of sub-agent files as side chain of the session their folder belongs to, each file in a million numbers of its own."""
+    """Events of sub-agent files as side chain of the session their folder belongs to, each file in a million numbers of its own.
+
+    Where a file's numbers begin follows from its name alone, so files that appear later renumber none. Of a session's n
+    files two begin at one number with a chance of n * n / 2^41.
+    """
     parts = F.split(F.url_decode("file"), "/")
     parent = F.element_at(parts, -3)
-    rank = F.dense_rank().over(Window.partitionBy("parent").orderBy("leaf"))
-    named = events.withColumn("parent", parent).withColumn("leaf", F.element_at(parts, -1)).withColumn("base", rank * 1_000_000)
+    named = events.withColumn("parent", parent).withColumn("leaf", F.element_at(parts, -1)).withColumn("base", (F.pmod(F.xxhash64("leaf"), F.lit(1 << 40)) + 1) * 1_000_000)
     return named.select(*[F.col("parent").alias("session_id") if c == "session_id" else (F.col("seq") + F.col("base")).alias("seq") if c == "seq" else F.lit(True).alias(c) if c == "is_sidechain" else F.col(c) for c in events.columns])
 
 

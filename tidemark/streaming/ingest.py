@@ -5,13 +5,13 @@ Devices may be offline for months, so no watermark ever drops a late row: repeat
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions import text as T
 from tidemark.operators import model as M
@@ -26,14 +26,36 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path) if os.path.isdir(path) or "://" in path else spark.createDataFrame([], like.schema)
+BUCKETS = 256  # folders of the event log, by session
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whichever file system it names or is the default."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def event_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The event log as append_new keeps it; an empty one where there is none yet. schema: that of its rows."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).drop("bucket")
 
 
 def append_new(batch: DataFrame, out: str) -> None:
-    """Appends the rows of a batch whose (session_id, seq) is not stored; a batch that is run again adds nothing."""
-    fresh = M.new_events(_stored(batch.sparkSession, out, batch), batch)
-    fresh.write.mode("append").parquet(out)
+    """Appends the rows of a batch whose (session_id, seq) is not stored; a batch that is run again adds nothing.
+
+    The log has a folder for each of BUCKETS hashes of session_id. Only the keys in the folders that the batch falls into
+    are read, and only within those are rows compared. Large folders are written by several tasks.
+    """
+    spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+    fresh = M.first_arrivals(batch).withColumn("bucket", bucket)
+    if _exists(spark, out):
+        touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
+        keys = ("session_id", "seq", "bucket")
+        stored = spark.read.schema(", ".join(f"{c} {'int' if c == 'bucket' else dict(batch.dtypes)[c]}" for c in keys)).parquet(out).where(F.col("bucket").isin(touched))
+        fresh = fresh.join(stored, list(keys), "left_anti").select(*fresh.columns)
+    fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(out)
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
@@ -47,28 +69,44 @@ def rollup_stream(stream: DataFrame) -> DataFrame:
     return M.session_rollup(stream)
 
 
-_STATES = "session_id string, status string, event_count bigint, unsummarized bigint, last_event_us bigint, rolling_due boolean"
+_STATES = "session_id string, status string, event_count bigint, unsummarized bigint, last_event_us bigint, rolling_due boolean, final_due boolean, reopened boolean"
+_STATE = "count bigint, fresh bigint, newest bigint, status string"
+IDLE_MS = 30 * 60 * 1000
+
 
+def next_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, every: int = SUMMARY_EVERY, timer: bool = True) -> Iterator[pd.DataFrame]:
+    """One step of a session's state machine: events make it active again whatever it was and set the timer anew; when the
+    timer runs out an active session turns idle and its final summary is due."""
+    count, fresh, newest, status = state.get if state.exists else (0, 0, -(2**62), "new")
+    due = final = reopened = False
+    if state.hasTimedOut:
+        status, final = "idle", True
+    else:
+        for pdf in frames:
+            n = pdf.seq.nunique()
+            count, fresh, newest = count + n, fresh + n, max(newest, int(pdf.at_us.max()))
+        due, reopened, status = fresh >= every, status in ("idle", "closed"), "active"
+        if timer:
+            state.setTimeoutDuration(IDLE_MS)
+    state.update((count, 0 if due or final else fresh, newest, status))
+    yield pd.DataFrame({"session_id": [key[0]], "status": [status], "event_count": [count], "unsummarized": [fresh], "last_event_us": [newest], "rolling_due": [due], "final_due": [final], "reopened": [reopened]})
 
-def session_states(stream: DataFrame, every: int = SUMMARY_EVERY) -> DataFrame:
-    """A row for each session a batch touches: its count, newest event, and whether a rolling summary is due.
 
-    Replayed numbers within a batch count once; across batches the ingest has kept them out. Any event makes a session
-    active; idle is a matter of the time of asking, see idle.
+def session_states(stream: DataFrame, every: int = SUMMARY_EVERY, timer: bool = True) -> DataFrame:
+    """A row for each session a batch touches or whose half hour without events ran out: its count, newest event, whether a
+    rolling or the final summary is due, and whether it was at rest before.
+
+    Replayed numbers within a batch count once; across batches the ingest has kept them out. The timer runs on arrival,
+    as devices send months late; for rest at a given time see idle. A stream that is to end (availableNow) runs without
+    the timer, as Spark keeps a timed one going.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, fresh, newest = state.get if state.exists else (0, 0, -(2**62))
-        for pdf in frames:
-            n = pdf.seq.nunique()
-            count, fresh, newest = count + n, fresh + n, max(newest, int(pdf.at_us.max()))
-        due = fresh >= every
-        state.update((count, 0 if due else fresh, newest))
-        yield pd.DataFrame({"session_id": [key[0]], "status": ["active"], "event_count": [count], "unsummarized": [fresh], "last_event_us": [newest], "rolling_due": [due]})
+        yield from next_state(key, frames, state, every, timer)
 
     at = F.unix_micros(M.event_time(F.col("ts"), F.col("received_at")))
     rows = stream.where("session_id is not null and seq is not null").select("session_id", "seq", at.alias("at_us"))
-    return rows.groupBy("session_id").applyInPandasWithState(step, _STATES, "count bigint, fresh bigint, newest bigint", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(step, _STATES, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
 
 
 def idle(sessions: DataFrame, as_of: Column) -> DataFrame:
@@ -77,36 +115,44 @@ def idle(sessions: DataFrame, as_of: Column) -> DataFrame:
     return sessions.withColumn("status", F.when(rested, "idle").otherwise(F.col("status")))
 
 
+RUN = 10_000  # numbers of one session delivered by one task
+
+
 def deliver(batch: DataFrame, send: Callable[[str, list], None], size: int = DELIVERY_ROWS) -> dict[str, int]:
     """Sends a micro-batch in parcels of at most `size` rows, a session's rows together in each; for foreachBatch.
 
-    Runs where the partitions are. At least once: an error stops the partition, and the batch comes again.
+    Runs where the partitions are, over Arrow batches; a long session is dealt to several tasks by runs of RUN numbers.
+    At least once: an error stops the partition, and the batch comes again.
     """
 
-    def run(rows: Iterator) -> Iterator[tuple[int, int]]:
-        parcel: list = []
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         sent = parcels = 0
+        parcel: list = []
 
         def flush() -> None:
             by: dict[str, list] = {}
             for r in parcel:
-                by.setdefault(r["session_id"], []).append(r.asDict(recursive=True))
+                by.setdefault(r["session_id"], []).append(r)
             for session, events in by.items():
                 send(session, events)
             parcel.clear()
 
-        for row in rows:
-            parcel.append(row)
-            if len(parcel) == size:
-                sent, parcels = sent + len(parcel), parcels + 1
-                flush()
+        for arrow in batches:
+            for row in arrow.to_pylist():
+                parcel.append(row)
+                if len(parcel) == size:
+                    sent, parcels = sent + len(parcel), parcels + 1
+                    flush()
         if parcel:
             sent, parcels = sent + len(parcel), parcels + 1
             flush()
-        yield sent, parcels
+        yield pa.RecordBatch.from_pydict({"sent": pa.array([sent], pa.int64()), "parcels": pa.array([parcels], pa.int64())})
 
-    done = batch.repartition("session_id").sortWithinPartitions("session_id", "seq").rdd.mapPartitions(run).collect()  # two numbers a partition
-    return {"delivered": sum(a for a, _ in done), "batches": sum(b for _, b in done)}
+    dealt = batch.repartition("session_id", F.floor(F.col("seq") / RUN)).sortWithinPartitions("session_id", "seq")
+    done = dealt.mapInArrow(run, "sent long, parcels long").agg(F.sum("sent"), F.sum("parcels")).first()
+    return {"delivered": done[0] or 0, "batches": done[1] or 0}
 
 
 # ---- embedding queue ------------------------------------------------------------------------------------------------
