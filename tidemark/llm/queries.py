@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
+from tidemark.llm import abuse, chunking, conversations, mixing, packing, redaction_queries, truncation
 
-_MODULES = ("redaction_queries", "truncation", "chunking", "conversations", "packing", "mixing", "abuse")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _name in _MODULES:
-    if importlib.util.find_spec(f"tidemark.llm.{_name}"):
-        _module = importlib.import_module(f"tidemark.llm.{_name}")
-        QUERIES |= _module.QUERIES
-        ORACLES |= getattr(_module, "ORACLES", {})
+for _module in (redaction_queries, truncation, chunking, conversations, packing, mixing, abuse):
+    QUERIES |= _module.QUERIES
+    ORACLES |= getattr(_module, "ORACLES", {})
