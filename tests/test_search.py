@@ -107,3 +107,22 @@ def test_a_long_term_is_met_as_a_whole(spark):
     q = spark.createDataFrame([(0, f"{path}/end")], "query_id int, query string")
     assert [r.chunk_id for r in S.bm25(table(spark, rows), q).collect()] == ["1"]
     assert [r.chunk_id for r in P.bm25(P.build(table(spark, rows)), q).collect()] == ["1"]
+
+
+def test_small_and_large_batches_rank_alike(spark, data, monkeypatch):
+    """Scored in the tasks or joined by shuffle: the same candidates; either way a task sorts only a query's best."""
+    from tidemark.plans import corpus as C
+
+    chunks, queries = S.with_scope(C.chunks(spark, data), S.Request(scope="global")), C.batch(spark, data)
+    few = S.best_bm25(chunks, queries, 7)
+    monkeypatch.setattr(S, "FEW_PHRASES", 0)
+    many = S.best_bm25(chunks, queries, 7)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 0
+    assert all("WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() for df in (few, many))
+
+
+def test_linked_scope_is_a_column(spark):
+    chunks = spark.createDataFrame([(str(i), p, "shared", None, None, None, None) for i, p in enumerate(["a", "b", "c", None])], "chunk_id string, project_key string, visibility string, is_sidechain boolean, source_type string, agent_id string, recipient_id string")
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a")], "project_key string, linked_project_key string")
+    found = lambda r: sorted(x.chunk_id for x in S.with_scope(chunks, r, links).where("in_request").collect())
+    assert found(S.Request(project_key="a", scope="linked")) == ["0", "1"] and found(S.Request(project_key="a")) == ["0"] and found(S.Request(scope="global")) == ["0", "1", "2", "3"]

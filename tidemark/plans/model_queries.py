@@ -9,6 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import indexing as I
 from tidemark.operators import model as M
 from tidemark.plans import corpus as C
+from tidemark.plans import scalar_queries as K
 from tidemark.plans import stored as D
 from tidemark.session import table
 
@@ -69,15 +70,15 @@ def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each table before and after the entries of one kind are deleted."""
+    """Rows of each table before the entries of one kind are deleted, and those left."""
     ent = D.entries(spark, sf_dir)
     chunks = I.chunk_entries(ent)
     removed = ent.where("kind = 'artifact'").select(F.col("entry_id").alias("id"))
-    before = {"entries": (ent.select("entry_id"), "entry_id"), "memory_chunks": (chunks.select("source_ref"), "source_ref"), "embedding_queue": (chunks.select("chunk_id", "source_ref"), "source_ref")}
+    before = {"entries": (ent.select("entry_id"), "entry_id"), "memory_chunks": (chunks.select("source_ref"), "source_ref"), "embedding_queue": (chunks.where("chunk_index > 0").select("chunk_id", "source_ref"), "source_ref")}
     after = M.cascade(before, removed)
     out = None
     for n in before:
-        one = before[n][0].agg(F.count("*").alias("before")).join(after[n].agg(F.count("*").alias("after")), F.lit(True)).select(F.lit(n).alias("name"), (F.col("before") > F.col("after")).alias("shrunk"), (F.col("after") > 0).alias("kept_others"))
+        one = before[n][0].agg(F.count("*").alias("before")).join(after[n].agg(F.count("*").alias("after")), F.lit(True)).select(F.lit(n).alias("name"), "before", "after")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -111,7 +112,17 @@ def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ingest_idempotent, ingest_late_batch, session_upsert, session_rollup, project_upsert, entry_upsert_latest, entries_refused, entry_chunks, link_bidirectional, retention_sweep, delete_cascade, entry_delete, sync_diff, last_event_backfill, index_backfill,
 )}
+_CHUNKS = f"""{D.ENTRIES_SQL}, newest as (select *, max(case when o = 1 then entry_id end) over (partition by agent_id, namespace, source_id, case when source_id is null then entry_id end) as eid from pub qualify back = 1),
+    folded as (select * exclude (overlap), {K.CHUNKS_OF.format('content')} as f from (select * replace (coalesce(chunk_size, 900) as chunk_size, coalesce(overlap, 120) as overlap), coalesce(chunk_size, 900) as size from newest)),
+    parts as (select *, case when f.open = '' then f.done else list_append(f.done, f.open) end as c from folded),
+    chunked as (select eid, kind, tags, visibility, recipient_id, project_key, unnest(c) as chunk, generate_subscripts(c, 1) - 1 as chunk_index from parts)"""
 ORACLES = {
+    "entry_chunks": f"""with {_CHUNKS}, t as (select eid, lower(trim(x, ' \t\n\r')) as tag, min(i) as i from (select eid, unnest(tags) as x, generate_subscripts(tags, 1) as i from newest) where trim(x, ' \t\n\r') <> '' group by 1, 2)
+        select eid || ':' || chunk_index as chunk_id, eid as source_ref, coalesce(project_key, '__global__') as project_key, chunk_index::int as chunk_index, chunk as content, coalesce((select string_agg(tag, ' ' order by i) from t where t.eid = c.eid), '') as tags,
+        case when kind = 'message' then case when recipient_id is not null then 'direct' else 'broadcast' end else coalesce(visibility, 'shared') end as visibility from chunked c where trim(chunk) <> ''""",
+    "delete_cascade": f"""with {_CHUNKS}, c as (select * from chunked where trim(chunk) <> ''), gone as (select eid as id from newest where kind = 'artifact')
+        select 'entries' as name, count(*) as before, count(*) filter (eid not in (select id from gone)) as after from newest union all select 'memory_chunks', count(*), count(*) filter (eid not in (select id from gone)) from c
+        union all select 'embedding_queue', count(*), count(*) filter (eid not in (select id from gone)) from c where chunk_index > 0""",
     "ingest_idempotent": f"with {D.EV_SQL} select session_id, delivered, inserted, delivered - inserted as skipped from (select session_id, count(*) as delivered from session_events group by 1) join (select session_id, count(*) as inserted from ev group by 1) using (session_id)",
     "ingest_late_batch": f"""select session_id, count(distinct seq) as added, max(seq) as highest from session_events e where received_at >= {D.AS_OF_SQL} and session_id is not null and seq is not null
         and not exists (select 1 from session_events o where o.session_id = e.session_id and o.seq = e.seq and o.received_at < {D.AS_OF_SQL}) group by 1""",

@@ -144,6 +144,14 @@ _HOST = f"regexp_replace(substr({_REST}, 1, {_MARK} - 1), ':\\d*$', '')"
 _PATH = f"trim(regexp_replace(rtrim(substr({_REST}, {_MARK} + 1), '/'), '\\.git$', ''), '/')"
 _REMOTE = f"case when {_MARK} > 1 and {_HOST} <> '' and {_PATH} <> '' and not contains({_HOST}, ':') then lower({_HOST} || '/' || {_PATH}) end"
 _SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'device')"
+_STRIPPED = "trim({0}, " + _WS + ")"
+# Chunks of a text: paragraphs folded into {done, open}, long ones cut by windows. size and overlap are columns.
+CHUNKS_OF = (
+    "list_reduce(list_prepend({{'done': []::varchar[], 'open': ''}}, list_transform(list_filter(list_transform(regexp_split_to_array(" + _STRIPPED.format("coalesce({0}, '')") + ", '\\n\\s*\\n'), lambda q: " + _STRIPPED.format("q") + "), lambda q: q <> ''), "
+    "lambda q: {{'done': []::varchar[], 'open': q}})), lambda a, b: case when length(case when a.open = '' then b.open else a.open || chr(10) || chr(10) || b.open end) <= size then {{'done': a.done, 'open': case when a.open = '' then b.open else a.open || chr(10) || chr(10) || b.open end}} "
+    "when length(b.open) <= size then {{'done': case when a.open = '' then a.done else list_append(a.done, a.open) end, 'open': b.open}} "
+    "else {{'done': list_concat(case when a.open = '' then a.done else list_append(a.done, a.open) end, list_transform(generate_series(0, greatest(0, ceil((length(b.open) - size) / greatest(size - overlap, 1)::double)::int)), lambda i: " + _STRIPPED.format("substr(b.open, (i * greatest(size - overlap, 1) + 1)::int, size)") + ")), 'open': ''}} end)"
+)
 ORACLES = {
     "token_estimate": "select event_id, (case when content is null or content = '' then 0 else greatest(1, length(content) // 4) end)::int as tokens from session_events",
     "truncate_tokens": "select doc_id, case when length(text) <= 80 then text else rtrim(text[1:77], ' ') || '...' end as text from documents",
@@ -170,4 +178,6 @@ ORACLES = {
     "html_escaped": """select entry_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as title from entries""",
     "denied_paths": """select upsert_id, coalesce(p = '/home/dev/export' or starts_with(p, '/home/dev/export/') or p = '/srv/work/anchor-ledger-2' or starts_with(p, '/srv/work/anchor-ledger-2/'), false) as denied
         from (select upsert_id, rtrim(replace(lower(cwd), '\\', '/'), '/') as p from session_upserts)""",
+    "paragraph_chunks": f"""with f as (select entry_id, {CHUNKS_OF.format('content')} as f from (select entry_id, content, coalesce(chunk_size, 900) as size, coalesce(overlap, 120) as overlap from entries)),
+        c as (select entry_id, case when f.open = '' then f.done else list_append(f.done, f.open) end as c from f) select entry_id, len(c)::int as chunks, list_max(list_transform(c, lambda x: length(x)))::int as longest from c""",
 }

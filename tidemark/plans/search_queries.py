@@ -71,9 +71,16 @@ BM25_SQL = r"""
                from wanted w join hits h using (phrase) join dfs using (phrase) join sizes s using (chunk_id), corpus group by 1, 2)"""
 
 
+GUIDANCE = S.Request(scope="global", min_score=1.0, kind="decision", limit=3)
+
+
 def search_sql(name: str) -> str:
-    query, r, hybrid = SEARCHES[name]
-    queries = C.BATCH_SQL if query is None else f"queries as (select 0::bigint as query_id, {_quoted(query)} as query)"
+    return request_sql(*SEARCHES[name])
+
+
+def request_sql(query: str | None, r: S.Request, hybrid: bool, queries: str | None = None) -> str:
+    """SQL of a search; queries: SQL of its table of queries in place of the query or the batch."""
+    queries = queries or (C.BATCH_SQL if query is None else f"queries as (select 0::bigint as query_id, {_quoted(query)} as query)")
     keep = ["visibility in ('shared', 'broadcast')" if r.requester is None else f"(visibility in ('shared', 'broadcast') or agent_id = {_quoted(r.requester)} or recipient_id = {_quoted(r.requester)})"]
     keep += [f"{c} = {_quoted(getattr(r, c))}" for c in ("namespace", "kind") if getattr(r, c)]
     if r.tag:
@@ -137,7 +144,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch's queries that find nothing at a floor of one and an impossible filter."""
     queries = C.batch(spark, sf_dir)
-    found = S.search(C.chunks(spark, sf_dir), queries, S.Request(scope="global", min_score=1.0, kind="decision", limit=3), as_of())
+    found = S.search(C.chunks(spark, sf_dir), queries, GUIDANCE, as_of())
     return S.guidance(found, queries).select("query_id", "message")
 
 
@@ -164,6 +171,7 @@ QUERIES = {n: partial(run_search, name=n) for n in SEARCHES} | {
 ORACLES = {n: search_sql(n) for n in SEARCHES} | {
     "bm25_scores": f"with {C.BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
     "bm25_indexed": f"with {C.BATCH_SQL}, {C.CHUNKS_SQL}, {TERMS_SQL}, {BM25_SQL} select query_id, chunk_id, round(bm25, 6) + 0.0 as bm25 from scores",
+    "search_guidance": f"with r as ({request_sql(None, GUIDANCE, False)}) select doc_id as query_id, {_quoted(S.NO_CONTEXT)} as message from documents where doc_id % 100 = 0 and text is not null and doc_id not in (select query_id from r)",
     "vector_knn": _knn_sql(10, ""),
     "vector_knn_per_project": _knn_sql(3, ", project_key"),
     "query_terms": f"""with queries as (select doc_id as query_id, text as query from documents where text is not null), {TERMS_SQL}

@@ -13,6 +13,7 @@ from tidemark.operators import model as M
 from tidemark.operators import search as S
 from tidemark.operators import views as V
 from tidemark.plans import corpus as C
+from tidemark.plans import scalar_queries as K
 from tidemark.plans import search_queries as Q
 from tidemark.plans import stored as D
 from tidemark.session import table
@@ -182,11 +183,14 @@ def related_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related projects by name and by a search for what each key is called."""
     seeds = _requests(spark, sf_dir).select(F.col("query_key").alias("query_id"), T.search_seed(F.col("query_key")).alias("query"))
-    found = S.search(C.chunks(spark, sf_dir), seeds, S.Request(scope="global", limit=20, min_score=V.RELATED_FLOOR), Q.as_of())
+    found = S.search(C.chunks(spark, sf_dir), seeds, NEARBY, Q.as_of())
     meaning = found.select(F.col("query_id").alias("query_key"), "project_key", F.col("relevance").alias("score"))
     return V.merge_related(related_lexical(spark, sf_dir), meaning, _counts(spark, sf_dir))
 
 
+NEARBY = S.Request(scope="global", limit=20, min_score=V.RELATED_FLOOR)
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "projects").select("project_key", "display_name")
     return V.graph(D.sessions(spark, sf_dir).join(p, "project_key", "left"))
@@ -301,6 +305,11 @@ ORACLES = {
         once as (select project_key, decision, min(row(way, place, i)) as first_at from every where trim(decision) <> '' group by 1, 2)
         select project_key, row_number() over (partition by project_key order by first_at)::int as place, md5(decision) as decision from once qualify place <= 10""",
     "related_lexical": f"with {D.EV_SQL}, {D.SESS_SQL}, {_RELATED} select query_key, project_key, session_count from lexical",
+    "related_merged": f"""{_BASE}, {_RELATED}, found as ({Q.request_sql(None, NEARBY, False, f"queries as (select distinct project_key as query_id, seed as query from ({K.ORACLES['search_seed']}) where project_key is not null)")}),
+        ways as (select query_key, project_key, 0 as way, session_count::double as score from lexical union all select query_id, f.project_key, 1, relevance from found f join counts c on c.project_key = f.project_key where relevance >= {V.RELATED_FLOOR} and f.project_key <> query_id),
+        one as (select query_key, project_key, way, score from ways qualify row_number() over (partition by query_key, project_key order by way, score desc) = 1),
+        placed as (select *, row_number() over (partition by query_key order by way, score desc, project_key) as place from one qualify place <= {V.RELATED_MOST})
+        select query_key, place::int as place, project_key, session_count, case way when 0 then 'name/path match' else printf('semantic match %.2f', score) end as why from placed join counts using (project_key)""",
     "graph_edges": f"{_BASE}, placed as ({_PLACED}) select 'project:' || project_key as source, 'session:' || session_id as target from placed",
     "graph_nodes": f"""{_BASE}, placed as ({_PLACED}), colour as (select project_key, row_number() over (order by project_key) - 1 as color_index from (select distinct project_key from placed)),
         nodes as (select 'project:' || project_key as id, 'project' as type, coalesce(max(pname), split_part(project_key, '/', -1)) as label, project_key, avg(x) * 0.72 as x, avg(y) * 0.72 as y, avg(z) * 0.72 as z, 6.0::double as size from placed group by project_key

@@ -144,9 +144,9 @@ def project_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearby_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects near the directory each project was worked in, by key or by the directory they are kept in."""
+    """Projects near the folder above where each project was worked in, by key or by the directory they are kept in."""
     p = table(spark, sf_dir, "projects").where("project_key is not null")
-    at = table(spark, sf_dir, "session_upserts").where("project_key is not null").groupBy(F.col("project_key").alias("query_key")).agg(F.max("cwd").alias("path")).where("path is not null")
+    at = table(spark, sf_dir, "session_upserts").where("project_key is not null").groupBy(F.col("project_key").alias("query_key")).agg(F.regexp_replace(F.max("cwd"), "/[^/]*$", "").alias("path")).where("path is not null")
     return V.related_by_name(p, W._counts(spark, sf_dir), at, roots=True)
 
 
@@ -258,7 +258,7 @@ ORACLES = {
         select project_key, n as session_count, used as estimated_tokens, sessions, md5(d) as decisions, md5(t) as open_threads, related, case when n = 0 and related = '' then 'Nothing is recorded for this project; start without assuming any history.'
             when n = 0 then 'Nothing is recorded under this key; the same work may be under another one listed here.' when related <> '' then 'Little is recorded under this key; more may be under another one listed here.' end as message from j""",
     "nearby_by_root": f"""{_BASE}, counts as (select project_key, count(*) as session_count from merged group by 1), p as (select project_key, max(repo_root) as root from projects where project_key is not null group by 1),
-        k as (select project_key as query_key, lower(max(cwd)) as here, lower(split_part(max(cwd), '/', -1)) as base from session_upserts where project_key is not null and cwd is not null group by 1)
+        k as (select project_key as query_key, lower(regexp_replace(max(cwd), '/[^/]*$', '')) as here, lower(split_part(regexp_replace(max(cwd), '/[^/]*$', ''), '/', -1)) as base from session_upserts where project_key is not null and cwd is not null group by 1)
         select query_key, project_key, session_count from k join (select p.project_key, lower(coalesce(root, '')) as r, lower(p.project_key) as key, session_count from p join counts using (project_key)) c on c.project_key <> k.query_key
         and (base <> '' and (contains(key, base) or contains(r, base)) or r <> '' and (starts_with(r, here) or starts_with(here, r)))""",
     "projects_visible": f"select distinct project_key, project_key not in ({Q._quoted(Q.PROJECT)}, 'path:/home/dev/export') as visible_muted, project_key = 'path:/home/dev/export' as visible_solo from projects where project_key is not null",
