@@ -126,13 +126,15 @@ def first_distinct(rows: DataFrame, key: str, value: str, order: list[str], most
 MAX_REQUESTS = 10_000  # project keys asked for at once
 
 
-def related_by_name(projects: DataFrame, counts: DataFrame, requests: DataFrame, roots: bool = False) -> DataFrame:
+def related_by_name(projects: DataFrame, counts: DataFrame, requests: DataFrame | list[str], roots: bool = False) -> DataFrame:
     """query_key, project_key, session_count: projects whose path is above or below a key's, or whose path has its last
     part; with roots also by the directories they are kept in. Projects without sessions do not count.
 
-    requests: query_key (with roots also path, the directory one works in), at most MAX_REQUESTS: a stated set that every
-    task holds, against all projects.
+    requests: query_key (with roots also path, the directory one works in), or a list of keys; at most MAX_REQUESTS: a
+    stated set that every task holds, against all projects.
     """
+    if isinstance(requests, list):
+        requests = projects.sparkSession.createDataFrame([(k,) for k in requests], "query_key string")
     if requests.limit(MAX_REQUESTS + 1).count() > MAX_REQUESTS:
         raise ValueError("more project keys than one request holds; ask in several")
     raw = lambda c: F.lower(T.bare_key(F.col(c)))
