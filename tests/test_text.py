@@ -92,4 +92,4 @@ def test_epoch_of_every_message(spark, tmp_path):
     from tidemark.plans import scalar_queries as Q
 
     spark.createDataFrame([(1, 1.7e9), (2, 1.7e12), (3, 1.7e15), (4, 0.0), (5, -3.0), (6, None), (7, 1e14)], "id bigint, timestamp double").coalesce(1).write.parquet(str(tmp_path / "messages.parquet"))
-    assert {r.id: r.seconds for r in Q.epoch_autoscale_all(spark, str(tmp_path)).collect()} == {1: 1_700_000_000, 2: 1_700_000_000, 3: None, 4: None, 5: None, 6: None, 7: None}
+    assert {r.id: r.seconds for r in Q.epoch_autoscale(spark, str(tmp_path)).collect()} == {1: 1_700_000_000, 2: 1_700_000_000, 3: None, 4: None, 5: None, 6: None, 7: None}

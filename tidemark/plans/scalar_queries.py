@@ -62,14 +62,9 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_autoscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "messages").where("timestamp > 0 and timestamp < 1e14")
-    return m.select("id", F.floor(F.unix_millis(T.epoch_autoscale(F.col("timestamp"))) / 1000).cast("bigint").alias("seconds"))
-
-
-def epoch_autoscale_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message; null where the value is neither seconds nor milliseconds after 1970 (0 and less, 1e14 and more)."""
     t = F.col("timestamp")
-    scaled = F.floor(F.unix_millis(T.epoch_autoscale(F.when((t > 0) & (t < 1e14), t))) / 1000).cast("bigint")
+    scaled = F.floor(F.unix_millis(T.epoch_autoscale(F.when((t > 0) & (t < 1e14), t))) / 1000).cast("double")
     return table(spark, sf_dir, "messages").select("id", scaled.alias("seconds"))
 
 
@@ -108,7 +103,7 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    token_estimate, truncate_tokens, normalize_tags, redact_extra, redact_counts, redact_events, scrub_lines, project_keys, search_seed, slugs, backoff_schedule, epoch_autoscale, epoch_autoscale_all, collapse_commands, decision_records, entry_visibility, prompt_noise,
+    token_estimate, truncate_tokens, normalize_tags, redact_extra, redact_counts, redact_events, scrub_lines, project_keys, search_seed, slugs, backoff_schedule, epoch_autoscale, collapse_commands, decision_records, entry_visibility, prompt_noise,
     html_escaped, denied_paths, paragraph_chunks,
 )}
 
@@ -167,7 +162,7 @@ ORACLES = {
         select project_key, array_to_string(case when len(list_filter(parts, lambda p: lower(p) not in ({_GENERIC}))) > 0 then list_filter(parts, lambda p: lower(p) not in ({_GENERIC})) else parts end, ' ') as seed from b""",
     "slugs": f"select agent_id, {_SLUG.format('display_name')} as slug, {_SLUG.format('device_name')} as device from agents",
     "backoff_schedule": "select o_orderkey, least(3600, 30 * pow(2, o_orderkey % 12))::bigint as seconds, o_orderkey % 12 + 1 < 6 as due_again from orders",
-    "epoch_autoscale": "select id, floor(case when timestamp > 1e11 then floor(timestamp) / 1000 else timestamp end)::bigint as seconds from messages where timestamp > 0 and timestamp < 1e14",
+    "epoch_autoscale": "select id, case when timestamp > 0 and timestamp < 1e14 then floor(case when timestamp > 1e11 then floor(timestamp) / 1000 else timestamp end)::double end as seconds from messages",
     "collapse_commands": "select event_id, (i - 1)::int as i, trim(regexp_replace(c, '\\s+', ' ', 'g'), ' ')[1:60] as command from (select event_id, unnest(commands) as c, generate_subscripts(commands, 1) as i from session_events)",
     "decision_records": """select entry_id, 'decision:' || replace(lower(title), ' ', '-')[1:80] as source_id, md5(concat_ws(chr(10) || chr(10), content, case when source_uri <> '' then 'Rationale: ' || source_uri end, case when namespace <> '' then 'Supersedes: ' || namespace end)) as content
         from entries where kind = 'decision'""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import indexing as I
 from tidemark.operators import model as M
+from tidemark.plans import corpus as C
 from tidemark.plans import stored as D
 from tidemark.session import scratch_dir, table
 from tidemark.sources import store
@@ -46,10 +47,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One round of the embedding queue over all entries' titles with the default embedder, whatever is in the queue due."""
-    e = D.entries(spark, sf_dir).select(F.col("entry_id").alias("chunk_id"), F.coalesce("project_key", F.lit(T.GLOBAL_PROJECT)).alias("project_key"), F.coalesce("title", F.lit("")).alias("content"), "created_at")
-    queue = e.select("chunk_id", F.col("created_at").alias("enqueued_at"), F.pmod(F.length("chunk_id") + F.length("content"), F.lit(8)).alias("attempts"), F.col("created_at").alias("next_attempt_at"))
-    vectors, _ = G.drain(queue, e, lambda c: G.hash_embedding(c), D.as_of(), batch=1000)
+    """One round of the embedding queue over the chunks of all documents: the first batch that is due, in order of arrival."""
+    c = C.chunks(spark, sf_dir).select("chunk_id", "project_key", "content", "ts")
+    queue = c.select("chunk_id", F.col("ts").alias("enqueued_at"), F.pmod(F.length("chunk_id") + F.length("content"), F.lit(8)).alias("attempts"), F.col("ts").alias("next_attempt_at"))
+    vectors, _ = G.drain(queue, c, lambda t: G.hash_embedding(t), D.as_of())
     return vectors.select("chunk_id", "project_key", F.size("embedding").alias("width"))
 
 
@@ -78,7 +79,6 @@ ORACLES = {
         select 'hermes-' || session_id as session_id, id * 10 + k as seq, content, case when name in ('read_file', 'write_file', 'patch') then path else '' end as files, case when name = 'terminal' then command else '' end as commands from e where content is not null""",
     "store_newest_message": "select session_id, coalesce(max(id), 0) as last_id from messages group by 1",
     "store_history": f"select distinct 'hermes-' || session_id as session_id from messages where 'hermes-' || session_id not in (select session_id from session_upserts where received_at < {D.AS_OF_SQL})",
-    "embedding_round": f"""with {D.ENTRIES_SQL}, q as (select entry_id, coalesce(project_key, '__global__') as project_key, (length(entry_id) + length(coalesce(title, ''))) % 8 as attempts, created_at from ent)
-        select entry_id as chunk_id, project_key, 64 as width from q where created_at <= {D.AS_OF_SQL} and attempts < 6 order by created_at, entry_id limit 1000""",
+    "embedding_round": f"""with {C.CHUNKS_SQL} select chunk_id, project_key, 64 as width from chunks where ts <= {D.AS_OF_SQL} and (length(chunk_id) + length(content)) % 8 < {G.EMBED_ATTEMPTS} order by ts, chunk_id limit {G.EMBED_BATCH}""",
     "stream_ingest": f"with {D.EV_SQL}, {D.SESS_SQL} select session_id, event_count, epoch_us(last_event_at) as last_event_at_us from roll",
 }
