@@ -115,6 +115,22 @@ def test_the_baseline_asks_the_source_first_and_then_all(spark):
     assert {int(r.rec_id) for r in X.judge(many, False).where("cut").collect()} & set(range(len(rows))) == once
 
 
+def test_cut_texts_with_dots_are_no_ends_of_their_tails(spark):
+    """In a large table every tail has some that end in dots; neither they nor a lone run of letters make others whole."""
+    rows = [f"Compare app/{a}.py with core/{b}.py and list what differs." for a in ("cache", "queue", "index") for b in ("spool", "sync", "store")] * 20
+    rows += ["Compare app/cache.py with core/spo...", "Grace is too long, make it configurable.", "Note: spo is short."] + ["Make it configur..."] * 3 + ["Make it configurable."] * 200
+    rows += ["Compare app/queue.py with core/spo", "Make it configur", "Compare app/queue.py with core/spool.py and list what differs"]
+    df = spark.createDataFrame([("f", str(i), 0, "s", t) for i, t in enumerate(rows)], "field_name string, rec_id string, item_no bigint, source string, text string")
+    cut = {int(r.rec_id) for r in X.judge(df, False).where("cut").collect()}
+    assert {len(rows) - 3, len(rows) - 2} <= cut and len(rows) - 1 not in cut
+
+
+def test_an_ending_of_paths_stays_whole_however_many_there_are(spark):
+    rows = ["sha256sum dist/bundle.tar.gz"] * 600 + ["echo gzip now"] * 10
+    df = spark.createDataFrame([("f", str(i), 0, "s", t) for i, t in enumerate(rows)], "field_name string, rec_id string, item_no bigint, source string, text string")
+    assert X.judge(df, True).where("cut").count() == 0
+
+
 def test_found_names_every_stored_copy(spark, data):
     found = [tuple(r) for r in X.p4_found(spark, data).collect()]
     assert len(found) == len(set(found))
