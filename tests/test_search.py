@@ -121,6 +121,22 @@ def test_small_and_large_batches_rank_alike(spark, data, monkeypatch):
     assert all("WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() for df in (few, many))
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_pairs_of_a_batch_are_not_shuffled(spark, data, monkeypatch):
+    """Pairs grow with the square of the tables, so they are no shuffle's to keep; a batch beyond the bound gives the same."""
+    from tidemark.plans import corpus as C
+
+    chunks, queries = C.chunks(spark, data), C.batch(spark, data)
+    few = S.bm25(chunks, queries)
+    monkeypatch.setattr(S, "FEW_QUERIES", 0)
+    many = S.bm25(chunks, queries)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 0
+    assert _exchanges(few) == 0
+
+
 def test_linked_scope_is_a_column(spark):
     chunks = spark.createDataFrame([(str(i), p, "shared", None, None, None, None) for i, p in enumerate(["a", "b", "c", None])], "chunk_id string, project_key string, visibility string, is_sidechain boolean, source_type string, agent_id string, recipient_id string")
     links = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a")], "project_key string, linked_project_key string")

@@ -138,9 +138,16 @@ def phrases(queries: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, bm25 (negative, lower is better) of every chunk that holds a phrase of the query.
 
-    Rounded to nine places, so that equal scores tie whatever the order of adding up.
+    Rounded to nine places, so that equal scores tie whatever the order of adding up. The pairs grow with the square of the
+    tables and are never shuffled: a chunk's phrases stay in one row, from which a task scores it for all queries of a batch
+    of up to FEW_QUERIES. Larger batches are joined by shuffle.
     """
     wanted = phrases(queries)
+    if (batch := wanted_rows(wanted)) is not None:
+        tokens = chunks.select("chunk_id", *(T.index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
+        held = hold(tokens, _phrase_finder([r.phrase for r in batch])).checkpoint()
+        docs, avg_d = held.agg(F.count("*"), F.avg("d")).first()
+        return scored_in_tasks(held, batch, dict(queries.dtypes)["query_id"], docs, avg_d)
     distinct = wanted.select("phrase", "n").distinct()
     rows = distinct.limit(FEW_PHRASES + 1).collect()  # bounded by FEW_PHRASES, whatever the corpus
     few = len(rows) <= FEW_PHRASES
@@ -157,6 +164,110 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return scored(hits, wanted, corpus, few)
 
 
+def wanted_rows(wanted: DataFrame) -> list | None:
+    """The rows of phrases(), or None if they are more than every task may hold."""
+    rows = wanted.limit(FEW_QUERIES * T.MAX_TERMS + 1).collect()  # bounded by the queries a task may hold
+    return None if len(rows) > FEW_QUERIES * T.MAX_TERMS or len({r.query_id for r in rows}) > FEW_QUERIES else rows
+
+
+def numbered(names: list[str]) -> dict[str, int]:
+    return {p: i for i, p in enumerate(sorted(set(names)))}
+
+
+def hold(rows: DataFrame, run) -> DataFrame:
+    """chunk_id, d, found (numbers of phrases), f (their weighted hits), a row for each chunk, made by run over Arrow batches."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.mapInArrow(run, f"chunk_id {dict(rows.dtypes)['chunk_id']}, d int, found array<int>, f array<double>")
+
+
+def held_batch(keys, d: list[int], hits: list[dict[int, float]]):
+    import pyarrow as pa
+
+    found = pa.array([list(h) for h in hits], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(d, pa.int32()), found, pa.array([list(h.values()) for h in hits], pa.list_(pa.float64()))], names=["chunk_id", "d", "found", "f"])
+
+
+def _phrase_finder(names: list[str]):
+    number, weights = numbered(names), list(WEIGHTS.values())
+    longer: dict[str, list[int]] = {}  # by a phrase's first token, the lengths to try
+    for p in number:
+        if (n := p.count(" ") + 1) > 1 and n not in longer.setdefault(p.split(" ", 1)[0], []):
+            longer[p.split(" ", 1)[0]].append(n)
+
+    def run(batches):
+        for batch in batches:
+            keys, *fields = batch.columns
+            sizes, hits = [0] * len(keys), [{} for _ in range(len(keys))]
+            for column, weight in zip(fields, weights):
+                for at, tokens in enumerate(column.to_pylist()):
+                    into = hits[at]
+                    sizes[at] += len(tokens)
+                    for i, token in enumerate(tokens):
+                        if (k := number.get(token)) is not None:
+                            into[k] = into.get(k, 0.0) + weight
+                        for n in longer.get(token, ()):
+                            if i + n <= len(tokens) and (k := number.get(" ".join(tokens[i : i + n]))) is not None:
+                                into[k] = into.get(k, 0.0) + weight
+            yield held_batch(keys, sizes, hits)
+
+    return run
+
+
+def scored_in_tasks(held: DataFrame, rows: list, kind: str, docs: int, avg_d: float | None) -> DataFrame:
+    """query_id, chunk_id, bm25. held: see hold, kept, as it is read twice; rows: of phrases(); kind: the type of query_id."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"query_id {kind}, chunk_id {dict(held.dtypes)['chunk_id']}, bm25 double"
+    number = numbered([r.phrase for r in rows])
+    n_docs = dict(held.select(F.explode("found").alias("k")).groupBy("k").agg(F.count("*")).collect())  # as many rows as phrases
+    ids = list(dict.fromkeys(r.query_id for r in rows))
+    place = {q: i for i, q in enumerate(ids)}
+    asked: dict[int, list] = {}
+    for r in rows:
+        if (n := n_docs.get(k := number[r.phrase])) is not None:
+            idf = math.log((docs - n + 0.5) / (n + 0.5))
+            asked.setdefault(k, []).append((place[r.query_id], r.times * (idf if idf > 0 else 1e-6)))
+    spark = held.sparkSession
+    shipped = spark.sparkContext.broadcast((ids, {k: (np.array([q for q, _ in v]), np.array([w for _, w in v])) for k, v in asked.items()}, float(avg_d or 1.0)))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        ids, asked, avg = shipped.value
+        ids = pa.array(ids, arrow.field(0).type)
+        for batch in batches:
+            offsets, found = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            f, d = batch.column(3).values.to_numpy(), batch.column(1).to_numpy()
+            f_offsets = batch.column(3).offsets.to_numpy()
+            some: list = []
+            count = 0
+
+            def out():
+                q, at, s = (np.concatenate(x) for x in zip(*some))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(0.0 - np.round(s, 9))], schema=arrow)  # noqa: B023
+
+            for at in range(batch.num_rows):
+                a, b = offsets[at], offsets[at + 1]
+                if a == b:
+                    continue
+                each = [asked[k] for k in found[a:b].tolist()]
+                hits = f[f_offsets[at] : f_offsets[at + 1]]
+                tf = hits * (K1 + 1) / (hits + K1 * (1 - B + B * d[at] / avg))
+                s = np.bincount(np.concatenate([q for q, _ in each]), np.concatenate([w for _, w in each]) * np.repeat(tf, [len(q) for q, _ in each]), len(ids))
+                q = np.flatnonzero(s)  # every weight is above 0
+                some.append((q, np.full(len(q), at), s[q]))
+                count += len(q)
+                if count > 400_000:  # bounds a task's memory
+                    yield out()
+                    some, count = [], 0
+            if some:
+                yield out()
+
+    return held.where("size(found) > 0").mapInArrow(run, schema)
+
+
 def scored(hits: DataFrame, wanted: DataFrame, corpus: DataFrame, few: bool) -> DataFrame:
     """query_id, chunk_id, bm25. hits: phrase, chunk_id, d, f; wanted: see phrases; corpus: one row with docs and avg_d."""
     # Counted over f, so that both uses of the hits need the same columns and share one exchange.
