@@ -137,6 +137,17 @@ def test_pairs_of_a_batch_are_not_shuffled(spark, data, monkeypatch):
     assert _exchanges(few) == 0
 
 
+def test_an_index_that_was_just_built_shuffles_nothing(spark, data, monkeypatch):
+    from tidemark.plans import corpus as C
+
+    chunks, queries = C.chunks(spark, data).coalesce(1), C.batch(spark, data)
+    index = P.build(chunks)
+    few = P.bm25(index, queries)
+    monkeypatch.setattr(S, "FEW_QUERIES", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, P.bm25(index, queries).collect())) and few.count() > 0
+    assert _exchanges(few) == 0 and "HashAggregate" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_linked_scope_is_a_column(spark):
     chunks = spark.createDataFrame([(str(i), p, "shared", None, None, None, None) for i, p in enumerate(["a", "b", "c", None])], "chunk_id string, project_key string, visibility string, is_sidechain boolean, source_type string, agent_id string, recipient_id string")
     links = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a")], "project_key string, linked_project_key string")
